@@ -24,3 +24,21 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_byte_bpe"] = op1_byte_bpe
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: the fixed kinds, and what the Markov models add."""
+    from . import secret_scan
+
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition figures of every document and the verdict on it."""
+    from . import repetition
+
+    return repetition.rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op2_secret_scan"] = op2_secret_scan
+QUERIES["op8_repetition_rules"] = op8_repetition_rules
