@@ -42,3 +42,16 @@ def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op2_secret_scan"] = op2_secret_scan
 QUERIES["op8_repetition_rules"] = op8_repetition_rules
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component."""
+    from pyspark.sql import functions as F
+
+    from . import simhash
+
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES["op10_simhash_near_dedup"] = op10_simhash_near_dedup
