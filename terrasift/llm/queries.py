@@ -55,3 +55,22 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_simhash_near_dedup"] = op10_simhash_near_dedup
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's copies of benchmark items."""
+    from . import decontaminate
+
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, by a machine fitted on the training rows."""
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES["op5_benchmark_decontamination"] = op5_benchmark_decontamination
+QUERIES["op9_quality_machine"] = op9_quality_machine
