@@ -74,3 +74,13 @@ def op9_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op5_benchmark_decontamination"] = op5_benchmark_decontamination
 QUERIES["op9_quality_machine"] = op9_quality_machine
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    from . import html_text
+
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op3_html_extraction"] = op3_html_extraction
