@@ -84,3 +84,14 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_html_extraction"] = op3_html_extraction
+
+
+def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, by the grammar learned from the training rows."""
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES["op4_toxicity_grammar"] = op4_toxicity_grammar
