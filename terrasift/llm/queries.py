@@ -95,3 +95,16 @@ def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_toxicity_grammar"] = op4_toxicity_grammar
+
+
+def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of eight, of near equal bytes."""
+    from pyspark.sql import functions as F
+
+    from . import sharding
+
+    rows = sharding.shard(table(spark, sf_dir, "documents"), 8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES["op6_sampled_splitters"] = op6_sampled_splitters
