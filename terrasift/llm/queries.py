@@ -108,3 +108,33 @@ def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_sampled_splitters"] = op6_sampled_splitters
+
+
+def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives in the shared folder, read back and assembled to captures."""
+    from . import warc
+    from .common import shared_folder, written
+
+    pages = table(spark, sf_dir, "pages")
+    folder = shared_folder(spark, "warc")
+    warc.write(pages, folder)
+    found = written(warc.read(spark, folder, payload=False), "warc-records")
+    return warc.captures(written(warc.assemble(found), "warc-captures"), pages.schema["page_id"].dataType)
+
+
+QUERIES["op7_warc_transactions"] = op7_warc_transactions
+ORACLES["op7_warc_transactions"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS INTEGER)) & 31)::INTEGER, 1)), '') AS payload_digest
+  FROM p
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM f
+"""
