@@ -170,36 +170,45 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(join, "a long, b long")
 
 
+def _components(docs: DataFrame) -> DataFrame:
+    """Rows (fp, root) of a written table with column fp: root is the smallest fingerprint of fp's component."""
+    distinct = written(docs.select("fp").distinct(), "simhash-distinct")
+    roots = components(links(distinct), "simhash-links")
+    return written(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, fp, component_id): the smallest id that links of at most RADIUS differing bits lead to, itself included.
 
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows stay; null ids get their component's
     smallest id (null if it has none). Other columns are ignored.
     """
-    ids = df.schema[id_col].dataType
     docs = written(fingerprints(df, id_col, text_col), "simhash-fingerprints")
-    distinct = written(docs.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    roots = components(links(distinct), "simhash-links")
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(least, "root").select("fp", F.col("component_id").cast(ids).alias("component_id"))
-    return docs.join(named, "fp").select(id_col, "fp", "component_id")
+    roots = _components(docs)
+    least = docs.groupBy("fp").agg(F.min(id_col).alias("least")).join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    return docs.join(roots.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without all but one row of each component: the one with its smallest id.
+    """One row of df of each component, all columns: of its smallest id (null ids last), of the smallest fingerprint among
+    rows of that id, and any one of rows equal in both.
 
-    Of repeated rows with that id one stays. Rows with a null id count as copies of their component's first row and go,
-    unless all ids of the component are null: then one stays.
+    df is read twice, and its rows are shuffled once, on fingerprint and id, to meet the names of the rows that stay.
     """
-    parts = near_duplicates(df, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_component"), F.col("fp").alias("_fp"))
-    first = parts.filter(F.col("_id").eqNullSafe(F.col("_component"))).groupBy("_id").agg(F.min("_fp").alias("_fp"))
-    named = df.filter(F.col(id_col).isNotNull())
-    kept = named.join(first.filter("_id is not null"), named[id_col] == F.col("_id"), "left_semi")
-    repeated = first_of_each(kept, id_col)
-    return repeated.unionByName(first_of_each(df.filter(F.col(id_col).isNull()).join(first.filter("_id is null"), F.lit(True), "left_semi"), id_col))
+    at, name = df.columns.index(text_col), "_fp"
+    while name in df.columns:
+        name += "_"
+    docs = written(fingerprints(df, id_col, text_col), "simhash-fingerprints")
+    rows = docs.groupBy(F.col(id_col).alias("id"), "fp").agg(F.count(F.lit(1)).alias("n")).join(_components(docs), "fp")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "n")
+    stay = written(rows.groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.id").alias("_id"), F.col("r.fp").alias("_stay"), F.col("r.n").alias("_n")), "simhash-stay")
+    wide = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
 
+    def start():
+        return lambda batch: [*batch.columns, pa.array(np.array([fingerprint(x) for x in octets(batch.column(at))], np.uint64).view(np.int64))]
 
-def first_of_each(df: DataFrame, id_col: str) -> DataFrame:
-    """One row per id."""
-    return df.dropDuplicates([id_col])
+    # Names of rows are hashed, so texts are not sorted.
+    kept = map_rows(df, wide, start).join(stay.hint("shuffle_hash"), (F.col(name) == F.col("_stay")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    if stay.filter("_n > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col, name])
+    return kept.drop(name)
