@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .common import map_rows, written
 
 #: Rows of a range at most in the mean, sampled keys per range, ranges at least; how often overfull ranges are cut again.
-RANGE_ROWS, KEYS_PER_RANGE, LEAST_RANGES, CUTS = 400_000, 48, 24, 3
+RANGE_ROWS, KEYS_PER_RANGE, LEAST_RANGES, CUTS = 400_000, 48, 64, 3
 #: Groups with more than this share of a shard's bytes are packed one by one: at most shards / HEAVY of them exist.
 HEAVY = 1e-3
 
@@ -87,12 +87,13 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
     groups = [(r["h"], r["crc"], r["bytes"], r["n"]) for r in heavy.collect()]
     placed, room = _pack([g[:3] for g in groups], shards, total)
     # A heavy group's fate: its shard, or -1 for being cut by id; and the chunks that its rows are numbered in.
-    listed = spark.createDataFrame([(h, crc, placed.get((h, crc), -1), 1 + c // RANGE_ROWS) for h, crc, _, c in groups], "h long, crc long, whole int, chunks long")
+    parts = max(LEAST_RANGES, -(-n // RANGE_ROWS))
+    chunk = max(1, n // (2 * parts))
+    listed = spark.createDataFrame([(h, crc, placed.get((h, crc), -1), 1 + c // chunk) for h, crc, _, c in groups], "h long, crc long, whole int, chunks long")
     marked = narrow.join(F.broadcast(listed), ["h", "crc"], "left")  # at most shards / HEAVY rows
     number = F.coalesce(F.xxhash64("id") if not isinstance(df.schema[id_col].dataType, T.IntegralType) else F.col("id").cast("long"), F.lit(-(1 << 63)).cast("long"))
     marked = marked.withColumn("k", F.when(F.col("whole") == -1, number).otherwise(F.lit(0).cast("long")))
     lined = marked.filter("whole is null or whole = -1").select("id", "size", "crc", "h", "k", "row")
-    parts = max(LEAST_RANGES, -(-n // RANGE_ROWS))
     splitters = _quantiles(_weighted_keys(lined, parts * KEYS_PER_RANGE, total, 0), parts)
     for cut in range(1, CUTS + 1):
         ranged = written(_ranges(lined, splitters), "shard-ranges")
