@@ -49,12 +49,13 @@ def read_only_text(sql: str | None) -> str:
 
 
 def _classes(plan) -> list[str]:
-    """Simple names of a JVM plan's classes and their ancestors."""
-    out, c = [], plan.getClass()
-    while c is not None:
-        out.append(c.getSimpleName())
-        out += [i.getSimpleName() for i in c.getInterfaces()]
-        c = c.getSuperclass()
+    """Simple names of a JVM plan's class and of all it extends."""
+    out, todo = [], [plan.getClass()]
+    while todo:
+        c = todo.pop()
+        if c is not None and c.getSimpleName() not in out:
+            out.append(c.getSimpleName())
+            todo += [c.getSuperclass(), *c.getInterfaces()]
     return out
 
 

@@ -138,7 +138,7 @@ class Store:
                 raise LookupError(f"{other} has no {out[column]}")
         return out
 
-    def insert(self, name: str, **values: object) -> int:
+    def insert(self, name: str, /, **values: object) -> int:
         """Inserts a row and returns its id; every column that is not optional must be given."""
         entity = ENTITIES[name]
         missing = [c for c in T.StructType.fromDDL(entity.columns).names if c not in values and c not in entity.optional]
@@ -162,7 +162,7 @@ class Store:
             self.insert(name, **r)
         return len(new)
 
-    def update(self, name: str, key: int, owner: int | None = None, **values: object) -> dict:
+    def update(self, name: str, key: int, owner: int | None = None, /, **values: object) -> dict:
         """Writes a new version with the given columns changed (at least one); LookupError if there is no such row."""
         if not values:
             raise ValueError("nothing to update")

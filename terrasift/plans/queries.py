@@ -132,9 +132,9 @@ def page_search(spark: SparkSession, d: str) -> DataFrame:
     return search.page_search(load(spark, d, "pages"), "the example", 10).select("doc_id", "score", "display_link")
 
 
-@query("SELECT doc_id FROM documents WHERE contains(text, 'password=')")
+@query("SELECT doc_id FROM documents WHERE contains(text, 'Licensed under')")
 def substring_contains(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").filter(F.contains("text", F.lit("password="))).select("doc_id")
+    return load(spark, d, "documents").filter(F.contains("text", F.lit("Licensed under"))).select("doc_id")
 
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import document_text
 
-SCHEMA = "function_id STRING, chapter_info STRING, description STRING, function_definitions ARRAY<STRUCT<function_name: STRING, signature_str: STRING>>, examples ARRAY<STRUCT<name: STRING, steps: ARRAY<STRUCT<question: STRING, sql: STRING>>>>"
+DOCUMENT = "STRUCT<function_id: STRING, chapter_info: STRING, description: STRING, function_definitions: ARRAY<STRUCT<function_name: STRING, signature_str: STRING>>, examples: ARRAY<STRUCT<name: STRING, steps: ARRAY<STRUCT<question: STRING, sql: STRING>>>>>"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -16,7 +16,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     bad = raw.filter(~F.startswith(F.ltrim("value"), F.lit("[")) | F.from_json("value", "ARRAY<STRING>").isNull()).limit(1)
     if bad.count():
         raise ValueError(f"{path} is not a JSON list")
-    doc = raw.select(F.posexplode(F.from_json("value", f"ARRAY<STRUCT<{SCHEMA.replace(' STRING', ': STRING').replace(' ARRAY', ': ARRAY')}>>"))).select(F.col("pos").cast("long").alias("doc_id"), F.col("col").alias("doc"))
+    doc = raw.select(F.posexplode(F.from_json("value", f"ARRAY<{DOCUMENT}>"))).select(F.col("pos").cast("long").alias("doc_id"), F.col("col").alias("doc"))
     return doc.select("doc_id", "doc.*", F.concat_ws("_", F.col("doc.function_id"), "doc_id").alias("vector_id"), document_text(F.col("doc")).alias("document"))
 
 
