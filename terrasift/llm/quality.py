@@ -82,8 +82,11 @@ class Machine:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.margin(*features(data))))))
 
 
-def fit(rows: list[tuple[list[int], list[float], int]], epochs: int = 12, batch: int = 64, rate: float = 0.05, decay: float = 1e-4, seed: int = 3) -> Machine | None:
-    """Adagrad on the logistic loss, in numpy; None without rows. rows have indices, values and label."""
+def fit(rows: list[tuple[list[int], list[float], int]], updates: int = 800, batch: int = 64, rate: float = 0.1, decay: float = 1e-4, seed: int = 3) -> Machine | None:
+    """Adagrad on the logistic loss, in numpy; None without rows. rows have indices, values and label.
+
+    Whole passes are made until there were at least updates steps, so that small samples are fitted as well as large ones.
+    """
     if not rows:
         return None
     r = np.random.default_rng(seed)
@@ -93,7 +96,7 @@ def fit(rows: list[tuple[list[int], list[float], int]], epochs: int = 12, batch:
     bias = math.log(p / (1 - p))
     gw, gv = np.full(SIZE, 1e-2), np.full((SIZE, FACTORS), 1e-2)
     packed = [(np.asarray(x[0], np.int64), np.asarray(x[1])) for x in rows]
-    for _ in range(epochs):
+    for _ in range(max(1, -(-updates // -(-len(rows) // batch)))):
         order = r.permutation(len(rows))
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
