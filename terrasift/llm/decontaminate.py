@@ -9,6 +9,7 @@ substitutions is measured.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from functools import reduce
@@ -23,8 +24,8 @@ from .common import map_rows, strings
 
 WORDS = re.compile(r"\w+")
 #: The seeds: ones are hashed, zeros ignored.
-MASKS = ("11011", "110101", "1010011", "10010101", "1100101")
-#: A copy has at least so many aligned words (or the whole item, if that is shorter), and so large a share of them equal.
+MASKS = ("1111", "11011", "10111", "11101", "110101", "1010011", "1100101", "10010101")
+#: A copy has at least so many aligned words (or this share of the item's, if that is less), and so large a share equal.
 LEAST_WORDS, SIMILARITY = 13, 0.8
 #: Words of a block of the benchmark; its index takes some 100 bytes a word in a worker.
 BLOCK_WORDS = 400_000
@@ -36,30 +37,31 @@ def words(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
+def least_words(size: int) -> int:
+    """Aligned words that a copy of an item of size words has at least."""
+    return min(LEAST_WORDS, math.ceil(SIMILARITY * size - 1e-9))
+
+
 def stretch(equal: np.ndarray, least: int) -> tuple[int, int] | None:
     """The longest [start, end) of at least least positions of which SIMILARITY are equal, beginning and ending equal."""
     n = len(equal)
-    if n < least:
+    if n < least or not equal.any():
         return None
-    # In fifths (0.8 = 4/5): an equal word gains 1, another loses 4; any stretch of sum 0 or more is similar enough.
-    gain = round(SIMILARITY * 100)
-    total = np.append(0, np.cumsum(np.where(equal, 100 - gain, -gain)))
-    best_after = np.maximum.accumulate(total[::-1])[::-1]
+    # Whole numbers: an equal word gains 20, another loses 80; a stretch of sum 0 or more is similar enough.
+    gain = round(100 * (1 - SIMILARITY))
+    total = np.append(0, np.cumsum(np.where(equal, gain, gain - 100)))
+    far = 100 * (n + 1)
+    from_here = np.minimum.accumulate(np.where(np.append(equal, False), total, far))  # least sum before a start so far
+    to_there = np.maximum.accumulate(np.where(np.append(False, equal), total, -far)[::-1])[::-1]  # largest one at an end to come
     best, i, j = None, 0, 0
-    while i <= n and j <= n:
-        if best_after[j] >= total[i]:
-            if best is None or j - i > best[1] - best[0]:
+    while i < n and j <= n:
+        if from_here[i] <= to_there[j]:
+            if j > i and (best is None or j - i > best[1] - best[0]):
                 best = (i, j)
             j += 1
         else:
             i += 1
-    if best is None:
-        return None
-    hits = np.flatnonzero(equal[best[0] : best[1]])
-    if not len(hits):
-        return None
-    start, end = best[0] + int(hits[0]), best[0] + int(hits[-1]) + 1
-    return (start, end) if end - start >= least and equal[start:end].sum() >= SIMILARITY * (end - start) else None
+    return best if best and best[1] - best[0] >= least else None
 
 
 class Index:
@@ -124,7 +126,7 @@ class Index:
                 wanted = self.items[k][1]
                 a, b = max(0, -shift), min(len(wanted), len(ids) - shift)
                 equal = wanted[a:b] == ids[a + shift : b + shift]
-                s = stretch(equal, min(LEAST_WORDS, len(wanted)))
+                s = stretch(equal, least_words(len(wanted)))
                 if s and (k not in best or s[1] - s[0] > best[k][2]):
                     best[k] = (self.items[k][0], a + shift + s[0], s[1] - s[0], int(equal[s[0] : s[1]].sum()))
         return [best[k] for k in sorted(best)]
