@@ -71,6 +71,14 @@ def octets(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_rows(df: DataFrame, schema: T.StructType, start: Callable[[], Callable[[pa.RecordBatch], list]], rows: int = ROWS_AT_ONCE) -> DataFrame:
     """df through a Python function over Arrow batches of few rows.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, written
+from .common import free_name, map_rows, written
 
 #: Rows of a range at most in the mean, sampled keys per range, ranges at least; how often overfull ranges are cut again.
 RANGE_ROWS, KEYS_PER_RANGE, LEAST_RANGES, CUTS = 400_000, 48, 64, 3
@@ -137,9 +137,11 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
 def write_shards(df: DataFrame, folder: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes df as Parquet under folder/shard=N and returns shard()'s rows. Repeated rows (id and text) go together."""
     rows = written(shard(df, shards, id_col, text_col), "shard-result")
-    home = rows.groupBy(F.col(id_col).alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size")).agg(F.min("shard").alias("shard"))
+    df = df.drop("shard")
+    key, crc, size, own_crc, own_size = (free_name(df, n) for n in ("_id", "_crc", "_size", "_own_crc", "_own_size"))
+    home = rows.groupBy(F.col(id_col).alias(key), F.col("text_crc32").alias(crc), F.col("size").alias(size)).agg(F.min("shard").alias("shard"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    named = df.drop("shard").withColumn("_c", F.crc32(text.cast("binary"))).withColumn("_s", (F.octet_length(text) + 1).cast("long"))
-    out = named.join(home, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_c") == F.col("_crc")) & (F.col("_s") == F.col("_size")))
-    out.drop("_id", "_crc", "_size", "_c", "_s").write.mode("overwrite").partitionBy("shard").parquet(folder)
+    named = df.withColumn(own_crc, F.crc32(text.cast("binary"))).withColumn(own_size, (F.octet_length(text) + 1).cast("long"))
+    out = named.join(home, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(crc) == F.col(own_crc)) & (F.col(size) == F.col(own_size)))
+    out.drop(key, crc, size, own_crc, own_size).write.mode("overwrite").partitionBy("shard").parquet(folder)
     return rows

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, ensure_workers, map_rows, octets, written
+from .common import components, ensure_workers, free_name, map_rows, octets, written
 
 SEED, RADIUS, SHINGLE = 42, 2, 3
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -195,20 +195,19 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     df is read twice, and its rows are shuffled once, on fingerprint and id, to meet the names of the rows that stay.
     """
-    at, name = df.columns.index(text_col), "_fp"
-    while name in df.columns:
-        name += "_"
+    at, (name, own_id, own_fp) = df.columns.index(text_col), (free_name(df, n) for n in ("_fp", "_id", "_stay"))
     docs = written(fingerprints(df, id_col, text_col), "simhash-fingerprints")
     rows = docs.groupBy(F.col(id_col).alias("id"), "fp").agg(F.count(F.lit(1)).alias("n")).join(_components(docs), "fp")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "n")
-    stay = written(rows.groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.id").alias("_id"), F.col("r.fp").alias("_stay"), F.col("r.n").alias("_n")), "simhash-stay")
+    stay = written(rows.groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.id").alias(own_id), F.col("r.fp").alias(own_fp), F.col("r.n").alias("n")), "simhash-stay")
     wide = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
 
     def start():
         return lambda batch: [*batch.columns, pa.array(np.array([fingerprint(x) for x in octets(batch.column(at))], np.uint64).view(np.int64))]
 
     # Names of rows are hashed, so texts are not sorted.
-    kept = map_rows(df, wide, start).join(stay.hint("shuffle_hash"), (F.col(name) == F.col("_stay")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    if stay.filter("_n > 1").limit(1).count():
+    names = stay.select(own_id, own_fp).hint("shuffle_hash")
+    kept = map_rows(df, wide, start).join(names, (F.col(name) == F.col(own_fp)) & F.col(id_col).eqNullSafe(F.col(own_id)), "left_semi")
+    if stay.filter("n > 1").limit(1).count():
         kept = kept.dropDuplicates([id_col, name])
     return kept.drop(name)
