@@ -27,8 +27,8 @@ WORDS = re.compile(r"\w+")
 MASKS = ("1111", "11011", "10111", "11101", "110101", "1010011", "1100101", "10010101")
 #: A copy has at least so many aligned words (or this share of the item's, if that is less), and so large a share equal.
 LEAST_WORDS, SIMILARITY = 13, 0.8
-#: Words of a block of the benchmark; its index takes some 100 bytes a word in a worker.
-BLOCK_WORDS = 400_000
+#: Characters of a block of the benchmark (and one item more); its index takes some 20 bytes a character in a worker.
+BLOCK_CHARACTERS = 3_000_000
 _multipliers = np.random.default_rng(5).integers(1, 2**63, 64, np.uint64) | np.uint64(1)
 
 
@@ -101,9 +101,17 @@ class Index:
 
     def search(self, text: str) -> list[tuple]:
         """(item's key, first word of the copy in the text, its words, equal ones) for the best copy of each item."""
-        get = self.vocabulary.get
-        found = [get(w, -1) for w in words(text)]
-        ids = np.array(found, np.int64)
+        return self.search_many([text])[0]
+
+    def search_many(self, texts: list[str]) -> list[list[tuple]]:
+        """search() of each text; seeds are hashed over all of them at once."""
+        get, gap = self.vocabulary.get, [-1] * max(8, *(len(m) for m in MASKS))
+        found, begins = [], []
+        for text in texts:
+            begins.append(len(found))
+            found += [get(w, -1) for w in words(text)]
+            found += gap  # no seed reaches across it
+        ids, first = np.array(found, np.int64), np.array(begins, np.int64)
         known = ids >= 0
         diagonals = []
         for places, hashes, item, at in self.seeds:
@@ -114,29 +122,33 @@ class Index:
             for p in places[1:]:
                 valid &= known[p : p + n]
             starts = np.flatnonzero(valid)
-            if not len(starts):
-                continue
             h = self._hash(ids, places, starts)
             low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
-            for s, a, b in zip(starts[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                diagonals.append(np.stack([item[a:b], s - at[a:b]]))
-        best: dict[int, tuple] = {}
+            hit = np.flatnonzero(high > low)
+            if len(hit):
+                many = high[hit] - low[hit]
+                entry = np.repeat(low[hit] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+                start = np.repeat(starts[hit], many)
+                doc = np.searchsorted(first, start, "right") - 1
+                diagonals.append(np.stack([doc, item[entry], start - first[doc] - at[entry]]))
+        best: list[dict[int, tuple]] = [{} for _ in texts]
         if diagonals:
-            for k, shift in np.unique(np.concatenate(diagonals, axis=1), axis=1).T.tolist():
-                wanted = self.items[k][1]
-                a, b = max(0, -shift), min(len(wanted), len(ids) - shift)
-                equal = wanted[a:b] == ids[a + shift : b + shift]
+            ends = np.append(first[1:], len(ids)) - len(gap)
+            for d, k, shift in np.unique(np.concatenate(diagonals, axis=1), axis=1).T.tolist():
+                wanted, own = self.items[k][1], ids[first[d] : ends[d]]
+                a, b = max(0, -shift), min(len(wanted), len(own) - shift)
+                equal = wanted[a:b] == own[a + shift : b + shift]
                 s = stretch(equal, least_words(len(wanted)))
-                if s and (k not in best or s[1] - s[0] > best[k][2]):
-                    best[k] = (self.items[k][0], a + shift + s[0], s[1] - s[0], int(equal[s[0] : s[1]].sum()))
-        return [best[k] for k in sorted(best)]
+                if s and (k not in best[d] or s[1] - s[0] > best[d][k][2]):
+                    best[d][k] = (self.items[k][0], a + shift + s[0], s[1] - s[0], int(equal[s[0] : s[1]].sum()))
+        return [[b[k] for k in sorted(b)] for b in best]
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[Callable[[], list[tuple]]]:
-    """A reader for each block of about BLOCK_WORDS words of items, so that one block at a time is on the driver."""
-    size = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+")).cast("long")
+    """A reader for each block of about BLOCK_CHARACTERS of items, so that one block at a time is on the driver."""
+    size = F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
     total = benchmark.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, -(-int(total) // BLOCK_WORDS))
+    n = max(1, -(-int(total) // BLOCK_CHARACTERS))
     part = F.pmod(F.xxhash64(item_col, text_col), F.lit(n))
     return [lambda k=k: [tuple(r) for r in benchmark.filter(F.col(text_col).isNotNull() & (part == k)).select(item_col, text_col).distinct().orderBy(item_col, text_col).collect()] for k in range(n)]
 
@@ -158,7 +170,7 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 index.append(Index(shared.value))
 
             def f(batch: pa.RecordBatch) -> list:
-                rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True) for m in index[0].search(t)]
+                rows = [(d, *m) for d, found in zip(batch.column(0).to_pylist(), index[0].search_many(strings(batch.column(1))), strict=True) for m in found]
                 return [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], [r[4] / r[3] for r in rows]]
 
             return f
@@ -184,7 +196,7 @@ def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFr
                 index.append(Index(shared.value))
 
             def f(batch: pa.RecordBatch) -> list:
-                stay = pa.array([not index[0].search(t) for t in strings(batch.column(at))], pa.bool_())
+                stay = pa.array([not found for found in index[0].search_many(strings(batch.column(at)))], pa.bool_())
                 return batch.filter(stay).columns
 
             return f

@@ -155,7 +155,9 @@ def test_decontamination_against_all_alignments():
         for p in r.sample(range(len(copy)), round(r.choice([0, 0.1, 0.2]) * len(copy))):
             copy[p] = r.choice(bank)
         text = " ".join(r.choices(bank, k=30) + copy + r.choices(bank, k=20))
-        got, want = {m[0]: m[2] for m in index.search(text)}, plain_matches(text, items)
+        alone = index.search(text)
+        assert index.search_many(["", text, items[5][1], text])[1::2] == [alone, alone]
+        got, want = {m[0]: m[2] for m in alone}, plain_matches(text, items)
         assert all(want.get(key, 0) >= n for key, n in got.items())  # never more than there is
         found += len(got)
         missed += len(set(want) - set(got))
@@ -181,9 +183,9 @@ def test_decontamination_query(spark):
     assert whole and whole <= got and len(got - whole) <= 0.05 * len(whole)
 
 
-@pytest.mark.parametrize("words", [400_000, 4])
-def test_decontamination_edges(spark, monkeypatch, words):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)  # 4: several blocks
+@pytest.mark.parametrize("characters", [3_000_000, 20])
+def test_decontamination_edges(spark, monkeypatch, characters):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARACTERS", characters)  # 20: several blocks
     df = edges(spark, "item_id")
     bench = spark.createDataFrame([(1, "One, two; three FOUR!", 0), (1, "One, two; three FOUR!", 1), (2, None, 0), (3, " ", 0), (None, "and more words", 0)], "item_id long, text string, doc_id int")
     got = sorted(map(tuple, decontaminate.matches(df, bench).select("doc_id", "item_id", "n_aligned").collect()), key=str)
