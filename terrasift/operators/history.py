@@ -18,10 +18,25 @@ def last_turns(df: DataFrame, key: str, order: str, n: int, where: Column | None
     return ranked.filter(F.col("_r") <= n).drop("_r").orderBy(key, order)
 
 
+#: Order values that a stretch of a long history spans.
+STRETCH = 4096
+
+
 def request_ids(df: DataFrame, key: str, order: str, is_request: Column, name: str = "request_id") -> DataFrame:
-    """A request's rows have its order value: the last one at or before them within the key."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(F.when(is_request, F.col(order)), ignorenulls=True).over(w))
+    """A request's rows have its order value (a number): the last one at or before them within the key.
+
+    A history is cut into stretches of its order values. Each stretch's last request is found by a grouped maximum, what a
+    stretch takes over from those before it by a window over one row a stretch, and the rest within the stretch; so a key
+    with very many rows is spread over tasks.
+    """
+    asked = F.when(is_request, F.col(order))
+    rows = df.withColumn("_s", F.floor(F.col(order) / STRETCH))
+    last = rows.groupBy(F.col(key).alias("_k"), F.col("_s").alias("_t")).agg(F.max(asked).alias("_last"))
+    before = Window.partitionBy("_k").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    taken = last.withColumn("_before", F.max("_last").over(before)).drop("_last")
+    within = Window.partitionBy(key, "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn(name, F.max(asked).over(within)).join(taken, F.col(key).eqNullSafe(F.col("_k")) & F.col("_s").eqNullSafe(F.col("_t")), "left")
+    return found.withColumn(name, F.coalesce(name, "_before")).drop("_s", "_k", "_t", "_before")
 
 
 def deltas(df: DataFrame, key: str, order: str, text: str, name: str = "delta") -> DataFrame:

@@ -78,10 +78,16 @@ def keyword_postings_df(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH p AS ({_postings}) SELECT token, count(*) AS df, array_to_string(list_sort(list(doc_id)), ',') AS doc_ids FROM p GROUP BY token HAVING count(*) <= 50")
 def keyword_postings_lists(spark: SparkSession, d: str) -> DataFrame:
-    lists = search.posting_lists(load(spark, d, "documents"), text_col="text", most=50)
+    lists = search.posting_lists(load(spark, d, "documents"), 50, text_col="text")
     return lists.select("token", "df", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"))
 
 
+@query(f"WITH p AS ({_postings}) SELECT token, doc_id // 65536 AS segment, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high FROM p GROUP BY 1, 2")
+def keyword_posting_segments(spark: SparkSession, d: str) -> DataFrame:
+    s = search.posting_segments(load(spark, d, "documents"), text_col="text")
+    return s.select("token", "segment", F.size("doc_ids").cast("bigint").alias("n"), F.element_at("doc_ids", 1).alias("low"), F.element_at("doc_ids", -1).alias("high"))
+
+
 @query(f"WITH p AS ({_postings}) SELECT (SELECT count(*) FROM documents) AS doc_count, (SELECT count(DISTINCT token) FROM p) AS token_count")
 def keyword_index_counts(spark: SparkSession, d: str) -> DataFrame:
     return search.KeywordIndex.build(load(spark, d, "documents").select("doc_id", "text"), text_col="text").counts()

@@ -18,15 +18,24 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "document"
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(tokens(F.col(text_col), least))).alias("token"))
 
 
-def posting_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "document", least: int = 2, most: int | None = None) -> DataFrame:
-    """Rows (token, df, doc_ids): ascending documents of each token (with most: only of tokens in at most most of them).
+#: Ids that a segment of a posting list spans.
+SEGMENT = 65_536
 
-    For export; search uses postings(), whose rows are never gathered.
+
+def posting_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "document", least: int = 2) -> DataFrame:
+    """Rows (token, segment, doc_ids): ascending documents of each token whose id lies in the segment's span of ids.
+
+    However many documents hold a token, a row and the task that makes it hold one span of them.
     """
+    p = postings(docs, id_col, text_col, least).withColumn("segment", F.floor(F.col("doc_id") / SEGMENT))
+    return p.groupBy("token", "segment").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+
+
+def posting_lists(docs: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "document", least: int = 2) -> DataFrame:
+    """Rows (token, df, doc_ids): ascending documents of the tokens that at most most documents hold."""
     p = postings(docs, id_col, text_col, least)
-    if most is not None:
-        rare = p.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= most)
-        p = p.join(rare, "token", "left_semi")
+    rare = p.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= most)
+    p = p.join(rare, "token", "left_semi")
     return p.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
 
 

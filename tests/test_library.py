@@ -22,6 +22,14 @@ def test_keyword_search(spark, tmp_path):
     assert tuple(index.counts().first()) == (3, 7)
 
 
+def test_request_ids_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(history, "STRETCH", 3)
+    asked = {1, 2, 9}
+    df = spark.range(0, 14).select(F.lit(5).alias("c"), F.col("id").alias("turn")).unionByName(spark.createDataFrame([(6, 4)], "c int, turn long"))
+    got = {(r["c"], r["turn"]): r["request_id"] for r in history.request_ids(df, "c", "turn", F.col("turn").isin(*asked) & (F.col("c") == 5)).collect()}
+    assert got == {(5, t): max((a for a in asked if a <= t), default=None) for t in range(14)} | {(6, 4): None}
+
+
 def test_vectors(spark, small):
     v = load(spark, small, "embeddings")
     one = v.filter("vec_id = 9").first()["embedding"]
