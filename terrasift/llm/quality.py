@@ -56,14 +56,14 @@ def statistics(data: bytes, words: list[bytes], counts: Counter) -> list[float]:
 
 
 def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values. Words: the hashed share of each, of length 1 together; statistics: one bin each."""
+    """Indices and values, SIZE at most. Words: the root of each bucket's count, of length 1 together; statistics: a bin each."""
     words = data.split()
     counts = Counter(words)
     stats = statistics(data, words, counts)
     bins = BUCKETS + np.arange(STATISTICS) * BINS + np.minimum((np.array(stats) * (BINS - 1) + 0.999).astype(np.int64), BINS - 1)
     crc = zlib.crc32
-    hashed = np.fromiter((crc(w) & (BUCKETS - 1) for w in counts), np.int64, len(counts))
-    values = np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))
+    hashed, place = np.unique(np.fromiter((crc(w) & (BUCKETS - 1) for w in counts), np.int64, len(counts)), return_inverse=True)
+    values = np.sqrt(np.bincount(place, np.fromiter(counts.values(), np.float64, len(counts)), len(hashed)))
     return np.concatenate([hashed, bins]), np.concatenate([values / max(1e-9, math.sqrt(float((values**2).sum()))), np.full(STATISTICS, 0.5)])
 
 
