@@ -26,7 +26,7 @@ ENDS_P = frozenset("address article aside blockquote center details dir div dl f
 BASE_POINTS = {"article": 10.0, "main": 8.0, "section": 3.0, "div": 3.0, "td": 2.0, "blockquote": 2.0, "pre": 2.0}
 #: Names (class, id, role) of what is no article, as whole words of the name or as a part that is only used so.
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adbox|advert\w*|aside|banner|breadcrumbs?|comments?|commentlist|contact|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pager|pagination|popup|promo\w*|recommend\w*|related|reply|replies|respond|rss|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|tags?|toolbar|topbar|bottombar|widgets?|alert|alerts|gdpr|skip|complementary|contentinfo|discussion|reviews?)(?=$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ads?|adbox|advert\w*|aside|banner|breadcrumbs?|comments?|commentlist|contact|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pager|pagination|popup|promo\w*|recommend\w*|related|reply|replies|respond|rss|search|share|sharing|side(?:bar|nav)?|signup|social|sponsor\w*|subscribe|tags?|toolbar|topbar|bottombar|widgets?|alert|alerts|gdpr|skip|complementary|contentinfo|discussion|reviews?|copyright|disclaimer|login)(?=$|[\s_-]|\d)",
     re.IGNORECASE,
 )
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?=$|[\s_-])", re.IGNORECASE)
@@ -34,15 +34,17 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 NAMES = re.compile(r"(?:^|[\s\"'])(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
-BESIDE = re.compile(r"(?:has|with|without|no)[_-]\w+", re.IGNORECASE)
+BESIDE = re.compile(r"(?:has|with|without|no)[_-]\w+|(?:article|entry|post|story|content)[_-]header(?![\w-])", re.IGNORECASE)
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def unlikely(names: str) -> bool:
     """Whether a class, id or role tells that an element is no article.
 
-    Names that say what lies beside an article ("has-sidebar") tell nothing, and one of an article outweighs the others.
+    Names that say what lies beside an article ("has-sidebar"), or that it begins ("entry-header"), tell nothing, and one
+    of an article outweighs the others. Humps part words as hyphens do.
     """
-    each = [BESIDE.sub("", x) for x in names.split()]
+    each = [BESIDE.sub("", HUMP.sub("-", x)) for x in names.split()]
     bad = [bool(UNLIKELY.search(x)) for x in each]
     return any(bad) and not any(LIKELY.search(x) and not b for x, b in zip(each, bad, strict=True))
 

@@ -200,6 +200,16 @@ def test_html_templates():
         assert html_text.extract(page) == f"Head & line {PARA} bold x", head
 
 
+@pytest.mark.parametrize("name", ["sidebar", "topAd", "ads", "cookie_notice", "comment-list", "commentsArea", "main-nav", "site-footer", "newsletterSignup", "promo2", "ad 3", "side"])
+def test_html_names_of_no_article(name):
+    assert html_text.unlikely(name)
+
+
+@pytest.mark.parametrize("name", ["content", "post has-sidebar", "entry-header", "article with-comments", "lead", "padding", "threads", "mainContent", "advice", "inside", "content no-nav", ""])
+def test_html_names_of_articles(name):
+    assert not html_text.unlikely(name)
+
+
 def test_html_broken():
     assert html_text.extract("") == "" and html_text.extract("<p>hi") == "hi" and html_text.extract("a < b <p>c") == "a < b c"
     assert html_text.extract("<article><p><b>one<br><p>two</p></article><footer>no") == "one two"
