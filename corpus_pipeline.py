@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm import bpe, decontaminate, quality, secret_scan, simhash
+from terrasift.llm import bpe, decontaminate, quality, secret_scan, similar
 from terrasift.llm.common import shared_folder
 
 #: No SQL expresses a trained machine, SimHash or BPE; tests hold each stage against a brute-force version.
@@ -26,8 +26,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that with the smallest id."""
-    return simhash.deduplicated(docs)
+    """One document, that with the smallest id, of each group of SimHash near-duplicates: texts whose five-word shingles
+    have a similarity of 0.8 or more (estimated), or whose fingerprints differ in two bits at most."""
+    return similar.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
