@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The words that questions are searched for.
+# The words that questions are searched for, the patterns of tokens and entities, the texts of default
+# requests, and the limits; results depend on them.
 NEAREST_WORDS = ["nearest", "closest", "closest to", "nearest to", "near"]
 SPATIAL_WORDS = ["within", "distance", "near", "intersects", "buffer", "area", "length", "dwithin", "closest", "nearest"]
 CATEGORIES = ["restaurant", "cafe", "bar", "hotel", "hospital", "school", "bank", "pharmacy", "station", "park", "museum", "supermarket"]
 QUESTION_WORDS = ["Find", "List", "Show", "Give", "Get", "Where", "What", "Which", "Who", "When", "How"]
 TOKEN = "[a-zA-Z_][a-zA-Z0-9_]*"
-#: Entities of a question at most, and words of a capitalised run.
-MOST_ENTITIES, RUN_WORDS = 5, 6
+QUOTED = r"['\"“”]([^'\"“”]{2,120})['\"“”]"
+CAPITALISED = r"\b([A-Z][\w&'/-]*(?:\s+[A-Z][\w&'/-]*){0,5})\b"
+MOST_ENTITIES, MOST_KEYWORDS, MOST_OBJECTS, MOST_TABLES, MOST_COLUMNS = 5, 10, 6, 8, 12
+NEAR_OUTPUTS, CATEGORY_FILTERS = ["id", "name", "distance"], ["fclass", "category", "type"]
+TOPICS = ["SRID alignment", "geometry vs geography", "distance units"]
+NEAR_TOPICS = ["ST_Distance", "nearest-neighbor ordering", "anchor geometry resolution"]
+OTHER_TOPICS = ["ST_DWithin", "ST_Transform"]
+CUT_NOTE = "\n...[stream truncated]"
+CHUNK, MOST_CHARACTERS, MOST_CHUNKS = 200, 12_000, 200
 
 
 def tokens(text: Column, least: int = 2) -> Column:
@@ -63,8 +71,8 @@ def categories(question: Column) -> Column:
 def entities(question: Column) -> Column:
     """Entity candidates: quoted spans, then capitalised runs that no question word begins; at most five."""
     q = F.trim(F.coalesce(question, F.lit("")))
-    quoted = F.transform(F.regexp_extract_all(q, F.lit(r"['\"“”]([^'\"“”]{2,120})['\"“”]"), F.lit(1)), F.trim)
-    runs = F.regexp_extract_all(q, F.lit(rf"\b([A-Z][\w&'/-]*(?:\s+[A-Z][\w&'/-]*){{0,{RUN_WORDS - 1}}})\b"), F.lit(1))
+    quoted = F.transform(F.regexp_extract_all(q, F.lit(QUOTED), F.lit(1)), F.trim)
+    runs = F.regexp_extract_all(q, F.lit(CAPITALISED), F.lit(1))
     named = F.filter(runs, lambda r: ~F.regexp_extract(r, r"^(\S+)", 1).isin(QUESTION_WORDS))
     return F.slice(distinct_words(F.concat(quoted, named)), 1, MOST_ENTITIES)
 
@@ -75,26 +83,24 @@ def default_evidence(question: Column, schema: Column | None = None, tables: Col
     q = F.coalesce(question, F.lit(""))
     near, cats = asks_nearest(q), categories(q)
     some = F.size(cats) > 0
-    words = F.slice(F.filter(F.split(q, r"\s+"), lambda w: w != ""), 1, 10)
+    words = F.slice(F.filter(F.split(q, r"\s+"), lambda w: w != ""), 1, MOST_KEYWORDS)
     return F.struct(
         q.alias("question"),
-        F.concat(words, F.slice(F.coalesce(tables, none) if tables is not None else none, 1, 6), F.slice(F.coalesce(views, none) if views is not None else none, 1, 6)).alias("keywords"),
-        F.concat(F.when(near, F.array(*map(F.lit, ("id", "name", "distance")))).otherwise(none), F.when(some, F.array(F.lit("category"))).otherwise(none)).alias("expected_outputs"),
-        F.when(some, F.array(*map(F.lit, ("fclass", "category", "type")))).otherwise(none).alias("likely_filters"),
+        F.concat(words, F.slice(F.coalesce(tables, none) if tables is not None else none, 1, MOST_OBJECTS), F.slice(F.coalesce(views, none) if views is not None else none, 1, MOST_OBJECTS)).alias("keywords"),
+        F.concat(F.when(near, F.array(*map(F.lit, NEAR_OUTPUTS))).otherwise(none), F.when(some, F.array(F.lit("category"))).otherwise(none)).alias("expected_outputs"),
+        F.when(some, F.array(*map(F.lit, CATEGORY_FILTERS))).otherwise(none).alias("likely_filters"),
         spatial_words(q).alias("spatial_signals"),
         entities(q).alias("entity_candidates"),
         cats.alias("target_categories"),
         F.array(F.coalesce(F.nullif(F.trim(schema), F.lit("")), F.lit("public")) if schema is not None else F.lit("public")).alias("schema_whitelist"),
-        F.lit(8).alias("max_tables"),
-        F.lit(12).alias("max_columns_per_table"),
+        F.lit(MOST_TABLES).alias("max_tables"),
+        F.lit(MOST_COLUMNS).alias("max_columns_per_table"),
     )
 
 
 def default_topics(question: Column) -> Column:
     """Topics of the knowledge request."""
-    always = ["SRID alignment", "geometry vs geography", "distance units"]
-    near = always + ["ST_Distance", "nearest-neighbor ordering", "anchor geometry resolution"]
-    return F.when(asks_nearest(question), F.array(*map(F.lit, near))).otherwise(F.array(*map(F.lit, [*always, "ST_DWithin", "ST_Transform"])))
+    return F.when(asks_nearest(question), F.array(*map(F.lit, TOPICS + NEAR_TOPICS))).otherwise(F.array(*map(F.lit, TOPICS + OTHER_TOPICS)))
 
 
 def truthy(value: Column) -> Column:
@@ -106,10 +112,10 @@ def preview(value: Column, most: int = 240) -> Column:
     return F.substring(value, 1, most)
 
 
-def chunks(text: Column, size: int = 200, most_chars: int = 12_000, most_chunks: int = 200) -> Column:
+def chunks(text: Column, size: int = CHUNK, most_chars: int = MOST_CHARACTERS, most_chunks: int = MOST_CHUNKS) -> Column:
     """The text in pieces of size characters: cut to most_chars with a note, and to most_chunks pieces."""
     t = F.coalesce(text, F.lit(""))
-    cut = F.when(F.length(t) > most_chars, F.concat(F.substring(t, 1, most_chars), F.lit("\n...[stream truncated]"))).otherwise(t)
+    cut = F.when(F.length(t) > most_chars, F.concat(F.substring(t, 1, most_chars), F.lit(CUT_NOTE))).otherwise(t)
     count = F.least(F.ceil(F.length(cut) / size), F.lit(most_chunks)).cast("int")
     return F.when(F.trim(t) == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(cut, i * size + 1, F.lit(size))))
 
