@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..shared import ensure_workers
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     """Sum of squared differences, in double; null if a length differs or a side is null."""
@@ -54,6 +56,8 @@ class HashingEmbedder:
 def embedder_udf(embedder: HashingEmbedder):
     """A column function over Arrow batches; the embedder is made once a task and runs over batch_size texts at a time."""
 
+    ensure_workers()
+
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

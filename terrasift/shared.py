@@ -1,10 +1,25 @@
-"""Results that are kept for later stages, where every executor can read them."""
+"""What driver and executors share: results that are kept for later stages, and this package itself."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ensure_workers(spark: SparkSession | None = None) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    On a cluster that installs the package on every node (or ships it by --py-files) this changes nothing.
+    """
+    spark = spark or SparkSession.active()
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

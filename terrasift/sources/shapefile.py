@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import geometry as G
+from ..shared import ensure_workers
 
 # Fixed values of the formats.
 SHAPES = {0: 0, 1: 1, 3: 5, 5: 6, 8: 4, 11: 1, 13: 5, 15: 6, 18: 4, 21: 1, 23: 5, 25: 6, 28: 4}
@@ -175,6 +176,7 @@ class ShapefileSource(DataSource):
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Features of one file or of a folder in EPSG:4326, repaired."""
+    ensure_workers(spark)
     spark.dataSource.register(ShapefileSource)
     df = spark.read.format("shapefile").load(path)
     moved = F.when(F.col("srid") == 4326, F.col("geometry")).otherwise(G.st_transform("geometry", F.lit(4326)))

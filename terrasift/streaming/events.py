@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import chunks, iso
+from ..shared import ensure_workers
 
 # Kinds of events.
 KINDS = ("start", "progress", "error", "end", "agent_start", "agent_progress", "agent_end")
@@ -87,6 +88,7 @@ def stream_deltas(df: DataFrame, key: str = "stream_id", order: str = "seq", tex
         state.update((previous, mode))
         yield pd.DataFrame(out, columns=[key, order, "delta"])
 
+    ensure_workers(df.sparkSession)
     kinds = dict(df.dtypes)
     schema = f"{key} {kinds[key]}, {order} {kinds[order]}, delta string"
     return df.groupBy(key).applyInPandasWithState(update, schema, "previous string, mode string", "append", GroupStateTimeout.NoTimeout)
@@ -107,6 +109,7 @@ def stream_buffers(df: DataFrame, key: str = "stream_id", order: str = "seq", te
         state.update((held,))
         yield pd.DataFrame([], columns=[key, "text"])
 
+    ensure_workers(df.sparkSession)
     return df.groupBy(key).applyInPandasWithState(update, f"{key} {dict(df.dtypes)[key]}, text string", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
