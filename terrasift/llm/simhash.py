@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, ensure_workers, map_rows, octets, written
+from ..shared import ensure_workers
+from .common import components, map_rows, octets, written
 
 SEED, RADIUS, SHINGLE = 42, 2, 3
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
