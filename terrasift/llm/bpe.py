@@ -17,7 +17,7 @@ from ..shared import ensure_workers
 from .common import map_rows, strings
 
 #: Pieces that a worker remembers, and the longest piece it does; the memory is emptied when full.
-MEMORY_PIECES, MEMORY_LENGTH = 300_000, 48
+MEMORY_PIECES, MEMORY_LENGTH = 600_000, 48
 
 
 def byte_characters() -> dict[int, str]:
@@ -59,30 +59,21 @@ class ByteCodec:
     def encode_packed(self, texts: Iterable[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(x) for x in texts]
-        memory = self.memory
-        new = list({p for pieces in cut for p in pieces if p not in memory})
-        coded = {}
+        every = set().union(*cut)
+        new = list(every.difference(self.memory))
+        if len(self.memory) + len(new) > MEMORY_PIECES:
+            self.memory.clear()
+            new = list(every)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            coded |= zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True)
-        if len(memory) + len(coded) > MEMORY_PIECES:
-            memory.clear()
-            coded |= {p: self._one(p) for pieces in cut for p in pieces if p not in coded}
-        look = memory | coded if len(memory) < len(coded) else None
-        if look is None:
-            memory.update(coded)
-            look = memory
-        out = [b"".join(map(look.__getitem__, pieces)) for pieces in cut]
-        if look is not memory:
-            memory.update(coded)
-        for p in coded:
+            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.memory.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in coded), strict=True))
+        out = [b"".join(map(self.memory.__getitem__, pieces)) for pieces in cut]
+        for p in new:
             if len(p) > MEMORY_LENGTH:
-                del memory[p]
+                del self.memory[p]
         return out
 
-    def _one(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_packed([text])[0], "<u4")
 
