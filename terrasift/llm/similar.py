@@ -127,7 +127,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = written(sketches(df, id_col, text_col), "similar-sketches")
     named = docs.select("id", "fp", node_of().alias("node")).groupBy("id", "fp", "node").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "node", "n")
-    stay = written(named.join(groups(docs, similarity), "node").groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.id").alias(own_id), F.col("r.fp").alias(own_fp), F.col("r.n").alias("n")), "similar-stay")
+    first = named.groupBy("node").agg(F.min(order).alias("r"))  # copies combine before they meet
+    stay = written(first.join(groups(docs, similarity), "node").groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.id").alias(own_id), F.col("r.fp").alias(own_fp), F.col("r.n").alias("n")), "similar-stay")
     wider = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
 
     def start():
