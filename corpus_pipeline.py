@@ -27,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of SimHash near-duplicates: texts whose five-word shingles
-    have a similarity of 0.8 or more (estimated), or whose fingerprints differ in two bits at most."""
+    have a Jaccard similarity of 0.8 or more, or whose fingerprints differ in two bits at most."""
     return similar.deduplicated(docs)
 
 

@@ -1,19 +1,22 @@
-"""Near-duplicate groups at a similarity of five-word shingles, by wide SimHashes and pivots.
+"""Near-duplicate groups at a similarity of five-word shingles, found and verified exactly.
 
 A 64-bit fingerprint with a radius of two bits finds copies with very few changes. At a similarity of 0.8 fingerprints of
-shingles differ in a sixth of their bits, too many for any radius that a table of pivots can serve. So two wide
-fingerprints are made of each text: one of its distinct words, of which a near copy shares nearly all, for candidates; and
-one of its distinct shingles, whose Hamming distance estimates the similarity, for verification.
-
-The word fingerprint is read in bands of 32 bits. A band's pivots are the Walsh code words of its four bytes, as in
-simhash.py; equal distances to all of them mean equal bits, so the band itself stands for its row of the table. Texts whose
-coordinates in a band differ by 0 are candidates; in each band they are linked to the smallest and the largest only, so a
-group of n texts makes 2 n candidates a band and no task gathers a group.
+shingles differ in a sixth of their bits, too many for any radius that a table of pivots can serve. So candidates are found
+by the shingles themselves (their 64-bit hashes):
+
+1. In one order of all shingles (common ones last, then by hash) two sets of Jaccard similarity s or more share one of
+   their first n - ceil(s n) + 1 shingles. Any order is exact; common ones are only last to keep buckets small.
+2. Texts that share such a shingle form a bucket. Of a small bucket all pairs are candidates. In a large one all meet a few
+   pivots first; then every pair that these links leave unconnected is a candidate, so copies make no square of pairs.
+3. Pairs are ruled out by size and by a parity sketch: sketches differ in no more bits than the sets in shingles.
+4. The rest are linked if the Jaccard similarity of their sets is s or more.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import ensure_workers
 from .common import components, free_name, map_rows, octets, written
 from .simhash import LOWER, SEED, fingerprint, links
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Words of 64 bits of a wide fingerprint; standard errors by which an estimate may fall short of the similarity.
+#: Words of 64 bits of a parity sketch and of a wide fingerprint; standard errors by which an estimate may fall short of the similarity.
 LANES, SLACK = 12, 1.5
+#: Nodes that common shingles are counted in, how many hold one, and how many are kept.
+SAMPLE, OFTEN, COMMON = 20_000, 8, 20_000
+#: Up to so many nodes of a bucket are compared as pairs at once; more meet so many pivots first.
+PAIRWISE, PIVOTS = 16, 8
+#: Bits that say which texts are read again.
+PLACES = 1 << 25
 _lanes = np.random.default_rng(23).integers(1, 2**63, LANES, np.uint64) | np.uint64(1)
 
 
@@ -55,80 +65,256 @@ def wide(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
 
 
-def sketch(data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
-    """Fingerprint of 64 bits, and the wide ones of distinct words and of distinct shingles (the whole text if shorter)."""
-    lowered = data.translate(LOWER)
-    words = lowered.split()
+def sketch(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Fingerprint of 64 bits, node, parity sketch, and the sorted hashes of distinct shingles (the whole text if shorter)."""
+    words = data.translate(LOWER).split()
+    line = b" ".join(words)
+    ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
+    starts = [0, *(x + 1 for x in ends[:-1])]
+    cut = {line[a:b] for a, b in zip(starts, ends[WIDTH - 1 :])} if len(words) >= WIDTH else {line} if words else set()  # noqa: B905  as many as there are ends
     digest = xxhash.xxh64_intdigest
-    distinct = np.array([digest(w, SEED) for w in set(words)], np.uint64)
-    joined = {b" ".join(words[i : i + WIDTH]) for i in range(max(1, len(words) - WIDTH + 1))} if words else set()
-    return fingerprint(data), wide(distinct), wide(np.array([digest(s, SEED) for s in joined], np.uint64))
+    hashes = np.unique(np.array([digest(x, SEED) for x in cut], np.uint64).view(np.int64))
+    fp = fingerprint(data)
+    odd = np.bincount((hashes.view(np.uint64) >> np.uint64(20)).astype(np.int64) % (64 * LANES), minlength=64 * LANES) & 1
+    return fp, digest(fp.to_bytes(8, "little") + hashes.tobytes(), SEED), np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"), hashes
 
 
-def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, fp, words, shingles) of each row of df; null and empty texts have zeros."""
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("fp", T.LongType()), T.StructField("words", longs), T.StructField("shingles", longs)])
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """Those of a text's sorted shingles of which similar texts share one; common is sorted."""
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        hashes = np.concatenate([hashes[~late], hashes[late]])
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+
+
+_LONGS = T.ArrayType(T.LongType())
+
+
+def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, common: np.ndarray = np.empty(0, np.int64), whole: bool = True) -> DataFrame:  # noqa: B008
+    """Rows (id, fp, node, n, bits, prefix, shingles) of each row of df, without whole not the last; null and empty texts
+    have zeros and no shingles."""
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("fp", "node", "n")), *(T.StructField(c, _LONGS) for c in ("bits", "prefix", *["shingles"] * whole))])
 
     def start():
         def f(batch: pa.RecordBatch) -> list:
             made = [sketch(x) for x in octets(batch.column(1))]
-            return [batch.column(0), pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64)), [m[1] for m in made], [m[2] for m in made]]
+            numbers = (pa.array(np.array([m[k] for m in made], np.uint64).view(np.int64)) for k in (0, 1))
+            return [batch.column(0), *numbers, [len(m[3]) for m in made], [m[2] for m in made], [prefix(m[3], similarity, common) for m in made], *[[m[3] for m in made]] * whole]
 
         return f
 
     return map_rows(df.select(id_col, text_col), schema, start)
 
 
+def common_shingles(df: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Sorted hashes of shingles that several of some SAMPLE texts hold, the commonest COMMON of them.
+
+    They only order the shingles: whichever they are, no pair is lost.
+    """
+    share = int(SAMPLE / max(SAMPLE, df.count()) * (1 << 20)) + 1
+    part = df.filter(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < share).select(F.lit(0).alias("id"), text_col).dropDuplicates([text_col])
+    held = sketches(part, "id", text_col).select(F.explode("shingles").alias("s"))
+    often = held.groupBy("s").count().filter(f"count >= {OFTEN}").orderBy(F.desc("count"), "s").limit(COMMON)
+    return np.array(sorted(r["s"] for r in often.collect()), np.int64)
+
+
+def sets_of(df: DataFrame, id_col: str, text_col: str) -> Callable[[DataFrame], DataFrame]:
+    """A function from nodes (node, id) to their rows (node, shingles), made anew of the texts of df.
+
+    A bitmap of hashed ids says which texts are read again, so no texts are shuffled and no other sets are kept.
+    """
+
+    def of(nodes: DataFrame) -> DataFrame:
+        place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
+        flags = nodes.select(place("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+        maps = {r["k"]: bytes(r["m"]) for r in flags.collect()}
+        shared = df.sparkSession.sparkContext.broadcast(maps)
+        schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", _LONGS)])
+        first = F.bitmap_bucket_number(place(F.col(id_col))), F.bitmap_bit_position(place(F.col(id_col)))
+
+        def start():
+            got = shared.value
+
+            def f(batch: pa.RecordBatch) -> list:
+                want = [k in got and bool(got[k][p >> 3] >> (p & 7) & 1) for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                made = [sketch(x) for x in octets(batch.column(2).filter(pa.array(want, pa.bool_())))]
+                return [pa.array(np.array([m[1] for m in made], np.uint64).view(np.int64)), [m[3] for m in made]]
+
+            return f
+
+        again = map_rows(df.select(first[0].alias("k"), first[1].alias("p"), text_col), schema, start)
+        return again.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+    return of
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """Rows (key, node, n) of the prefixes of sketches; copies of a node may repeat."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "node", "n")])
+
+    def start():
+        seen: set[int] = set()
+
+        def f(batch: pa.RecordBatch) -> list:
+            node = batch.column(0).to_pylist()
+            new = [x not in seen and not seen.add(x) for x in node]
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            times = batch.column(2).value_lengths().to_numpy()
+            return [batch.column(2).flatten(), *(pa.array(np.repeat(batch.column(k).to_numpy(), times)) for k in (0, 1))]
+
+        return f
+
+    return map_rows(rows.select("node", "n", "prefix"), schema, start)
+
+
+def _by_key(df: DataFrame, schema: str, found) -> DataFrame:
+    """found(columns of one key's rows, sorted by n and node) yields record batches of schema; df starts with key."""
+    width = len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.Table] = []
+
+        def of(*parts: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = pa.concat_tables(parts).combine_chunks().to_batches()[0]
+            node = rows.column(1).to_numpy()
+            new = np.append(True, node[1:] != node[:-1])
+            return found(rows if new.all() else rows.filter(pa.array(new)))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+            if kept and kept[0].column(0)[0].as_py() != key[0]:
+                yield from of(*kept)
+                kept = []
+            bounds = [0, *cuts.tolist(), len(key)]
+            for a, b in zip(bounds[:-2], bounds[1:-1], strict=True):
+                if kept or b - a > 1:
+                    part = pa.Table.from_batches([batch.slice(a, b - a)])
+                    yield from of(*kept, part)
+                    kept = []
+            kept.append(pa.Table.from_batches([batch.slice(bounds[-2])]))
+        if kept:
+            yield from of(*kept)
+
+    assert df.columns[0] == "key" and width > 2
+    return df.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(run, schema)
+
+
+def met(keyed: DataFrame, similarity: float) -> DataFrame:
+    """Rows (a, b, key): all pairs of small buckets; in large ones those with a pivot, and (null, null, key)."""
+
+    def found(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        m, key = rows.num_rows, rows.column(0)[0].as_py()
+        if m < 2:
+            return
+        node, n = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        if m <= PAIRWISE:
+            i, j = np.triu_indices(m, 1)
+        else:
+            i, j = np.tile(np.arange(m), PIVOTS), np.repeat(np.argsort(node)[:PIVOTS], m)
+            i, j = i[i != j], j[i != j]
+        near = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+        a, b = node[i[near]], node[j[near]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], names=["a", "b", "key"])
+        if m > PAIRWISE:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([key], pa.int64())], names=["a", "b", "key"])
+
+    return _by_key(keyed, "a long, b long, key long", found)
+
+
+def unmet(keyed: DataFrame, similarity: float) -> DataFrame:
+    """Rows (a, b) of keyed (key, node, n, bits, root): pairs of a key with different roots that size and bits allow."""
+    allowed = (1 - similarity) / (1 + similarity)
+
+    def found(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        node, n, root = (rows.column(k).to_numpy() for k in (1, 2, 4))
+        if len(np.unique(root)) < 2:
+            return
+        bits = rows.column(3).flatten().to_numpy().reshape(-1, LANES)
+        for at in range(0, len(n), 64):
+            i = slice(at, at + 64)
+            last = int(np.searchsorted(n, n[i].max() / similarity + 1e-6, side="right"))
+            for to in range(at, last, 2048):
+                j = slice(to, min(to + 2048, last))
+                differing = np.bitwise_count(bits[i, None] ^ bits[None, j]).sum(axis=2, dtype=np.int64)
+                x, y = n[i, None], n[None, j]
+                ok = (differing <= allowed * (x + y) + 1e-9) & (root[i, None] != root[None, j]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9)
+                p, q = np.nonzero(ok)
+                if len(p):
+                    a, b = node[i][p], node[j][q]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return _by_key(keyed, "a long, b long", found)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, similarity: float, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Those of pairs (a, b), each once, whose sets have the similarity: first by size and bits, then exactly."""
+    side = lambda n: nodes.select(F.col("node").alias(n), F.col("n").alias(f"n_{n}"), F.col("bits").alias(f"s_{n}"))
+    close = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    close = close.filter(_differing(F.col("s_a"), F.col("s_b")) <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-9)
+    close = written(close.select("a", "b"), "similar-close")
+    wanted = nodes.select("node", "id").join(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    held = written(sets(written(wanted, "similar-wanted")), "similar-held")
+    side = lambda n: held.select(F.col("node").alias(n), F.col("shingles").alias(f"s_{n}"))
+    both = close.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size("s_a").alias("x"), F.size("s_b").alias("y"), F.size(F.array_intersect("s_a", "s_b")).alias("both"))
+    return both.filter(F.col("both") / (F.col("x") + F.col("y") - F.col("both")) >= similarity).select("a", "b")
+
+
 def _differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def similar_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) between nodes (node, words, shingles), each node once: verified links that connect similar ones."""
-    low = lambda x: F.pmod(x, F.lit(1 << 32))
-    bands = F.flatten(F.transform("words", lambda x, i: F.array(F.struct((2 * i).alias("band"), low(x).alias("bits")), F.struct((2 * i + 1).alias("band"), low(F.shiftright(x, 32)).alias("bits")))))
-    keyed = nodes.select("node", F.explode(bands).alias("k")).select("node", "k.band", "k.bits")
-    ends = keyed.groupBy("band", "bits").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    met = keyed.join(ends, ["band", "bits"])
-    pairs = met.select("node", F.explode(F.array("low", "high")).alias("other")).filter("node <> other")
-    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    side = lambda n: nodes.select(F.col("node").alias(n), F.col("shingles").alias(f"s_{n}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_differing(F.col("s_a"), F.col("s_b")) <= most_bits(similarity)).select("a", "b")
+def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) between nodes (node, id, n, bits), each once, of sketches; both tables are written. All link similar
+    ones, and they connect all that are similar."""
+    ensure_workers(nodes.sparkSession)
+    keyed = prefixes(rows)
+    pairs = written(met(keyed, similarity), "similar-met")
+    first = written(verified(pairs.filter("key is null").select("a", "b"), nodes, similarity, sets), "similar-first")
+    large = pairs.filter("key is not null").select("key")
+    if not large.limit(1).count():
+        return first
+    rooted = nodes.select("node", "bits").join(components(first, "similar-roots"), "node", "left").select("node", "bits", F.coalesce("root", "node").alias("root"))
+    rest = keyed.join(large, "key", "left_semi").join(rooted, "node").select("key", "node", "n", "bits", "root")
+    return first.unionByName(verified(unmet(rest, similarity), nodes, similarity, sets))
 
 
-def groups(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows (node, root) of a written table of sketches(): roots are equal for texts of a group.
+def groups(rows: DataFrame, similarity: float = SIMILARITY, sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rows (node, root) of a written table of sketches() at that similarity: roots are equal for texts of a group.
 
-    Texts are linked if their shingles are similar, and if their 64-bit fingerprints are within simhash.RADIUS.
+    Texts are linked if their shingles are similar, and if their 64-bit fingerprints are within simhash.RADIUS. Without
+    sets, rows have the column shingles.
     """
-    nodes = written(rows.select(node_of().alias("node"), "fp", "words", "shingles").dropDuplicates(["node"]), "similar-nodes")
+    sets = sets or (lambda n: rows.select("node", "shingles").join(n.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    nodes = written(rows.select("node", "id", "fp", "n", "bits").dropDuplicates(["node"]), "similar-nodes")
     first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     same = nodes.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
     close = links(first.select("fp")).select(F.col("a").alias("fp"), F.col("b").alias("other"))
     close = close.join(first, "fp").select(F.col("other").alias("fp"), F.col("first").alias("a")).join(first, "fp").select("a", F.col("first").alias("b"))
-    edges = similar_links(nodes, similarity).unionByName(close).unionByName(same.filter("a <> b"))
+    edges = similar_links(rows, nodes, similarity, sets).unionByName(close).unionByName(same.filter("a <> b"))
     roots = components(edges, "similar-links")
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def node_of() -> Column:
     """A number for each distinct sketch."""
-    return F.xxhash64("fp", "words", "shingles")
+    return F.col("node")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row of df of each group, all columns: of its smallest id (null ids last), of the smallest fingerprint among
     rows of that id, and any one of rows equal in both.
 
-    df is read twice, and its rows are shuffled once, on fingerprint and id, to meet the names of the rows that stay.
+    df is read up to five times, and its rows are shuffled once, on fingerprint and id, to meet the names of the rows that stay.
     """
     at, (name, own_id, own_fp) = df.columns.index(text_col), (free_name(df, n) for n in ("_fp", "_id", "_stay"))
-    docs = written(sketches(df, id_col, text_col), "similar-sketches")
+    docs = written(sketches(df, id_col, text_col, similarity, common_shingles(df, text_col), whole=False), "similar-sketches")
     named = docs.select("id", "fp", node_of().alias("node")).groupBy("id", "fp", "node").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "node", "n")
     first = named.groupBy("node").agg(F.min(order).alias("r"))  # copies combine before they meet
-    stay = written(first.join(groups(docs, similarity), "node").groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.id").alias(own_id), F.col("r.fp").alias(own_fp), F.col("r.n").alias("n")), "similar-stay")
+    stay = written(first.join(groups(docs, similarity, sets_of(df, id_col, text_col)), "node").groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.id").alias(own_id), F.col("r.fp").alias(own_fp), F.col("r.n").alias("n")), "similar-stay")
     wider = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
 
     def start():

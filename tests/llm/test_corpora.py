@@ -399,3 +399,30 @@ def test_guard():
 
     names = e.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def grouped(spark, texts):
+    rows = written(similar.sketches(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), "similar-test")
+    return {x["id"]: x["root"] for x in rows.select("id", similar.node_of().alias("node")).join(similar.groups(rows), "node").collect()}
+
+
+def fresh(r, n):
+    return [f"{r.getrandbits(40):x}" for _ in range(n)]
+
+
+def test_similar_blocks(spark):
+    """Copies that differ by whole blocks of new, removed or moved words meet."""
+    r = random.Random(11)
+    texts = {}
+    for k in range(60):
+        words = fresh(r, r.choice([60, 200, 600]))
+        n = len(words)
+        block = fresh(r, n // 5 - 1)
+        at = r.randrange(n)
+        copy = [[*words, *block], [*words[:at], *block, *words[at:]], words[: n - n // 6], [*words[n // 2 :], *words[: n // 2]]][k % 4]
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(copy)
+    root, near = grouped(spark, texts), plain_similarities(texts)
+    wanted = [p for p, s in near.items() if s >= 0.8]
+    assert len(wanted) >= 50 and all(root[i] == root[j] for i, j in wanted)
+    left = {x["doc_id"] for x in similar.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert left == {i for i in texts if i % 2 == 0 or root[i - 1] != root[i]}
