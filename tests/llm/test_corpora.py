@@ -426,3 +426,23 @@ def test_similar_blocks(spark):
     assert len(wanted) >= 50 and all(root[i] == root[j] for i, j in wanted)
     left = {x["doc_id"] for x in similar.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert left == {i for i in texts if i % 2 == 0 or root[i - 1] != root[i]}
+
+
+def test_similar_large_buckets(spark):
+    """Copies meet among many texts of one vocabulary, and among many that share most of their shingles."""
+    r = random.Random(12)
+    words, passage, texts = fresh(r, 200), fresh(r, 100), {}
+    for k in range(40):
+        order = r.sample(words, 200)
+        texts[2 * k], texts[2 * k + 1] = " ".join(order), " ".join([*order[150:], *order[:150]])
+    for k in range(40, 80):
+        own = fresh(r, 14)
+        texts[2 * k], texts[2 * k + 1] = " ".join([*passage, *own]), " ".join([*passage, *own[:12], *fresh(r, 2)])
+    root, near = grouped(spark, texts), plain_similarities(texts)
+    want = roots_of([*(p for p, s in near.items() if s >= 0.8), *((i, i) for i in texts)])
+    assert len(set(want.values())) == 80 and all(root[2 * k] == root[2 * k + 1] for k in range(80))
+    nodes = written(similar.sketches(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), "similar-test")
+    ids = {x["node"]: x["id"] for x in nodes.collect()}
+    edges = [tuple(sorted((ids[x["a"]], ids[x["b"]]))) for x in similar.similar_links(nodes, nodes, 0.8, lambda n: nodes.select("node", "shingles")).collect()]
+    assert all(near[e] >= 0.8 for e in edges)  # fingerprints of 64 bits link some more in groups()
+
