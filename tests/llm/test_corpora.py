@@ -446,3 +446,15 @@ def test_similar_large_buckets(spark):
     edges = [tuple(sorted((ids[x["a"]], ids[x["b"]]))) for x in similar.similar_links(nodes, nodes, 0.8, lambda n: nodes.select("node", "shingles")).collect()]
     assert all(near[e] >= 0.8 for e in edges)  # fingerprints of 64 bits link some more in groups()
 
+
+def test_similar_is_exact(spark):
+    """Texts are linked at a similarity of 0.8 or more and never below."""
+    r = random.Random(13)
+    texts = {}
+    for k in range(120):
+        words = fresh(r, 304)
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join([*words, *fresh(r, r.choice([60, 74, 75, 76, 77, 90, 110]))])
+    near = plain_similarities(texts)
+    root = grouped(spark, texts)
+    assert {s >= 0.8 for s in near.values()} == {True, False} and 0.8 in near.values()
+    assert all((root[i] == root[j]) == (s >= 0.8) for (i, j), s in near.items())
