@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,14 @@ from .common import map_rows, strings
 # The kinds in their order, the patterns and their least lengths.
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
-ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, TOKEN_LEAST = 12, 18, 16, 20
+ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, TOKEN_LEAST = 12, 18, 16, 16
 #: A run of at least the least length is the run that the unbounded pattern finds: shorter ones would be dropped.
 ACCESS = re.compile(rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}")
 HEX = re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}")
 TOKEN = re.compile(rf"(?<![\w+/=-])[A-Za-z0-9+/_=-]{{{TOKEN_LEAST},}}(?![\w+/=-])")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+#: Where names and values within a run meet.
+EDGE = re.compile("[=/_-]")
 #: Characters that the chains know; all others share one state.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 # Words that ordinary identifiers are made of.
@@ -92,6 +95,10 @@ class Chains:
         grid = np.linspace(min(x[0] for x in scores), max(x[-1] for x in scores), 2001)
         wrong = [1 - np.searchsorted(scores[0], grid) / len(scores[0]), np.searchsorted(scores[1], grid) / len(scores[1])]
         self.cut = max(0.0, float(grid[np.argmin(np.maximum(*wrong))]))
+        # A stretch within a run must exceed what one in a thousand of two joined identifiers reach.
+        names = [t for t, y in samples if not y]
+        pairs = [f"{a}{'=/-_'[k % 4]}{b}" for k, (a, b) in enumerate(zip(names, names[1:], strict=False))]
+        self.least_sum = float(np.quantile([self.best(t)[2] for t in pairs], 0.999)) if pairs else 0.0
 
     def _states(self, text: str) -> np.ndarray:
         return np.append(0, self.state[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)])
@@ -103,6 +110,14 @@ class Chains:
     def is_random(self, text: str) -> bool:
         return self.score(text) > self.cut
 
+    def best(self, text: str) -> tuple[int, int, float]:
+        """Start, end and sum of the stretch whose ratios exceed the cut by the largest sum."""
+        s = self._states(text)
+        total = np.append(0.0, np.cumsum(self.ratio[s[:-1], s[1:]] - self.cut))
+        rise = total - np.minimum.accumulate(total)
+        end = int(np.argmax(rise))
+        return int(np.argmin(total[: end + 1])), end, float(rise[end])
+
 
 _chains: list[Chains] = []
 
@@ -127,16 +142,43 @@ def base_spans(text: str, hexes: bool = True) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _mixed(s: str) -> bool:
+    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+
+
+def _stretches(s: str, model: Chains) -> Iterator[tuple[int, int]]:
+    """Spans within a run that model takes for random: all of it, or stretches between names, up to the next edges if that is random too."""
+    if len(s) < TOKEN_LEAST or not _mixed(s):
+        return
+    if model.is_random(s):
+        yield 0, len(s)
+        return
+    a, b, total = model.best(s)
+    if total <= model.least_sum:
+        return
+    edge = EDGE.search(s, b)
+    wide = max((m.end() for m in EDGE.finditer(s, 0, a)), default=0), edge.start() if edge else len(s)
+    if model.is_random(s[slice(*wide)]):
+        a, b = wide
+    yield from _stretches(s[:a], model)
+    if b - a >= TOKEN_LEAST and _mixed(s[a:b]):
+        yield a, b
+    for x, y in _stretches(s[b:], model):
+        yield b + x, b + y
+
+
 def markov_spans(text: str, taken: list[tuple[int, int, int]], model: Chains) -> list[tuple[int, int, int]]:
-    """Long tokens that model takes for random and that touch no span of taken.
+    """Long tokens, or stretches of them, that model takes for random and that touch no span of taken.
 
-    A random string has letters and digits; an UUID is an identifier.
+    A random string has letters and digits; an UUID is an identifier. Both cut a run, and what lies around them counts.
     """
     out = []
     for m in TOKEN.finditer(text):
-        s = m[0]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not UUID.fullmatch(s) and model.is_random(s) and not any(a < m.end() and m.start() < b for a, _, b in taken):
-            out.append((m.start(), 3, m.end()))
+        cuts = sorted([(max(a, m.start()), min(b, m.end())) for a, _, b in taken if a < m.end() and m.start() < b] + [x.span() for x in UUID.finditer(text, m.start(), m.end())])
+        at = m.start()
+        for a, b in [*cuts, (m.end(), m.end())]:
+            out += [(at + x, 3, at + y) for x, y in _stretches(text[at:a], model)] if a > at else []
+            at = max(at, b)
     return out
 
 

@@ -125,6 +125,21 @@ def test_markov_model_on_held_out_samples():
     assert secret_scan.markov_spans(add, [(0, 0, len(add))], model) == []
 
 
+def test_markov_model_within_runs():
+    """Secrets behind names, paths and other secrets are found; joined identifiers and UUIDs are not."""
+    model, r = secret_scan.chains(), random.Random(5)
+    for before in ("service/account/project/config/value=", "my_long_snake_case_variable_name_of_it=", "/usr/local/share/application/config/", "long_name-", "550e8400-e29b-41d4-a716-446655440000/"):
+        found = 0
+        for _ in range(300):
+            value = "".join(r.choices(secret_scan.ALPHABET[:62], k=r.randint(16, 40)))
+            found += any(a <= len(before) and b == len(before + value) for a, _, b in secret_scan.markov_spans(before + value, [], model))
+        assert found >= 0.97 * 300
+    text = "sha=0123456789abcdef0/Zk3xQ9vT7bWm2RpL8sYd"
+    assert [text[a:b] for a, _, b in secret_scan.markov_spans(text, secret_scan.base_spans(text), model)] == ["/Zk3xQ9vT7bWm2RpL8sYd"]
+    names = [t for t, y in secret_scan.labelled_samples(1000, seed=99) if not y]
+    assert sum(bool(secret_scan.markov_spans(f"{a}/{b}={c}", [], model)) for a, b, c in zip(names, names[1:], names[2:], strict=False)) <= 5
+
+
 def test_secret_query(spark, edges):
     rows = same_rows(secret_scan.scan(edges))
     for r, (_, text, *_) in zip(rows, EDGES, strict=True):
