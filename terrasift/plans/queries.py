@@ -377,6 +377,20 @@ def delta_from_cumulative(spark: SparkSession, d: str) -> DataFrame:
     return history.deltas(grown, "stream", "seq", "t").select("conv_id", "turn", "seq", "delta")
 
 
+@query("""
+WITH s AS (SELECT conv_id, turn, unnest(range(1, greatest(1, CAST(ceil(length(text) / 40.0) AS BIGINT)) + 1)) AS seq, text FROM conversations),
+c AS (SELECT conv_id, turn, CAST(seq AS INTEGER) AS seq, substr(text, 1, seq * 40) AS t FROM s),
+l AS (SELECT *, lag(t) OVER (PARTITION BY conv_id, turn ORDER BY seq) AS p FROM c)
+SELECT conv_id, turn, seq, CASE WHEN p IS NULL THEN t WHEN starts_with(t, p) THEN substr(t, CAST(length(p) + 1 AS BIGINT)) ELSE t END AS delta FROM l
+""")
+def delta_from_cumulative_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As delta_from_cumulative, with snapshots up to the whole text."""
+    last = F.greatest(F.lit(1), F.ceil(F.char_length("text") / 40).cast("int"))
+    grown = load(spark, d, "conversations").select("conv_id", "turn", F.explode(F.sequence(F.lit(1), last)).alias("seq"), "text")
+    grown = grown.withColumn("t", F.substring(F.col("text"), F.lit(1), F.col("seq") * 40)).withColumn("stream", F.struct("conv_id", "turn"))
+    return history.deltas(grown, "stream", "seq", "t").select("conv_id", "turn", "seq", "delta")
+
+
 # Joins and sets.
 
 

@@ -47,3 +47,11 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(QUERIES) <= set(e.queries())
+
+
+def test_deltas_hold_whole_texts(spark):
+    pieces = {}
+    for r in sorted(QUERIES["delta_from_cumulative_whole"](spark, SMALL).collect()):
+        pieces[r["conv_id"], r["turn"]] = pieces.get((r["conv_id"], r["turn"]), "") + r["delta"]
+    texts = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{SMALL}/conversations.parquet").collect()}
+    assert pieces == texts and max(map(len, texts.values())) > 120
