@@ -88,6 +88,13 @@ def keyword_posting_segments(spark: SparkSession, d: str) -> DataFrame:
     return s.select("token", "segment", F.size("doc_ids").cast("bigint").alias("n"), F.element_at("doc_ids", 1).alias("low"), F.element_at("doc_ids", -1).alias("high"))
 
 
+@query(f"WITH p AS ({_postings}) SELECT token, doc_id // 65536 AS segment, count(*) AS n, array_to_string(list_sort(list(doc_id)), ',') AS doc_ids FROM p GROUP BY 1, 2")
+def keyword_posting_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of every token, however common, by bounded segments."""
+    s = search.posting_segments(load(spark, d, "documents"), text_col="text")
+    return s.select("token", "segment", F.size("doc_ids").cast("bigint").alias("n"), F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"))
+
+
 @query(f"WITH p AS ({_postings}) SELECT (SELECT count(*) FROM documents) AS doc_count, (SELECT count(DISTINCT token) FROM p) AS token_count")
 def keyword_index_counts(spark: SparkSession, d: str) -> DataFrame:
     return search.KeywordIndex.build(load(spark, d, "documents").select("doc_id", "text"), text_col="text").counts()

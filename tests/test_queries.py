@@ -55,3 +55,12 @@ def test_deltas_hold_whole_texts(spark):
         pieces[r["conv_id"], r["turn"]] = pieces.get((r["conv_id"], r["turn"]), "") + r["delta"]
     texts = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{SMALL}/conversations.parquet").collect()}
     assert pieces == texts and max(map(len, texts.values())) > 120
+
+
+def test_posting_ids_of_common_tokens(spark):
+    rows = QUERIES["keyword_posting_ids"](spark, SMALL).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r["token"], []).extend(map(int, r["doc_ids"].split(",")))
+    df = {r["token"]: r["df"] for r in QUERIES["keyword_postings_df"](spark, SMALL).collect()}
+    assert {t: len(set(ids)) for t, ids in held.items()} == df and max(df.values()) > 50
