@@ -4,6 +4,7 @@ the best container is kept with the siblings that belong to it."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -14,28 +15,52 @@ from .common import map_rows, strings
 
 # HTML's elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math xmp noembed noframes".split())
+#: Elements whose content is no markup.
+RAW = frozenset("script style noscript textarea title iframe xmp noembed noframes".split())
 #: Elements that are never part of an article.
-DROPPED = RAW | frozenset("nav footer aside form button select option head object audio video canvas dialog menu fieldset label datalist input".split())
+DROPPED = frozenset("nav footer aside form button select option head object audio video canvas dialog menu fieldset label datalist template svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: A start tag closes an open element of these on top of the stack.
+#: A start tag closes open elements of these on top of the stack.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Block elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-BASE_POINTS = {"article": 10.0, "main": 8.0, "section": 3.0, "div": 3.0, "td": 2.0, "blockquote": 2.0, "pre": 2.0}
+#: Elements that end tags of others do not reach across, but for end tags of these.
+BARRIERS = frozenset("td th table article".split())
+STRUCTURE = frozenset("table tr tbody article body html main section div".split())
 #: Names (class, id, role) of what is no article, as whole words of the name or as a part that is only used so.
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adbox|advert\w*|aside|banner|breadcrumbs?|comments?|commentlist|contact|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pager|pagination|popup|promo\w*|recommend\w*|related|reply|replies|respond|rss|search|share|sharing|side(?:bar|nav)?|signup|social|sponsor\w*|subscribe|tags?|toolbar|topbar|bottombar|widgets?|alert|alerts|gdpr|skip|complementary|contentinfo|discussion|reviews?|copyright|disclaimer|login)(?=$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ads?|adbox|advert\w*|aside|banner|breadcrumbs?|comments?|commentlist|contact|cookies?|consent|disqus|"
+    r"footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pager|pagination|popup|"
+    r"promo\w*|recommend\w*|related|reply|replies|respond|rss|search|share|sharing|side(?:bar|nav)?|signup|social|sponsor\w*|"
+    r"subscribe|tags?|toolbar|topbar|bottombar|widgets?|alert|alerts|gdpr|skip|complementary|contentinfo|discussion|reviews?|"
+    r"copyright|disclaimer|login)(?=$|[\s_-]|\d)",
     re.IGNORECASE,
 )
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?=$|[\s_-])", re.IGNORECASE)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-NAMES = re.compile(r"(?:^|[\s\"'])(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+BESIDE = re.compile(r"(?:has|with|without|no)[_-]\w+|(?:article|entry|post|story|content)[_-]header(?![\w-])", re.IGNORECASE)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
-BESIDE = re.compile(r"(?:has|with|without|no)[_-]\w+|(?:article|entry|post|story|content)[_-]header(?![\w-])", re.IGNORECASE)
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Quotes count only after "="; one that is never closed is part of an unquoted value. No part is tried in two ways.
+VALUE = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)"
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
+    rf"<(/?)([a-zA-Z][^\s/>]*+)((?>[\s]++|/(?!>)|[^\s/>=]++(?:\s*+=\s*+{VALUE})?+|=)*+)(/?+)(?:>|\Z)",
+    re.DOTALL,
+)
+ATTRIBUTE = re.compile(rf"([^\s/>=]++)(?:\s*+=\s*+({VALUE}))?+")
+NAMED = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)
+
+#: Points an element starts with: marked articles, then what usually holds text; and what a likely name adds.
+PRIOR = {"article": 40.0, "main": 30.0, "section": 3.0, "div": 3.0, "td": 2.0, "blockquote": 2.0, "pre": 2.0}
+LIKELY_POINTS = 25.0
+#: Shares of a paragraph's points that its nearest containers get; marked articles around it get all of them.
+PASSED = (1.0, 1 / 2, 1 / 6, 1 / 9, 1 / 12)
+#: A sibling belongs to the best container with this share of its points; a part of it goes with more than this share of
+#: its characters in links, if it has several links.
+SIBLING, LINKED = 0.2, 0.6
+PARTS = frozenset("div section ul ol dl table".split())
 
 
 def unlikely(names: str) -> bool:
@@ -49,216 +74,273 @@ def unlikely(names: str) -> bool:
     return any(bad) and not any(LIKELY.search(x) and not b for x, b in zip(each, bad, strict=True))
 
 
+def attributes(text: str) -> dict[str, str]:
+    """A start tag's attributes, names in lower case; of repeated ones the first."""
+    out: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(text):
+        if value[:1] in "\"'" and value[-1:] == value[:1] and len(value) > 1:
+            value = value[1:-1]
+        out.setdefault(name.lower(), unescape(value))
+    return out
+
+
 class Node:
-    """An element; its children are nodes and texts (str), None stands for a line break."""
+    """An element; its children are nodes and texts (str), None stands for a line break.
 
-    __slots__ = ("tag", "parent", "children", "weight", "score", "dropped", "depth")
+    holder is the block element that its texts belong to; size, linked and links are the characters of its texts, those in
+    links, and its links, of all that lies in it.
+    """
+
+    __slots__ = ("tag", "parent", "children", "holder", "prior", "points", "dropped", "kept", "size", "linked", "links")
 
-    def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
+    def __init__(self, tag: str, parent: Node | None, text: str = "", in_article: bool = False):
         self.tag, self.parent, self.children = tag, parent, []
-        self.weight = self.score = 0.0
-        self.depth = parent.depth + 1 if parent else 0
+        self.holder = parent.holder if parent and tag in INLINE else self
+        self.prior, self.points = PRIOR.get(tag, 0.0), 0.0
+        self.kept, self.size, self.linked, self.links = False, 0, 0, 0
         self.dropped = tag in DROPPED
-        if attributes:
-            for name, *values in NAMES.findall(attributes):
-                value, name = next((v for v in values if v), ""), name.lower()
-                if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN_STYLE.search(value):
-                    self.dropped = True
-                elif name in ("class", "id", "role"):
-                    if unlikely(value) and tag not in ("body", "html", "article", "main"):
-                        self.dropped = True
-                    if LIKELY.search(value):
-                        self.weight += 25.0
+        names = ""
+        if text and NAMED.search(text):
+            got = attributes(text)
+            if "hidden" in got or got.get("aria-hidden", "").lower() == "true" or HIDDEN_STYLE.search(got.get("style", "")):
+                self.dropped = True
+            names = " ".join(got[k] for k in ("class", "id", "role") if k in got)
+            if unlikely(names) and tag not in ("body", "html", "article", "main"):
+                self.dropped = True
+            if LIKELY.search(names) and tag not in ("body", "html"):
+                self.prior += LIKELY_POINTS
         # A page's header is dropped, that of an article is part of it.
-        if tag == "header" and not self.inside("article", "main"):
+        if tag == "header" and not in_article and not BESIDE.search(names):
             self.dropped = True
 
-    def inside(self, *tags: str) -> bool:
-        node = self.parent
-        while node:
-            if node.tag in tags:
-                return True
-            node = node.parent
-        return False
+    @property
+    def score(self) -> float:
+        """Points less the share of links."""
+        return self.points * (1 - self.linked / max(1, self.size))
+
+    @property
+    def total(self) -> float:
+        return (self.prior + self.points) * (1 - self.linked / max(1, self.size))
+
+
+class Stack:
+    """The open elements; finds the nearest of a name without walking down."""
 
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.barriers = [root], {}, []
 
-#: Elements deeper than this become children of the last one, so that a page of open tags costs no more than its length.
-DEEPEST = 400
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
 
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BARRIERS:
+            self.barriers.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def has(self, *tags: str) -> bool:
+        return any(self.at.get(t) for t in tags)
+
+    def close(self, tag: str, structure: frozenset = STRUCTURE) -> bool:
+        """Closes the nearest open element named tag, and all in it; not across barriers unless tag is structure."""
+        found = self.at.get(tag)
+        if not found or tag not in structure and self.barriers and self.barriers[-1] > found[-1]:
+            return False
+        self.cut(found[-1])
+        return True
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            if node.tag in BARRIERS:
+                self.barriers.pop()
+
+
+def parse(html: str) -> list[Node]:
+    """The elements of a page in page order, the first is the root; tags may be unclosed, misnested or cut off."""
+    root = Node("#root", None)
+    stack, made = Stack(root), [root]
+    ends: dict[str, list[int]] = {}  # where the end tags of raw elements begin
+    at = 0
+
+    def text(piece: str) -> None:
+        stack.top.children.append(unescape(piece) if "&" in piece else piece)
 
-def parse(html: str) -> Node:
-    """The tree of a page; tags may be unclosed, misnested or cut off."""
-    root = top = Node("#root", None)
-    at, low = 0, None
     while at < len(html):
         found = html.find("<", at)
         m = None
         while found >= 0 and not (m := TOKEN.match(html, found)):
             found = html.find("<", found + 1)  # a "<" that opens nothing is text
         if not m:
-            top.children.append(html[at:])
+            text(html[at:])
             break
         if found > at:
-            top.children.append(html[at:found])
+            text(html[at:found])
         at = m.end()
         if not m[2]:
             if m[0].startswith("<![CDATA["):
-                top.children.append(m[0][9:].removesuffix("]]>"))
+                stack.top.children.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and top.tag != "p" and not any(True for _ in _open(top, "p")):
-                continue
-            for node in _open(top, tag):
-                top = node.parent or root
-                break
+            stack.close(tag)
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
-                top.children.append(None)
+                stack.top.children.append(None)
             continue
         if tag in RAW:
-            low = html.lower() if low is None else low
-            end = low.find(f"</{tag}", at) if len(low) == len(html) else html.find(f"</{tag}", at)
-            if end < 0:
-                if tag in ("script", "style"):
-                    at = len(html)
+            if m[4]:
                 continue
-            close = html.find(">", end)
-            at = len(html) if close < 0 else close + 1
+            if tag not in ends:
+                ends[tag] = [x.start() for x in re.finditer(rf"</{tag}(?=[\s/>])", html, re.IGNORECASE | re.ASCII)]
+            k = bisect_right(ends[tag], at - 1)
+            if k < len(ends[tag]):
+                close = html.find(">", ends[tag][k])
+                at = len(html) if close < 0 else close + 1
+            elif tag in ("script", "style"):
+                at = len(html)
             continue
         if tag in ENDS_P:
-            for node in _open(top, "p"):
-                top = node.parent or root
-                break
+            for foreign in ("svg", "math"):
+                if stack.has(foreign):  # it was never closed
+                    stack.close(foreign, STRUCTURE | {foreign})
+            stack.close("p")
         elif tag in CLOSES:
-            while top.tag in CLOSES[tag]:
-                top = top.parent or root
-        node = Node(tag, top, m[3])
-        top.children.append(node)
-        if node.depth < DEEPEST and not m[3].endswith("/"):
-            top = node
-    return root
-
-
-def _open(top: Node, tag: str):
-    """The open elements named tag from top on, up to what no end tag reaches across."""
-    node: Node | None = top
-    while node and node.parent:
-        if node.tag == tag:
-            yield node
-        if node.tag in ("td", "th", "table", "article") and tag not in ("table", "tr", "tbody", "article", "body", "html", "main", "section", "div"):
-            return
-        node = node.parent
-
-
-def walk(node: Node, link: bool, blocks: list[tuple[Node, list[str], list[int]]], block: list) -> None:
-    """Collects blocks in page order: their element, texts, and characters [all, in links]. No recursion: pages may be deep."""
-    stack: list = [(node, link, False)]
+            while stack.top.tag in CLOSES[tag]:
+                stack.cut(len(stack.nodes) - 1)
+        node = Node(tag, stack.top, m[3], stack.has("article", "main"))
+        stack.top.children.append(node)
+        made.append(node)
+        if not m[4]:
+            stack.push(node)
+    return made
+
+
+class Block:
+    """Texts without a block element's edge or a line break between them, with their characters, all and in links."""
+
+    __slots__ = ("node", "texts", "size", "linked")
+
+    def __init__(self, node: Node):
+        self.node, self.texts, self.size, self.linked = node, [], 0, 0
+
+
+def blocks_of(root: Node, forms: bool) -> list[Block]:
+    """Blocks in page order; with forms those of form elements, which are dropped otherwise. No recursion: pages may be deep."""
+    out: list[Block] = []
+    block: Block | None = None
+    stack: list = [(root, False)]
     while stack:
-        item, in_link, leaving = stack.pop()
-        if leaving:
-            block[0] = None
-        elif isinstance(item, Node):
-            if item.dropped:
-                block[0] = None if item.tag not in INLINE else block[0]
+        item, link = stack.pop()
+        if isinstance(item, Node):
+            if item.tag not in INLINE:
+                block = None
+            if item.dropped and not (forms and item.tag == "form"):
                 continue
-            inner = in_link or item.tag == "a"
+            inner = link or item.tag == "a"
             if item.tag not in INLINE:
-                block[0] = None
-                stack.append((item, False, True))
-            for child in reversed(item.children):
-                stack.append(((child, item), inner, False))
+                stack.append((None, link))
+            elif item.tag == "a":
+                item.holder.links += 1
+            stack.extend((child if child is None or isinstance(child, Node) else (child, item), inner) for child in reversed(item.children))
+        elif item is None:
+            block = None
         else:
-            child, parent = item
-            if child is None:
-                block[0] = None
-            elif isinstance(child, Node):
-                stack.append((child, in_link, False))
-            else:
-                if block[0] is None:
-                    if not child.strip():
-                        continue
-                    block[0] = (parent, [], [0, 0])
-                    blocks.append(block[0])
-                block[0][1].append(child)
-                size = len(child.strip())
-                block[0][2][0] += size
-                block[0][2][1] += size * in_link
-
-
-def holder(node: Node) -> Node:
-    """The block element of a text's element."""
-    while node.tag in INLINE and node.parent:
-        node = node.parent
-    return node
+            piece, parent = item
+            if block is None:
+                if not piece.strip():
+                    continue
+                block = Block(parent)
+                out.append(block)
+            block.texts.append(piece)
+            size = len(piece.strip())
+            block.size += size
+            block.linked += size * link
+    return out
+
+
+def points_of(block: Block) -> float:
+    """A paragraph's points: one, one more for each comma, up to three for its length, less the share of links."""
+    if block.node.holder.tag in HEADINGS or block.size < 10:
+        return 0.0
+    commas = sum(t.count(",") + t.count("،") for t in block.texts)
+    return (1 + commas + min(3.0, block.size / 100)) * (1 - block.linked / max(1, block.size))
+
+
+def scored(made: list[Node], blocks: list[Block]) -> None:
+    """Passes the blocks' points and sizes to the elements that hold them."""
+    marked: dict[int, Node | None] = {}  # the nearest marked article around an element
+    for node in made:
+        up = node.parent
+        marked[id(node)] = None if up is None else up if up.tag in ("article", "main") else marked[id(up)]
+    whole: dict[int, float] = {}
+    for block in blocks:
+        own = block.node.holder
+        own.size += block.size
+        own.linked += block.linked
+        points = points_of(block)
+        up = own.parent if own.tag in ("p", "pre", "li", "dt", "dd", *HEADINGS) and own.parent else own
+        article = up if up.tag in ("article", "main") else marked[id(up)]
+        if article:
+            whole[id(article)] = whole.get(id(article), 0.0) + points
+        for share in PASSED:
+            if up is None:
+                break
+            up.points += share * points
+            up = up.parent
+    for node in reversed(made):  # children come after their parents
+        if node.tag in ("article", "main"):
+            node.points = whole.get(id(node), 0.0)
+        if node.parent:
+            node.parent.size += node.size
+            node.parent.linked += node.linked
+            node.parent.links += node.links
+            if node.tag in ("article", "main") and (up := marked[id(node)]):
+                whole[id(up)] = whole.get(id(up), 0.0) + node.points
+
+
+def chosen(made: list[Node], blocks: list[Block]) -> set[int]:
+    """The best container (the first of equal ones) and the siblings that belong to it."""
+    best = max((n for n in made if n.size and n.tag not in INLINE and n.tag not in ("p", "li", *HEADINGS)), key=lambda n: n.total, default=made[0])
+    keep = {id(best)}
+    marked = best.tag in ("article", "main")
+    for other in best.parent.children if best.parent else []:
+        if not isinstance(other, Node) or other is best or other.dropped or not other.size:
+            continue
+        link = other.linked / other.size
+        paragraph = other.tag == "p" and (link < 0.25 if other.size > 80 else link == 0)
+        alike = other.points > 0 and other.score >= SIBLING * best.score
+        if alike and (other.tag == best.tag or not marked) or not marked and (paragraph or other.tag in HEADINGS):
+            keep.add(id(other))
+    return keep
 
 
 def extract(html: str) -> str:
     """The main text: blocks in page order, white space inside each as one space, joined by one space; empty if none."""
-    root = parse(html)
-    blocks: list = []
-    walk(root, False, blocks, [None])
+    made = parse(html)
+    blocks = blocks_of(made[0], False) or blocks_of(made[0], True)
     if not blocks:
         return ""
-    # Paragraphs pass points for length and commas to their ancestors, the less the further up.
-    total: dict[int, list[int]] = {}
-    scored: dict[int, Node] = {}
-    for node, texts, (size, in_link) in blocks:
-        text = " ".join(texts)
-        own = holder(node)
-        points = 0.0 if own.tag in HEADINGS else (1 + text.count(",") + text.count("، ") + min(3.0, size / 100)) * (1 - in_link / max(1, size))
-        level, up = 0, own if own.tag not in ("p", "pre", "li", "td", "blockquote", *HEADINGS) else own.parent
-        up = up or own
-        while up:
-            if id(up) not in scored:
-                scored[id(up)] = up
-                up.score += up.weight + BASE_POINTS.get(up.tag, 0.0)
-            if size >= 10 or level == 0:
-                up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = up.parent, level + 1
-        up = own
-        while up:
-            t = total.setdefault(id(up), [0, 0])
-            t[0] += size
-            t[1] += in_link
-            up = up.parent
-    density = lambda n: total[id(n)][1] / max(1, total[id(n)][0]) if id(n) in total else 0.0
-    best = max(scored.values(), key=lambda n: n.score * (1 - density(n)))
-    article = best
-    while article and article.tag not in ("article", "main"):
-        article = article.parent
-    if article is not None:  # a part of a marked article stands for the whole
-        best = article
-    keep = {id(best)}
-    if best.parent is not None:
-        least = 0.2 * best.score * (1 - density(best))
-        for other in best.parent.children:
-            if not isinstance(other, Node) or other is best or other.dropped or id(other) not in total:
-                continue
-            size, in_link = total[id(other)]
-            link = in_link / max(1, size)
-            paragraph = other.tag == "p" and (size > 80 and link < 0.25 or 0 < size and link == 0) and best.tag not in ("article", "main")
-            alike = other.score * (1 - link) >= least and (other.tag == best.tag or best.tag not in ("article", "main"))
-            if paragraph or alike or other.tag in HEADINGS and best.tag not in ("article", "main"):
-                keep.add(id(other))
-    out = []
-    for node, texts, _ in blocks:
-        up: Node | None = node
-        while up and id(up) not in keep:
-            up = up.parent
-        if up:
-            text = SPACE.sub(" ", unescape("".join(texts))).strip()
-            if text:
-                out.append(text)
-    return " ".join(out)
+    scored(made, blocks)
+    keep = chosen(made, blocks)
+    for node in made:  # parents come first
+        above = node.parent is not None and node.parent.kept
+        menu = above and node.tag in PARTS and node.links > 1 and node.linked > LINKED * node.size
+        node.kept = id(node) in keep or above and not menu
+    texts = (SPACE.sub(" ", "".join(b.texts)).strip() for b in blocks if b.node.kept)
+    return " ".join(t for t in texts if t)
 
 
 def main_text(df: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
     """Rows (id columns, text, n_chars): the main text of each page and its code points.
 
-    Null and empty pages, and pages without text outside what is dropped, give the empty text. Every row gives one row;
-    other columns are ignored. A page is parsed whole, in memory of its own size, in time linear in its length.
+    Null and empty pages, and pages without text outside what is dropped, give the empty text. Forms are dropped; if all
+    text of a page lies in forms (some systems wrap the whole page in one) they are read like any other element. Notices
+    and disclaimers are dropped by their names, inside an article too; so are lists of links. Every row gives one row; other
+    columns are ignored. A page is parsed whole, in memory of its own size, in time linear in its length at any depth.
     """
     k = len(id_cols)
     schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in id_cols), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

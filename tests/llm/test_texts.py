@@ -233,6 +233,131 @@ def test_html_broken():
     assert html_text.extract(f"<div class='ad'>{PARA}</div>") == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>a</p><svg/><p>b</p>", "a b"),
+        ("<p>a</p><iframe src='x'/><p>b</p>", "a b"),
+        ("<p>a</p><a name='x'/><p>b", "a b"),
+        ("<p>a</p><svg><title>no</title><g><svg>no</svg></g></svg><p>b</p>", "a b"),
+        ("<p>a</p><svg><p>b", "a b"),
+        ("<p>\u0130</p><script>no</SCRIPT><p>b</p>", "\u0130 b"),
+        ("<p>a</p><script>no</\u017fcript>no</script ><p>b</p>", "a b"),
+        ("<p title=don't>a</p><p>b</p>", "a b"),
+        ('<p title="never closed>a</p><p>b</p>', "a b"),
+        ("<p title='>' =x / data-a=b/>a</p>", "a"),
+        ("<p title=\"class='ad'\">a</p>", "a"),
+        ("<p>&am<b>p; c</b></p>", "&amp; c"),
+        ("<!--><p>a</p><!-- no --!><p>b</p>", "a b"),
+        (f"<form action=x><nav>no</nav><div>{PARA}</div></form>", PARA),
+        (f"<form>no</form><div>{PARA}</div>", PARA),
+        ("<div>" * 1000 + f"<nav>no</nav><div class=sidebar>no</div><p>{PARA}", PARA),
+    ],
+)
+def test_html_keeps_texts(page, text):
+    assert html_text.extract(page) == text
+
+
+def test_html_points_and_links_decide(monkeypatch):
+    """Neither marks nor names tell article from boilerplate: points and link density do."""
+    links = "".join(f"<li><a href=/{k}>entry {k}, of a menu, with commas, and a long name that scores</a></li>" for k in range(9))
+    short = "<p>Sign in now.</p><p>Your basket is empty.</p>"
+    page = f"<body><div><ul>{links}</ul></div><div>{short}</div><section><div><p>{PARA}</p><p>{PARA}</p><ul>{links}</ul><p>{PARA}</p></div></section><div>{short}</div></body>"
+    assert html_text.extract(page) == " ".join([PARA] * 3)
+    monkeypatch.setattr(html_text, "points_of", lambda block: 0.0)
+    assert html_text.extract(page) != " ".join([PARA] * 3)
+    monkeypatch.undo()
+    teasers = "".join(f"<article><p>teaser {k}</p></article>" for k in range(4))
+    story = f"<div>{''.join(f'<p>{PARA} {k}</p>' for k in range(30))}</div>"
+    assert html_text.extract(f"<div>{teasers}</div>{story}") == " ".join(f"{PARA} {k}" for k in range(30))  # a mark is no verdict
+    own = html_text.points_of
+    monkeypatch.setattr(html_text, "points_of", lambda block: own(block) / 100)
+    assert html_text.extract(f"<div>{teasers}</div>{story}") != " ".join(f"{PARA} {k}" for k in range(30))
+
+
+def plain_extract(tree):
+    """The rules as they are stated, over a tree (tag, children) of texts, each said to be a link or not."""
+    parents, every = {}, []
+
+    def visit(node, parent):
+        parents[id(node)] = parent
+        every.append(node)
+        for c in node[1]:
+            if isinstance(c[1], list):
+                visit(c, node)
+
+    visit(tree, None)
+    inside = lambda n: [c for c in n[1] if not isinstance(c[1], list)] + [t for c in n[1] if isinstance(c[1], list) for t in inside(c)]
+    texts = lambda n: [c for c in n[1] if not isinstance(c[1], list)]
+    size = lambda ts: sum(len(t) for t, _ in ts)
+    density = lambda ts: size([t for t in ts if t[1]]) / max(1, size(ts))
+    worth = lambda ts: 0.0 if size(ts) < 10 else (1 + sum(t.count(",") for t, _ in ts) + min(3, size(ts) / 100)) * (1 - density(ts))
+    marked = lambda n: n is not None and (n[0] == "article" or marked(parents[id(n)]))
+    points = dict.fromkeys(map(id, every), 0.0)
+    for n in every:
+        if texts(n) and n[0] != "h2":
+            up = parents[id(n)] if n[0] == "p" else n
+            w, near_one = worth(texts(n)), up
+            while near_one is not None and near_one[0] != "article":
+                near_one = parents[id(near_one)]
+            while near_one is not None:  # marked articles get all
+                if near_one[0] == "article":
+                    points[id(near_one)] += w
+                near_one = parents[id(near_one)]
+            for share in (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12):
+                if up is None:
+                    break
+                if up[0] != "article":
+                    points[id(up)] += share * w
+                up = parents[id(up)]
+    prior = {"article": 40, "section": 3, "div": 3}
+    of = [n for n in every if n[0] not in ("p", "h2") and inside(n)]
+    best = max(of, key=lambda n: round((prior.get(n[0], 0) + points[id(n)]) * (1 - density(inside(n))), 9), default=tree)
+    keep = [best]
+    score = lambda n: points[id(n)] * (1 - density(inside(n)))
+    for other in parents[id(best)][1] if parents[id(best)] else []:
+        if isinstance(other[1], list) and other is not best and inside(other):
+            link, long = density(inside(other)), size(inside(other)) > 80
+            alike = points[id(other)] > 0 and score(other) >= 0.2 * score(best)
+            if alike and (other[0] == best[0] or best[0] != "article") or best[0] != "article" and (other[0] == "h2" or other[0] == "p" and (link < 0.25 if long else link == 0)):
+                keep.append(other)
+
+    def out(n, kept):
+        links = sum(1 for t in inside(n) if t[1])
+        kept = any(n is k for k in keep) or kept and not (n[0] in ("div", "section") and links > 1 and size([t for t in inside(n) if t[1]]) > 0.6 * size(inside(n)))
+        own = [" ".join(t for t, _ in texts(n))] if kept and texts(n) else []
+        return own + [x for c in n[1] if isinstance(c[1], list) for x in out(c, kept)]
+
+    return " ".join(out(tree, False))
+
+
+def test_html_scoring_against_plain_rules():
+    r = random.Random(4)
+
+    def grown(depth):
+        tag = r.choice(["div", "div", "section", "article"]) if depth < 4 else "p"
+        if depth >= 2 and r.random() < 0.7:
+            tag = r.choice(["p", "p", "p", "h2"])
+        if tag in ("p", "h2"):
+            first = r.random() < 0.3  # links and other texts take turns
+            return (tag, [(" ".join(r.choices(["lorem,", "ipsum", "dolor", "sit,", "amet"], k=r.randint(1, 30))), (k % 2 == 0) == first) for k in range(r.choice([1, 1, 1, 2, 3]))])
+        return (tag, [grown(depth + 1) for _ in range(r.randint(1, 4))])
+
+    def html(n):
+        if not isinstance(n[1], list):
+            return f"<a href=x>{n[0]}</a>" if n[1] else n[0]
+        inner = (" " if n[0] in ("p", "h2") else "").join(map(html, n[1]))
+        return inner if n[0] == "#root" else f"<{n[0]}>{inner}</{n[0]}>"
+
+    different = set()
+    for _ in range(400):
+        tree = ("#root", [grown(0) for _ in range(r.randint(1, 4))])
+        got = html_text.extract(html(tree))
+        assert got == plain_extract(tree), html(tree)
+        different.add(got)
+    assert len(different) > 350
+
+
 @given(st.text(alphabet="<>/p div\"'=&;!-a\n", max_size=80))
 @settings(max_examples=300, deadline=None)
 def test_html_never_raises(page):
@@ -251,6 +376,9 @@ def test_html_query(spark):
     odd = spark.createDataFrame([(1, None, None, 1), (1, None, None, 1), (None, "u", f"<p>{escape(PARA)}</p>", 2)], "page_id long, url string, html string, n_chars int")
     assert sorted((r["n_chars"] for r in html_text.main_text(odd).collect())) == [0, 0, len(PARA)]
     assert html_text.main_text(odd.filter("false")).count() == 0
+    long = f"<div><p>{PARA}</p>" * 20_000
+    clash = spark.createDataFrame([(1, long, long, "x")], "page_id long, url string, html string, text string")
+    assert html_text.main_text(clash).first()["text"] == " ".join([PARA] * 20_000)
 
 
 # Models.
