@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..shared import ensure_workers
+from ..shared import ensure_workers, fresh_path, remove
 
 #: Rows that a Python worker holds as Python objects at a time; bounds its memory.
 ROWS_AT_ONCE = 128
@@ -22,23 +20,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the session has none, as in tests, a temporary one is set for this session.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="terrasift-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{str(base).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    return fresh_path(spark, name)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once: a table in the shared folder, which any executor can read again."""
+def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and that table's path."""
     spark = df.sparkSession
-    path = shared_folder(spark, name)
+    path = fresh_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once: a table in the shared folder, which any executor can read again.
+
+    It stays until the caller removes it (``shared.tables_of_run`` removes all that a run wrote).
+    """
+    return write_table(df, name)[0]
 
 
 def train_row(doc_id: Column) -> Column:
@@ -86,39 +85,53 @@ def map_rows(df: DataFrame, schema: T.StructType, start: Callable[[], Callable[[
     return df.mapInArrow(run, schema)
 
 
+#: A node is a hub if more than one in so many edge ends are its own; so there are at most so many hubs.
+HUBS = 4000
+
+
+def _starred(e: DataFrame, edges: int, small: bool) -> DataFrame:
+    """One large-star or small-star step over edges (a, b), a > b, of which there are edges."""
+    both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if not small:
+        both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    limit = 2 * edges / HUBS
+    hubs = least.filter(F.col("n") > limit).select("u", F.col("m").alias("hub_m"))  # HUBS rows at most
+    marked = both.join(F.broadcast(hubs), "u", "left")
+    joined = marked.filter("hub_m is not null").select("u", "v", F.col("hub_m").alias("m"))
+    joined = joined.unionByName(marked.filter("hub_m is null").select("u", "v").join(least.filter(F.col("n") <= limit).select("u", "m"), "u"))
+    if small:
+        out = joined.select(F.col("v").alias("a"), F.col("m").alias("b"))
+        out = out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    else:
+        out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        out = out.unionByName(least.filter(F.col("m") < F.col("u")).select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return _ordered(out)
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b), both long: one row (node, root) per node, root the smallest node reachable.
 
     Alternates large-star and small-star steps (map-reduce connected components by stars). Edges stay distributed, every
-    round is a table in the shared folder (so lineage is cut and a lost executor costs one round), and a hub's
-    neighbours are never gathered: only minima are grouped, and those combine before the shuffle. Null ends are dropped.
+    round is a table in the shared folder (so lineage is cut and a lost executor costs one round) that replaces the last
+    one, and a hub's neighbours are never gathered: only minima are grouped, which combine before the shuffle, and the
+    few hubs' minima are broadcast to their edges. Null ends are dropped.
     """
     spark = edges.sparkSession
-
-    def star(e: DataFrame, small: bool) -> DataFrame:
-        both = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        if not small:
-            both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        joined = both.join(least, "u")
-        if small:
-            out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        else:
-            out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-            out = out.unionByName(least.filter(F.col("m") < F.col("u")).select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    nodes = edges.filter("a is not null and b is not null")
-    e = written(nodes.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    sums = lambda d: d.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.countDistinct("a")).first()
+    e, path = write_table(_ordered(edges.filter("a is not null and b is not null")), name)
     before = None
     for _ in range(rounds):
-        now = tuple(sums(e))
+        now = tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.countDistinct("a")).first())
         # A star forest has one edge per leaf, and no step changes it.
         if now[0] == 0 or now == before:
             break
-        before = now
-        e = written(star(star(e, small=False), small=True), name)
+        before, old = now, path
+        e, path = write_table(_starred(_ordered(_starred(e, now[0], small=False)), 2 * now[0], small=True), name)
+        remove(spark, old)
     else:
         raise RuntimeError(f"components: no fixed point after {rounds} rounds")
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -47,17 +47,21 @@ PAIRWISE = 64
 
 def fingerprint(data: bytes, width: int = SHINGLE) -> int:
     """SimHash of a text in UTF-8: a bit is 1 if over half of the shingles' hashes have it; 0 without words."""
-    words = data.translate(LOWER).split()
+    return fingerprint_of(data.translate(LOWER).split(), width)
+
+
+def fingerprint_of(words: list[bytes], width: int = SHINGLE) -> int:
+    """fingerprint() of a text's lower-case words."""
     if not words:
         return 0
     n = max(1, len(words) - width + 1)
     line = b" ".join(words)
-    ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
-    starts = [0, *(x + 1 for x in ends[:-1])]
     digest = xxhash.xxh64_intdigest
     if n == 1:
         h = [digest(line, SEED)]
     else:
+        ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
+        starts = [0, *(x + 1 for x in ends[:-1])]
         h = [digest(line[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])]  # noqa: B905  as many as there are ends
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):

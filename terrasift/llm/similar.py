@@ -7,16 +7,18 @@ by the shingles themselves (their 64-bit hashes):
 1. In one order of all shingles (common ones last, then by hash) two sets of Jaccard similarity s or more share one of
    their first n - ceil(s n) + 1 shingles. Any order is exact; common ones are only last to keep buckets small.
 2. Texts that share such a shingle form a bucket. Of a small bucket all pairs are candidates. In a large one all meet a few
-   pivots first; then every pair that these links leave unconnected is a candidate, so copies make no square of pairs.
+   pivots first; hot buckets are dealt over many tasks, whose pivots then meet one another.
 3. Pairs are ruled out by size and by a parity sketch: sketches differ in no more bits than the sets in shingles.
-4. The rest are linked if the Jaccard similarity of their sets is s or more.
+4. The rest are linked if the Jaccard similarity of their sets is s or more. Each text is first compared with one
+   candidate; pairs that these links connect need no comparison of their own, so copies make no square of pairs.
+5. In large buckets whose members are still unconnected the pairs across groups are candidates in turn, in cells of
+   bounded size.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,56 +29,50 @@ from pyspark.sql import types as T
 
 from ..shared import ensure_workers
 from .common import components, free_name, map_rows, octets, written
-from .simhash import LOWER, SEED, fingerprint, links
+from .simhash import LOWER, SEED, fingerprint_of, links
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Words of 64 bits of a parity sketch and of a wide fingerprint; standard errors by which an estimate may fall short of the similarity.
-LANES, SLACK = 12, 1.5
-#: Nodes that common shingles are counted in, how many hold one, and how many are kept.
-SAMPLE, OFTEN, COMMON = 20_000, 8, 20_000
+#: Words of 64 bits of a parity sketch.
+LANES = 12
+#: Texts that common shingles are counted in, how many hold one, and how many are kept.
+SAMPLE, OFTEN, COMMON = 10_000, 6, 20_000
 #: Up to so many nodes of a bucket are compared as pairs at once; more meet so many pivots first.
-PAIRWISE, PIVOTS = 16, 8
+PAIRWISE, PIVOTS = 16, 3
+#: Nodes of a cell, in the mean; buckets of more than this share of all entries, and of more nodes than a cell, are dealt.
+CELL, SHARE = 4096, 1 / 4000
 #: Bits that say which texts are read again.
 PLACES = 1 << 25
-_lanes = np.random.default_rng(23).integers(1, 2**63, LANES, np.uint64) | np.uint64(1)
-
+#: Nodes that a task remembers to have passed on.
+MEMORY = 500_000
+_steps = np.random.default_rng(23).integers(1, 2**63, WIDTH, np.uint64) | np.uint64(1)
+_LONGS = T.ArrayType(T.LongType())
 
-def most_bits(similarity: float = SIMILARITY, slack: float = SLACK) -> int:
-    """Differing bits up to which texts count as similar.
 
-    Sets of Jaccard similarity s have an angle whose cosine is 2 s / (1 + s); each bit differs with the angle's share of pi.
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * LANES
-    return round(p * bits + slack * math.sqrt(p * (1 - p) * bits))
+def _longs(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(c, T.LongType()) for c in names])
 
 
-def wide(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of 64 * LANES bits of distinct 64-bit hashes, as LANES signed longs; zeros without any."""
-    ones = np.zeros(64 * LANES, np.int64)
-    for at in range(0, len(hashes), 4096):
-        x = hashes[at : at + 4096, None] * _lanes
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
-        for k in range(0, len(bits), 255):  # counts of 255 rows fit a byte
-            ones += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct runs of WIDTH words (of all words if there are fewer), from the words' own."""
+    digest = xxhash.xxh64_intdigest
+    known: dict[bytes, int] = {w: digest(w, SEED) for w in set(words)}
+    x = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    n, width = max(1, len(words) - WIDTH + 1), min(WIDTH, len(words))
+    h = np.full(n if words else 0, width, np.uint64)
+    for k in range(width):
+        h += x[k : k + n] * _steps[k]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return np.unique(h.view(np.int64))
 
 
 def sketch(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Fingerprint of 64 bits, node, parity sketch, and the sorted hashes of distinct shingles (the whole text if shorter)."""
+    """Fingerprint of 64 bits, node, parity sketch, and the sorted hashes of distinct shingles."""
     words = data.translate(LOWER).split()
-    line = b" ".join(words)
-    ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
-    starts = [0, *(x + 1 for x in ends[:-1])]
-    cut = {line[a:b] for a, b in zip(starts, ends[WIDTH - 1 :])} if len(words) >= WIDTH else {line} if words else set()  # noqa: B905  as many as there are ends
-    digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.array([digest(x, SEED) for x in cut], np.uint64).view(np.int64))
-    fp = fingerprint(data)
+    hashes, fp = shingles(words), fingerprint_of(words)
     odd = np.bincount((hashes.view(np.uint64) >> np.uint64(20)).astype(np.int64) % (64 * LANES), minlength=64 * LANES) & 1
-    return fp, digest(fp.to_bytes(8, "little") + hashes.tobytes(), SEED), np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"), hashes
+    node = xxhash.xxh64_intdigest(fp.to_bytes(8, "little") + hashes.tobytes(), SEED)
+    return fp, node, np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"), hashes
 
 
 def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
@@ -87,23 +83,25 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndar
     return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
 
 
-_LONGS = T.ArrayType(T.LongType())
-
-
 def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, common: np.ndarray = np.empty(0, np.int64), whole: bool = True) -> DataFrame:  # noqa: B008
-    """Rows (id, fp, node, n, bits, prefix, shingles) of each row of df, without whole not the last; null and empty texts
-    have zeros and no shingles."""
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("fp", "node", "n")), *(T.StructField(c, _LONGS) for c in ("bits", "prefix", *["shingles"] * whole))])
+    """Rows (id, h, fp, node, n, bits, prefix, shingles) of each row of df, without whole not the last.
+
+    h tells texts apart, node distinct sketches. Null and empty texts have zeros and no shingles.
+    """
+    arrays = ("bits", "prefix", *["shingles"] * whole)
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *_longs("h", "fp", "node", "n").fields, *(T.StructField(c, _LONGS) for c in arrays)])
 
     def start():
         def f(batch: pa.RecordBatch) -> list:
-            made = [sketch(x) for x in octets(batch.column(1))]
-            numbers = (pa.array(np.array([m[k] for m in made], np.uint64).view(np.int64)) for k in (0, 1))
-            return [batch.column(0), *numbers, [len(m[3]) for m in made], [m[2] for m in made], [prefix(m[3], similarity, common) for m in made], *[[m[3] for m in made]] * whole]
+            made = [sketch(x) for x in octets(batch.column(2))]
+            fps, nodes = (pa.array(np.array([m[k] for m in made], np.uint64).view(np.int64)) for k in (0, 1))
+            sets = [m[3] for m in made]
+            starts = [prefix(x, similarity, common) for x in sets]
+            return [batch.column(0), batch.column(1), fps, nodes, [len(x) for x in sets], [m[2] for m in made], starts, *[sets] * whole]
 
         return f
 
-    return map_rows(df.select(id_col, text_col), schema, start)
+    return map_rows(df.select(id_col, F.xxhash64(text_col).alias("h"), text_col), schema, start)
 
 
 def common_shingles(df: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -112,8 +110,16 @@ def common_shingles(df: DataFrame, text_col: str = "text") -> np.ndarray:
     They only order the shingles: whichever they are, no pair is lost.
     """
     share = int(SAMPLE / max(SAMPLE, df.count()) * (1 << 20)) + 1
-    part = df.filter(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < share).select(F.lit(0).alias("id"), text_col).dropDuplicates([text_col])
-    held = sketches(part, "id", text_col).select(F.explode("shingles").alias("s"))
+    part = df.filter(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < share).select(text_col).distinct()
+
+    def start():
+        def f(batch: pa.RecordBatch) -> list:
+            found = [shingles(x.translate(LOWER).split()) for x in octets(batch.column(0))]
+            return [pa.array(np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int64))]
+
+        return f
+
+    held = map_rows(part, _longs("s"), start)
     often = held.groupBy("s").count().filter(f"count >= {OFTEN}").orderBy(F.desc("count"), "s").limit(COMMON)
     return np.array(sorted(r["s"] for r in often.collect()), np.int64)
 
@@ -127,7 +133,7 @@ def sets_of(df: DataFrame, id_col: str, text_col: str) -> Callable[[DataFrame],
     def of(nodes: DataFrame) -> DataFrame:
         place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
         flags = nodes.select(place("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-        maps = {r["k"]: bytes(r["m"]) for r in flags.collect()}
+        maps = {r["k"]: bytes(r["m"]) for r in flags.collect()}  # PLACES bits
         shared = df.sparkSession.sparkContext.broadcast(maps)
         schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", _LONGS)])
         first = F.bitmap_bucket_number(place(F.col(id_col))), F.bitmap_bit_position(place(F.col(id_col)))
@@ -148,117 +154,218 @@ def sets_of(df: DataFrame, id_col: str, text_col: str) -> Callable[[DataFrame],
     return of
 
 
-def prefixes(rows: DataFrame) -> DataFrame:
-    """Rows (key, node, n) of the prefixes of sketches; copies of a node may repeat."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "node", "n")])
+def hot_keys(rows: DataFrame) -> dict[int, int]:
+    """Buckets that are dealt over several tasks, and over how many: estimated from the prefixes of some SAMPLE nodes.
+
+    There are 1 / SHARE of them at most. An estimate only changes where pairs meet, not which.
+    """
+    n = rows.count()
+    part = int(SAMPLE / max(SAMPLE, n) * (1 << 20)) + 1
+    some = rows.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < part)
+    entries = some.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    scale = (1 << 20) / min(part, 1 << 20)
+    most = max(CELL, SHARE * entries * scale)
+    counted = some.select(F.explode("prefix").alias("key")).groupBy("key").count().filter(F.col("count") * scale > most)
+    return {r["key"]: math.ceil(r["count"] * scale / most) for r in counted.collect()}
+
+
+def _mixed(key: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """A key for each key and salt."""
+    with np.errstate(over="ignore"):
+        h = (key.view(np.uint64) + (salt.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(31))).view(np.int64)
+
+
+def prefixes(rows: DataFrame, hot: dict[int, int] | None = None) -> DataFrame:
+    """Rows (key, node, n) of the prefixes of sketches, keys of hot buckets salted; copies of a node may repeat."""
+    keys = np.array(sorted(hot or {}), np.int64)
+    salts = np.array([hot[k] for k in keys.tolist()], np.uint64) if hot else None
 
     def start():
         seen: set[int] = set()
 
         def f(batch: pa.RecordBatch) -> list:
-            node = batch.column(0).to_pylist()
-            new = [x not in seen and not seen.add(x) for x in node]
+            if len(seen) > MEMORY:
+                seen.clear()
+            new = [x not in seen and not seen.add(x) for x in batch.column(0).to_pylist()]
             batch = batch.filter(pa.array(new, pa.bool_()))
             times = batch.column(2).value_lengths().to_numpy()
-            return [batch.column(2).flatten(), *(pa.array(np.repeat(batch.column(k).to_numpy(), times)) for k in (0, 1))]
+            key = batch.column(2).flatten().to_numpy()
+            node, n = (np.repeat(batch.column(k).to_numpy(), times) for k in (0, 1))
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                dealt = np.flatnonzero(keys[at] == key)
+                key = key.copy()
+                key[dealt] = _mixed(key[dealt], node[dealt].view(np.uint64) % salts[at[dealt]])
+            return [pa.array(key), pa.array(node), pa.array(n)]
 
         return f
 
-    return map_rows(rows.select("node", "n", "prefix"), schema, start)
+    return map_rows(rows.select("node", "n", "prefix"), _longs("key", "node", "n"), start)
 
 
-def _by_key(df: DataFrame, schema: str, found) -> DataFrame:
-    """found(columns of one key's rows, sorted by n and node) yields record batches of schema; df starts with key."""
-    width = len(df.columns)
+#: Kinds of met()'s rows.
+PAIR, MEMBER, PIVOT = range(3)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.Table] = []
 
-        def of(*parts: pa.Table) -> Iterator[pa.RecordBatch]:
-            rows = pa.concat_tables(parts).combine_chunks().to_batches()[0]
-            node = rows.column(1).to_numpy()
-            new = np.append(True, node[1:] != node[:-1])
-            return found(rows if new.all() else rows.filter(pa.array(new)))
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-            if kept and kept[0].column(0)[0].as_py() != key[0]:
-                yield from of(*kept)
-                kept = []
-            bounds = [0, *cuts.tolist(), len(key)]
-            for a, b in zip(bounds[:-2], bounds[1:-1], strict=True):
-                if kept or b - a > 1:
-                    part = pa.Table.from_batches([batch.slice(a, b - a)])
-                    yield from of(*kept, part)
-                    kept = []
-            kept.append(pa.Table.from_batches([batch.slice(bounds[-2])]))
-        if kept:
-            yield from of(*kept)
-
-    assert df.columns[0] == "key" and width > 2
-    return df.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(run, schema)
+def met(keyed: DataFrame, similarity: float, hot: dict[int, int] | None = None) -> DataFrame:
+    """Rows (kind, a, b, key, n) of buckets (key, node, n).
 
+    Pairs (a, b): all of small buckets, in large ones those with a pivot. Members (a, key, n) of large buckets, and pivots
+    of dealt ones; key is that before salting. A task holds a batch and a small bucket, however large a bucket is.
+    """
+    salted = {int(_mixed(np.array([k], np.int64), np.array([s], np.uint64))[0]): k for k, m in (hot or {}).items() for s in range(m)}
 
-def met(keyed: DataFrame, similarity: float) -> DataFrame:
-    """Rows (a, b, key): all pairs of small buckets; in large ones those with a pivot, and (null, null, key)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, np.ndarray, np.ndarray | None, int | None, np.ndarray | None]] = []
+        key: int | None = None
+        node = n = np.empty(0, np.int64)  # of the small bucket that goes on
+        pivots: tuple[np.ndarray, np.ndarray] | None = None
+        last: int | None = None
+
+        def pairs(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+            near = (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9) & (a != b)
+            if near.any():
+                a, b = a[near], b[near]
+                out.append((PAIR, np.minimum(a, b), np.maximum(a, b), None, None))
+
+        def large(some: np.ndarray, sizes: np.ndarray) -> None:
+            for p, size in zip(*pivots, strict=True):
+                pairs(np.full(len(some), p), some, np.full(len(some), size), sizes)
+            out.append((MEMBER, some, None, salted.get(key, key), sizes))
+
+        def begun(some: np.ndarray, sizes: np.ndarray) -> None:
+            nonlocal pivots
+            pivots = some[:PIVOTS], sizes[:PIVOTS]
+            if key in salted:
+                out.append((PIVOT, *pivots[:1], None, salted[key], pivots[1]))
+            large(some, sizes)
+
+        def ended() -> None:
+            if pivots is None and key in salted and len(node):
+                begun(node, n)
+            elif pivots is None and len(node) > 1:
+                i, j = np.triu_indices(len(node), 1)
+                pairs(node[i], node[j], n[i], n[j])
+
+        def flushed() -> pa.RecordBatch:
+            size = sum(len(o[1]) for o in out)
+            part = lambda k, t: pa.concat_arrays([pa.array(o[k]) if isinstance(o[k], np.ndarray) else pa.nulls(len(o[1]), t) if o[k] is None else pa.array(np.full(len(o[1]), o[k])) for o in out]) if size else pa.array([], t)
+            kinds = pa.array(np.repeat(np.array([o[0] for o in out], np.int32), [len(o[1]) for o in out]) if size else np.empty(0, np.int32))
+            made = pa.RecordBatch.from_arrays([kinds, *(part(k, pa.int64()) for k in (1, 2, 3, 4))], names=["kind", "a", "b", "key", "n"])
+            out.clear()
+            return made
 
-    def found(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        m, key = rows.num_rows, rows.column(0)[0].as_py()
-        if m < 2:
-            return
-        node, n = rows.column(1).to_numpy(), rows.column(2).to_numpy()
-        if m <= PAIRWISE:
-            i, j = np.triu_indices(m, 1)
-        else:
-            i, j = np.tile(np.arange(m), PIVOTS), np.repeat(np.argsort(node)[:PIVOTS], m)
-            i, j = i[i != j], j[i != j]
-        near = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
-        a, b = node[i[near]], node[j[near]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], names=["a", "b", "key"])
-        if m > PAIRWISE:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([key], pa.int64())], names=["a", "b", "key"])
-
-    return _by_key(keyed, "a long, b long, key long", found)
-
-
-def unmet(keyed: DataFrame, similarity: float) -> DataFrame:
-    """Rows (a, b) of keyed (key, node, n, bits, root): pairs of a key with different roots that size and bits allow."""
+        for batch in batches:
+            keys, nodes, sizes = (batch.column(k).to_numpy() for k in range(3))
+            if not len(keys):
+                continue
+            fresh = np.append((keys[0], nodes[0]) != (key, last), (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))
+            keys, nodes, sizes = keys[fresh], nodes[fresh], sizes[fresh]  # copies of a node follow one another
+            if not len(keys):
+                continue
+            last = int(nodes[-1])
+            cuts = np.append(np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys))
+            of_many = np.diff(cuts) > 1
+            of_many[[0, -1]] = True  # these may go on before or after
+            if salted:
+                of_many |= np.isin(keys[cuts[:-1]], np.fromiter(salted, np.int64, len(salted)))
+            for r in np.flatnonzero(of_many).tolist():
+                a, b = int(cuts[r]), int(cuts[r + 1])
+                if key != keys[a]:
+                    ended()
+                    key, pivots = int(keys[a]), None
+                    node = n = np.empty(0, np.int64)
+                some, own = nodes[a:b], sizes[a:b]
+                if pivots is not None:
+                    large(some, own)
+                    continue
+                node, n = np.concatenate([node, some]), np.concatenate([n, own])
+                if len(node) > PAIRWISE:
+                    begun(node, n)
+                    node = n = np.empty(0, np.int64)
+            yield flushed()
+        ended()
+        yield flushed()
+
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "kind int, a long, b long, key long, n long")
+
+
+def unmet(cells: DataFrame, similarity: float) -> DataFrame:
+    """Rows (a, b) of cells (key, node, n, bits, root): pairs of a cell with different roots that size and bits allow."""
     allowed = (1 - similarity) / (1 + similarity)
 
     def found(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         node, n, root = (rows.column(k).to_numpy() for k in (1, 2, 4))
-        if len(np.unique(root)) < 2:
-            return
         bits = rows.column(3).flatten().to_numpy().reshape(-1, LANES)
         for at in range(0, len(n), 64):
             i = slice(at, at + 64)
             last = int(np.searchsorted(n, n[i].max() / similarity + 1e-6, side="right"))
             for to in range(at, last, 2048):
                 j = slice(to, min(to + 2048, last))
-                differing = np.bitwise_count(bits[i, None] ^ bits[None, j]).sum(axis=2, dtype=np.int64)
                 x, y = n[i, None], n[None, j]
-                ok = (differing <= allowed * (x + y) + 1e-9) & (root[i, None] != root[None, j]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9)
-                p, q = np.nonzero(ok)
-                if len(p):
-                    a, b = node[i][p], node[j][q]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                p, q = np.nonzero((root[i, None] != root[None, j]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9))
+                if not len(p):
+                    continue
+                p, q = p + at, q + to
+                differing = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
+                ok = differing <= allowed * (n[p] + n[q]) + 1e-9
+                a, b = node[p[ok]], node[q[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []  # of the cell that goes on
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            bounds = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if kept and kept[0].column(0)[0].as_py() != key[a]:
+                    yield from found(pa.Table.from_batches(kept).combine_chunks().to_batches()[0])
+                    kept = []
+                kept.append(batch.slice(a, b - a))
+        if kept:
+            yield from found(pa.Table.from_batches(kept).combine_chunks().to_batches()[0])
 
-    return _by_key(keyed, "a long, b long", found)
+    return cells.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, similarity: float, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Those of pairs (a, b), each once, whose sets have the similarity: first by size and bits, then exactly."""
+def cells(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (key, node, n, bits, root) of cells in which all members (key, node, n, root) of a bucket with different roots
+    meet; a cell holds some three times CELL of them in the mean.
+
+    Of buckets with the same members one is enough. Members outside a bucket's largest group come in blocks, and every
+    block meets every part of all members, so a large group costs its size times the blocks of what is outside it.
+    """
+    groups = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(node))").alias("h"))
+    buckets = groups.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("major"), F.sum("m").alias("m"), F.max("m").alias("top"), F.expr("bit_xor(h)").alias("h"), F.count(F.lit(1)).alias("roots"))
+    buckets = buckets.filter("roots > 1").groupBy("h", "m").agg(F.min(F.struct("key", "major", "top")).alias("b")).select("b.*", "m")
+    parts = F.ceil(F.col("m") / CELL).cast("long")
+    blocks = F.ceil((F.col("m") - F.col("top")) / CELL).cast("long")
+    every = members.join(buckets, "key").withColumn("parts", parts).withColumn("blocks", blocks)
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    rest = every.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("block", upto("blocks"))
+    outside = every.filter((F.col("root") != F.col("major")) & (F.col("parts") > 1))
+    outside = outside.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))).withColumn("part", upto("parts"))
+    both = rest.select("key", "part", "block", "node", "n", "root").unionByName(outside.select("key", "part", "block", "node", "n", "root")).distinct()
+    return both.select(F.xxhash64("key", "part", "block").alias("key"), "node", "n", "root").join(nodes.select("node", "bits"), "node").select("key", "node", "n", "bits", "root")
+
+
+def near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b), each once, that sizes and bits allow."""
     side = lambda n: nodes.select(F.col("node").alias(n), F.col("n").alias(f"n_{n}"), F.col("bits").alias(f"s_{n}"))
     close = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    close = close.filter(_differing(F.col("s_a"), F.col("s_b")) <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-9)
-    close = written(close.select("a", "b"), "similar-close")
-    wanted = nodes.select("node", "id").join(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    held = written(sets(written(wanted, "similar-wanted")), "similar-held")
+    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-9
+    return close.filter(_differing(F.col("s_a"), F.col("s_b")) <= most).select("a", "b")
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, similarity: float, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Those of a written table of pairs (a, b) whose sets have the similarity."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = written(nodes.select("node", "id").join(ends, "node", "left_semi"), "similar-wanted")
+    held = written(sets(wanted), "similar-held")
     side = lambda n: held.select(F.col("node").alias(n), F.col("shingles").alias(f"s_{n}"))
-    both = close.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size("s_a").alias("x"), F.size("s_b").alias("y"), F.size(F.array_intersect("s_a", "s_b")).alias("both"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.select("a", "b", F.size("s_a").alias("x"), F.size("s_b").alias("y"), F.size(F.array_intersect("s_a", "s_b")).alias("both"))
     return both.filter(F.col("both") / (F.col("x") + F.col("y") - F.col("both")) >= similarity).select("a", "b")
 
 
@@ -266,19 +373,40 @@ def _differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def _rooted(df: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
+    """df with the root of its column node; nodes without links are their own."""
+    of = roots.select(F.col("node").alias(node), F.col("root").alias("_root"))
+    return df.join(of, node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are not connected yet."""
+    return _rooted(_rooted(pairs, roots, "a", "x"), roots, "b", "y").filter("x <> y").select("a", "b")
+
+
 def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges (a, b) between nodes (node, id, n, bits), each once, of sketches; both tables are written. All link similar
-    ones, and they connect all that are similar."""
+    """Edges (a, b) between nodes (node, id, n, bits) of sketches; both tables are written. All link similar ones, and they
+    connect all that are similar."""
     ensure_workers(nodes.sparkSession)
-    keyed = prefixes(rows)
-    pairs = written(met(keyed, similarity), "similar-met")
-    first = written(verified(pairs.filter("key is null").select("a", "b"), nodes, similarity, sets), "similar-first")
-    large = pairs.filter("key is not null").select("key")
-    if not large.limit(1).count():
-        return first
-    rooted = nodes.select("node", "bits").join(components(first, "similar-roots"), "node", "left").select("node", "bits", F.coalesce("root", "node").alias("root"))
-    rest = keyed.join(large, "key", "left_semi").join(rooted, "node").select("key", "node", "n", "bits", "root")
-    return first.unionByName(verified(unmet(rest, similarity), nodes, similarity, sets))
+    hot = hot_keys(rows)
+    found = written(met(prefixes(rows, hot), similarity, hot), "similar-met")
+    pairs = found.filter(F.col("kind") == PAIR).select("a", "b")
+    if hot:
+        again = found.filter(F.col("kind") == PIVOT).select("key", F.col("a").alias("node"), "n")
+        pairs = pairs.unionByName(met(again, similarity).filter(F.col("kind") == PAIR).select("a", "b"))
+    close = written(near(pairs, nodes, similarity), "similar-close")
+    first = written(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "similar-first")
+    edges = written(similar(first, nodes, similarity, sets), "similar-edges")
+    rest = written(apart(close, components(edges, "similar-roots")), "similar-rest")
+    if not rest.isEmpty():
+        edges = written(edges.unionByName(similar(rest, nodes, similarity, sets)), "similar-edges")
+    members = found.filter(F.col("kind") == MEMBER)
+    if members.isEmpty():
+        return edges
+    roots = components(edges, "similar-roots")
+    members = written(_rooted(members.select("key", F.col("a").alias("node"), "n"), roots, "node", "root"), "similar-members")
+    late = written(unmet(cells(members, nodes), similarity).distinct(), "similar-late")
+    return edges if late.isEmpty() else edges.unionByName(similar(late, nodes, similarity, sets))
 
 
 def groups(rows: DataFrame, similarity: float = SIMILARITY, sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -294,35 +422,28 @@ def groups(rows: DataFrame, similarity: float = SIMILARITY, sets: Callable[[Data
     close = links(first.select("fp")).select(F.col("a").alias("fp"), F.col("b").alias("other"))
     close = close.join(first, "fp").select(F.col("other").alias("fp"), F.col("first").alias("a")).join(first, "fp").select("a", F.col("first").alias("b"))
     edges = similar_links(rows, nodes, similarity, sets).unionByName(close).unionByName(same.filter("a <> b"))
-    roots = components(edges, "similar-links")
-    return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-
-
-def node_of() -> Column:
-    """A number for each distinct sketch."""
-    return F.col("node")
+    roots = components(edges, "similar-groups")
+    return _rooted(nodes.select("node"), roots, "node", "root")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row of df of each group, all columns: of its smallest id (null ids last), of the smallest fingerprint among
-    rows of that id, and any one of rows equal in both.
+    """One row of df of each group, all columns: of its smallest id (null ids last), of rows of that id that of the text
+    with the smallest hash, and any one of rows equal in both.
 
-    df is read up to five times, and its rows are shuffled once, on fingerprint and id, to meet the names of the rows that stay.
+    Null and empty texts are one group. The rows of df are shuffled once, on a hash of the text and the id, to meet the
+    names of the rows that stay.
     """
-    at, (name, own_id, own_fp) = df.columns.index(text_col), (free_name(df, n) for n in ("_fp", "_id", "_stay"))
+    name, own_id, own_h = (free_name(df, n) for n in ("_h", "_id", "_stay"))
     docs = written(sketches(df, id_col, text_col, similarity, common_shingles(df, text_col), whole=False), "similar-sketches")
-    named = docs.select("id", "fp", node_of().alias("node")).groupBy("id", "fp", "node").agg(F.count(F.lit(1)).alias("n"))
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "node", "n")
+    named = docs.groupBy("node", "id", "h").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "h", "n")
     first = named.groupBy("node").agg(F.min(order).alias("r"))  # copies combine before they meet
-    stay = written(first.join(groups(docs, similarity, sets_of(df, id_col, text_col)), "node").groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.id").alias(own_id), F.col("r.fp").alias(own_fp), F.col("r.n").alias("n")), "similar-stay")
-    wider = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
-
-    def start():
-        return lambda batch: [*batch.columns, pa.array(np.array([fingerprint(x) for x in octets(batch.column(at))], np.uint64).view(np.int64))]
-
+    grouped = first.join(groups(docs, similarity, sets_of(df, id_col, text_col)), "node").groupBy("root").agg(F.min("r").alias("r"))
+    stay = written(grouped.select(F.col("r.id").alias(own_id), F.col("r.h").alias(own_h), F.col("r.n").alias("n")), "similar-stay")
+    rows = df.withColumn(name, F.xxhash64(text_col))
+    if not stay.filter("n > 1").isEmpty():
+        rows = rows.dropDuplicates([id_col, name])  # repeated rows combine before they are shuffled
     # Names of rows are hashed, so texts are not sorted.
-    names = stay.select(own_id, own_fp).hint("shuffle_hash")
-    kept = map_rows(df, wider, start).join(names, (F.col(name) == F.col(own_fp)) & F.col(id_col).eqNullSafe(F.col(own_id)), "left_semi")
-    if stay.filter("n > 1").limit(1).count() or stay.groupBy(own_id, own_fp).count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col, name])
-    return kept.drop(name)
+    names = stay.select(own_id, own_h).hint("shuffle_hash")
+    same = (F.col(name) == F.col(own_h)) & F.col(id_col).eqNullSafe(F.col(own_id))
+    return rows.join(names, same, "left_semi").drop(name)

@@ -150,7 +150,7 @@ def test_similar_groups(spark):
                 copy[p] = r.choice(bank)
             texts[len(texts)] = " ".join(copy)
     rows = written(similar.sketches(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), "similar-test")
-    root = {x["id"]: x["root"] for x in rows.select("id", similar.node_of().alias("node")).join(similar.groups(rows), "node").collect()}
+    root = {x["id"]: x["root"] for x in rows.select("id", "node").join(similar.groups(rows), "node").collect()}
     near = plain_similarities(texts)
     wanted = [p for p, s in near.items() if s >= 0.8]
     assert len(wanted) > 50 and sum(root[i] == root[j] for i, j in wanted) >= 0.95 * len(wanted)
@@ -158,15 +158,6 @@ def test_similar_groups(spark):
     assert all(related[i] == related[j] for i in texts for j in texts if root[i] == root[j])
 
 
-def test_wide_fingerprints():
-    h = np.random.default_rng(1).integers(0, 1 << 63, 700, np.uint64)
-    mixed = [[((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) % (1 << 64) for x in (int(v) * int(c) % (1 << 64) for c in similar._lanes)] for v in h]
-    mixed = [[x ^ (x >> 32) for x in row] for row in mixed]
-    want = [sum(1 << b for b in range(64) if 2 * sum(row[k] >> b & 1 for row in mixed) > 700) for k in range(similar.LANES)]
-    assert similar.wide(h).view(np.uint64).tolist() == want and not similar.wide(h[:0]).any()
-    assert similar.most_bits(1.0) == 0 and similar.most_bits(0.8, 0) == 116
-
-
 # Decontamination.
 
 
@@ -403,7 +394,7 @@ def test_guard():
 
 def grouped(spark, texts):
     rows = written(similar.sketches(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), "similar-test")
-    return {x["id"]: x["root"] for x in rows.select("id", similar.node_of().alias("node")).join(similar.groups(rows), "node").collect()}
+    return {x["id"]: x["root"] for x in rows.select("id", "node").join(similar.groups(rows), "node").collect()}
 
 
 def fresh(r, n):
@@ -444,7 +435,7 @@ def test_similar_large_buckets(spark):
     nodes = written(similar.sketches(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), "similar-test")
     ids = {x["node"]: x["id"] for x in nodes.collect()}
     edges = [tuple(sorted((ids[x["a"]], ids[x["b"]]))) for x in similar.similar_links(nodes, nodes, 0.8, lambda n: nodes.select("node", "shingles")).collect()]
-    assert all(near[e] >= 0.8 for e in edges)  # fingerprints of 64 bits link some more in groups()
+    assert edges and all(near[e] >= 0.8 for e in edges)  # fingerprints of 64 bits link some more in groups()
 
 
 def test_similar_is_exact(spark):
@@ -458,3 +449,59 @@ def test_similar_is_exact(spark):
     root = grouped(spark, texts)
     assert {s >= 0.8 for s in near.values()} == {True, False} and 0.8 in near.values()
     assert all((root[i] == root[j]) == (s >= 0.8) for (i, j), s in near.items())
+
+
+def test_shingle_hashes():
+    """Equal runs of five words have equal hashes, others don't."""
+    r = random.Random(3)
+    words = [f"w{r.randrange(4)}".encode() for _ in range(3000)]
+    runs = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    assert len(similar.shingles(words)) == len(runs) and not len(similar.shingles([]))
+    assert len({int(similar.shingles(words[:n])[0]) for n in (1, 2, 3, 4)}) == 4
+    assert set(similar.shingles(words[7:12]).tolist()) <= set(similar.shingles(words).tolist())
+
+
+@pytest.mark.parametrize("extra", ["_h", "_stay", "node"])
+def test_one_row_of_a_group_with_repeated_ids(spark, extra):
+    """Ids 1, 1, 2; texts of one id, of one id and text, and of one fingerprint but different shingles."""
+    base = " ".join(f"a{i}" for i in range(300))
+    rows = [(1, base, 0), (1, base + " b", 1), (2, base, 2), (3, "x y z", 3), (3, "x y z", 4), (None, "q r s", 5), (None, "q r s", 6), (3, "other words here", 7)]
+    kept = similar.deduplicated(spark.createDataFrame(rows, f"doc_id long, text string, {extra} int"))
+    got = kept.select("doc_id", "text").collect()
+    assert kept.columns == ["doc_id", "text", extra]
+    assert sorted(((r[0], r[1] if r[0] != 1 else "") for r in got), key=str) == sorted([(1, ""), (3, "x y z"), (None, "q r s"), (3, "other words here")], key=str)
+
+
+def test_hot_buckets_are_dealt(spark, monkeypatch):
+    """With cells of few texts every bucket of the largest groups is hot; the groups stay those of all pairs."""
+    monkeypatch.setattr(similar, "CELL", 12)
+    monkeypatch.setattr(similar, "SHARE", 1e-9)
+    r = random.Random(21)
+    texts, bank = {}, fresh(r, 400)
+    for k in range(4):  # a large group of near copies, and three that share much with it
+        words = [*bank[: 40 * k], *fresh(r, 240 - 40 * k)]
+        for _ in range(90 if k == 0 else 25):
+            copy = list(words)
+            for at in r.sample(range(240), r.randrange(5)):
+                copy[at] = fresh(r, 1)[0]
+            texts[len(texts)] = " ".join(copy)
+    rows = written(similar.sketches(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), "similar-test")
+    assert max(similar.hot_keys(rows).values()) > 3
+    nodes = {x["id"]: x["node"] for x in rows.collect()}
+    edges = similar.similar_links(rows, rows.select("node", "id", "n", "bits").dropDuplicates(["node"]), 0.8, lambda n: rows.select("node", "shingles").join(n.select("node"), "node", "left_semi").dropDuplicates(["node"])).collect()
+    got = roots_of([*((x["a"], x["b"]) for x in edges), *((n, n) for n in nodes.values())])
+    near = plain_similarities(texts)
+    for i, j in itertools.combinations(texts, 2):
+        near.setdefault((i, j), 0.0)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts.items() for w in [t.split()]}
+    want = roots_of([*((i, j) for i, j in itertools.combinations(texts, 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])), *((i, i) for i in texts)])
+    assert all((got[nodes[i]] == got[nodes[j]]) == (want[i] == want[j]) for i, j in itertools.combinations(texts, 2)) and len(set(want.values())) == 4
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    from terrasift.llm import common
+
+    monkeypatch.setattr(common, "HUBS", 10)  # a star's centre is a hub
+    pairs = [(0, i) for i in range(1, 300)] + [(i, i + 1000) for i in range(1, 300, 7)] + [(5000, 5001)]
+    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == roots_of(pairs)
