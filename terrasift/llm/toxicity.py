@@ -1,10 +1,10 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become classes (insult, threat, target, negation, reported speech). Five transducers read a clause's classes, each
-adding weight or passing context to the next: insults and threats emit their weights, negation and reported speech open a
-scope in which these weigh less, a target near them weighs more. A document's score comes from its matched clauses, by a
-logistic model of a few clause figures. Insults of any language are learned: word beginnings that training rows marked
-toxic hold far more often than chance allows, and how much each word that begins so tells by itself.
+Words become symbols: insults by their weight, threats, targets, negation, reported speech and quotation. Five transducers
+are composed to one machine: a threat that has a target becomes an insult; negation and reported speech lower the insults in
+their scopes; a target near an insult raises it; the last adds up what is left. A clause scores the weight of its best path,
+a document by a logistic model of its matched clauses. Insults of any language are learned: word beginnings that training
+rows marked toxic hold far more often than chance allows, and how much each word that begins so tells by itself.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,11 @@ from pyspark.sql import types as T
 
 from .common import map_rows, strings, train_row, written
 from .learning import sample
+from .transducer import LOST, Reader, Step, Transducer
 
-#: Labelled rows that lexicon and weights are learned from at most (hash order of their ids), and lexicon entries.
-TRAIN_ROWS, LEXICON = 12_000, 4_000
-#: Beginnings that may be chosen from.
-CANDIDATES = 30_000
+#: Labelled rows that lexicon and weights are learned from at most (hash order of their ids); all else that is learned is
+#: bounded by them.
+TRAIN_ROWS = 12_000
 TOXIC = 0.3
 #: Characters of the word beginnings that may be learned.
 SHORTEST, LONGEST = 3, 8
@@ -39,96 +41,154 @@ THREATS = "kill hurt destroy punish beat attack shoot stab hang burn murder stra
 TARGETS = "you your yours yourself u ya he she they them their him her his people those these everyone".split()
 NEGATIONS = "not never no nor isn aren wasn weren don doesn didn won cannot neither without hardly nicht kein keine nie pas jamais nunca jamás ni".split()
 REPORTS = "said says say called calls wrote writes quoted quotes alleged claimed claims reported reportedly according allegedly told sagte schrieb dit écrit dijo escribió".split()
-NONE, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: How many words a scope or a target reaches, and the factors of negation, reported speech and target.
-REACH, NEGATED, REPORTED, TARGETED = 4, 0.6, 0.7, 1.5
+#: Symbols; from INSULT on those of insults, each weighs RATIO times the one before. The lightest weighs LIGHTEST.
+NONE, TARGET, NEGATION, REPORT, QUOTE, THREAT, INSULT = range(7)
+LIGHTEST, RATIO, LEVELS = 0.1, 1.25, 18
+#: Weights in the machine are whole numbers of this part.
+PART = 1e-6
+SYMBOLS = range(INSULT + LEVELS)
+#: How many words a scope or a target reaches; levels by which negation and reported speech lower an insult and a target
+#: raises it; the level of an aimed threat.
+REACH, NEGATED, REPORTED, TARGETED, AIMED = 4, 2, 2, 2, 9
 PARTS = re.compile(r"\w+|[.!?;:\n\"“”„«»]+")
 QUOTES = frozenset("\"“”„«»")
-#: Words that a worker remembers the class of.
+#: Words that a worker remembers the symbol of.
 MEMORY = 400_000
 
 
+def level(weight: float) -> int:
+    """The insult's symbol of a weight; NONE below the lightest."""
+    k = round(math.log(weight / LIGHTEST, RATIO)) if weight > 0 else -1
+    return INSULT + min(k, LEVELS - 1) if k >= 0 else NONE
+
+
+def shifted(symbol: int, by: int) -> int:
+    """An insult's symbol, by levels higher; others as they are."""
+    return min(max(symbol + by, INSULT), INSULT + LEVELS - 1) if symbol >= INSULT else symbol
+
+
+def threats() -> Transducer:
+    """Threats become insults if the clause has a target, before or after, and nothing if not.
+
+    States: a target was seen; one is owed, for a threat that was taken to have one.
+    """
+
+    def steps(state: str, x: int) -> Iterable[Step]:
+        if x == TARGET:
+            yield x, 0, "seen"
+        elif x != THREAT:
+            yield x, 0, state
+        else:
+            yield INSULT + AIMED, 0, "owed" if state == "none" else state
+            if state == "none":
+                yield NONE, 0, "without"  # no target may follow
+
+    def guarded(state: str, x: int) -> Iterable[Step]:
+        if state != "without":
+            yield from steps(state, x)
+        elif x != TARGET:
+            yield NONE if x == THREAT else x, 0, state
+
+    return Transducer.of("none", SYMBOLS, guarded, lambda s: LOST if s == "owed" else 0)
+
+
+def negations() -> Transducer:
+    """Insults up to REACH words after a negation are lower. States: words that the scope still reaches."""
+    return Transducer.of(0, SYMBOLS, lambda left, x: [(x, 0, REACH) if x == NEGATION else (shifted(x, -NEGATED) if left else x, 0, max(0, left - 1))], lambda s: 0)
+
+
+def reports() -> Transducer:
+    """Insults after a word of reported speech, or within a quotation, are lower to the end of the clause."""
+    return Transducer.of(False, SYMBOLS, lambda on, x: [(shifted(x, -REPORTED) if on else x, 0, on or x in (REPORT, QUOTE))], lambda s: 0)
+
+
+def targets() -> Transducer:
+    """Insults with a target within REACH words, before or after, are higher.
+
+    States: words that the last target still reaches, and words within which one is owed, for an insult that was taken to
+    have one.
+    """
+
+    def steps(state: tuple[int, int], x: int) -> Iterable[Step]:
+        reach, owed = state
+        if x == TARGET:
+            yield x, 0, (REACH, 0)
+            return
+        if owed == 1:
+            return
+        after = max(0, reach - 1), max(0, owed - 1)
+        if x < INSULT or reach:
+            yield shifted(x, TARGETED if reach else 0), 0, after
+            return
+        yield x, 0, after
+        yield shifted(x, TARGETED), 0, (0, owed - 1 if owed else REACH)
+
+    return Transducer.of((0, 0), SYMBOLS, steps, lambda s: LOST if s[1] else 0)
+
+
+def sums() -> Transducer:
+    """Adds up the weights of insults."""
+    return Transducer.of(0, SYMBOLS, lambda s, x: [(x, round(LIGHTEST * RATIO ** (x - INSULT) / PART) if x >= INSULT else 0, 0)], lambda s: 0)
+
+
+@lru_cache(1)
+def machine() -> Transducer:
+    """All five, composed."""
+    return threats().then(negations()).then(reports()).then(targets()).then(sums())
+
+
 @dataclass
 class Grammar:
-    """Word classes and the transducers over them."""
+    """Word classes, and the machine that reads clauses of them."""
 
     #: Weights of learned beginnings, and of words that begin so.
     stems: dict[str, float] = field(default_factory=dict)
     words: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.fixed: dict[str, tuple[int, float]] = {}
-        for words, kind in ((REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET), (THREATS, THREAT), (INSULTS, INSULT)):
-            self.fixed |= dict.fromkeys(words, (kind, FIXED if kind == INSULT else 1.0))
-        self.memory: dict[str, tuple[int, float]] = {}
-
-    def classify(self, word: str) -> tuple[int, float]:
-        """Class and weight of a lower-case word: its own entry, or else the heaviest of its beginnings."""
+        self.fixed: dict[str, int] = {}
+        for words, symbol in ((REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET), (THREATS, THREAT), (INSULTS, level(FIXED))):
+            self.fixed |= dict.fromkeys(words, symbol)
+        self.memory: dict[str, int] = {}
+        self.reader = Reader(machine())
+
+    def classify(self, word: str) -> int:
+        """The symbol of a lower-case word: by its own weight, or else that of the heaviest of its beginnings."""
         got = self.memory.get(word)
         if got is None:
-            got = self.fixed.get(word, (NONE, 0.0))
-            if got[0] in (NONE, INSULT, THREAT):
+            got = self.fixed.get(word, NONE)
+            if got in (NONE, THREAT) or got >= INSULT:
                 w = self.words.get(word)
                 if w is None:
                     w = max((self.stems.get(x, 0.0) for x in starts(word)), default=0.0)
-                if w > got[1]:
-                    got = (INSULT, w)
+                learned = level(w)
+                if learned > max(got, THREAT):
+                    got = learned
             if len(self.memory) > MEMORY:
                 self.memory.clear()
             self.memory[word] = got
         return got
 
-    @staticmethod
-    def emit(clause: list[tuple[int, float]]) -> list[float]:
-        """Insults and threats emit their weights; a threat without a target in the clause is none."""
-        aimed = any(k == TARGET for k, _ in clause)
-        return [w if k == INSULT else 0.8 * w if k == THREAT and aimed else 0.0 for k, w in clause]
-
-    @staticmethod
-    def scope(clause: list[tuple[int, float]], weights: list[float], opener: int, factor: float, reach: int | None) -> list[float]:
-        """After an opener weights count by factor, for reach words or to the end of the clause."""
-        out, left = [], 0
-        for (k, _), w in zip(clause, weights, strict=True):
-            if k == opener:
-                left = len(clause) if reach is None else reach + 1
-            out.append(w * factor if left and w else w)
-            left -= left > 0
-        return out
-
-    @staticmethod
-    def aim(clause: list[tuple[int, float]], weights: list[float]) -> list[float]:
-        """A weight with a target within reach counts more."""
-        targets = [i for i, (k, _) in enumerate(clause) if k == TARGET]
-        return [w * TARGETED if w and any(abs(i - t) <= REACH for t in targets) else w for i, w in enumerate(weights)]
-
-    def clause(self, words: list[tuple[int, float]], quoted: bool = False) -> tuple[float, int]:
-        """Score and matches of a clause, through all transducers in turn."""
-        weights = self.emit(words)
-        weights = self.scope(words, weights, NEGATION, NEGATED, REACH)
-        weights = self.scope(words, weights, REPORT, REPORTED, None)
-        if quoted:
-            weights = [w * REPORTED for w in weights]
-        weights = self.aim(words, weights)
-        return sum(weights), sum(w > 0 for w in weights)
-
     def figures(self, text: str) -> list[float]:
         """Of a text's clauses: the best score, the sum of scores, matched clauses, the sum of scores a hundred words (all
         three compressed), whether any matched; and the text's words (compressed)."""
         scores: list[float] = []
         n = 0
-        clause: list[tuple[int, float]] = []
+        clause: list[int] = []
         hot = quoted = False
-        classify = self.classify
+        memory, classify = self.memory, self.classify
         for part in [*PARTS.findall(text.lower()), "."]:
             if part[0].isalnum() or part[0] == "_":
                 n += 1
-                got = classify(part)
-                clause.append(got)
-                hot = hot or got[0] == INSULT or got[0] == THREAT
+                symbol = memory.get(part)
+                if symbol is None:
+                    symbol = classify(part)
+                clause.append(symbol)
+                hot = hot or symbol >= THREAT
                 continue
             if hot:
-                score, found = self.clause(clause, quoted)
-                if found:
+                score = PART * self.reader.best([QUOTE, *clause] if quoted else clause)
+                if score > 0:
                     scores.append(score)
             clause, hot = [], False
             if part[0] in QUOTES or part[-1] in QUOTES:
@@ -136,7 +196,8 @@ class Grammar:
             elif "\n" in part:
                 quoted = False
         total = sum(scores)
-        return [min(3.0, max(scores, default=0.0)), math.log1p(total), math.log1p(len(scores)), math.log1p(100 * total / max(1, n)), float(bool(scores)), math.log1p(n) / 10]
+        density = math.log1p(100 * total / max(1, n))
+        return [min(3.0, max(scores, default=0.0)), math.log1p(total), math.log1p(len(scores)), density, float(bool(scores)), math.log1p(n) / 10]
 
 
 #: Weights of the figures, then the bias, before anything is learned; learning is drawn towards them.
@@ -185,7 +246,7 @@ def lexicon(few: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Weights of insulting beginnings, and of the words of few that begin so.
 
     A weight is the logarithm of how much likelier a toxic text holds the entry, in units of UNIT; a word's is drawn
-    towards its beginning's. Counts are made on the executors; CANDIDATES beginnings and LEXICON words come back at most.
+    towards its beginning's. Counts are made on the executors; entries of several toxic texts come back.
     """
     few = few.dropDuplicates(["text", "label"])
     sizes = {r["label"]: r["count"] for r in few.groupBy("label").count().collect()}
@@ -195,7 +256,7 @@ def lexicon(few: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     counts = written(counted(few, lambda text: {s for w in words_of(text) for s in starts(w)}), "toxic-beginnings")
     share = F.col("yes") / (F.col("yes") + F.col("no"))
     likely = counts.filter((F.col("yes") >= 2) & (share > 2 * toxic / (toxic + others)))
-    entries = [(r["entry"], r["yes"], r["no"]) for r in likely.orderBy(F.desc(F.col("yes") * share), "entry").limit(CANDIDATES).collect()]
+    entries = [(r["entry"], r["yes"], r["no"]) for r in likely.orderBy("entry").collect()]
     number = {e: k for k, (e, _, _) in enumerate(entries)}
     fixed = frozenset(INSULTS)
 
@@ -222,7 +283,7 @@ def lexicon(few: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
         root = math.exp(max(ratio[s] for s in starts(word) if s in ratio) / 2)
         return max(0.0, math.log((yes / toxic * others + BACKING * root) / (no + BACKING / root)) / UNIT)
 
-    words = {r["entry"]: weight(*r) for r in seen.orderBy(F.desc("yes"), F.desc("no"), "entry").limit(LEXICON).collect()}
+    words = {r["entry"]: weight(*r) for r in seen.collect()}
     return {s: max(0.0, x / UNIT) for s, x in ratio.items()}, words
 
 
@@ -292,7 +353,7 @@ def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Every row of df gives one row; other columns are ignored. A null id is not held out.
     """
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("n_clauses", T.LongType())])
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most LEXICON words
+    shared = df.sparkSession.sparkContext.broadcast(model)  # words of TRAIN_ROWS texts
 
     def start():
         m = shared.value

@@ -16,7 +16,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from terrasift.llm import bpe, html_text, queries, quality, repetition, secret_scan, toxicity
+from terrasift.llm import bpe, html_text, queries, quality, repetition, secret_scan, toxicity, transducer
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 SMALL = "/root/testdata/sf0.001"
@@ -421,13 +421,84 @@ def test_models_on_odd_tables(spark, edges, label):
     assert quality.accepted(edges, None).count() == len(EDGES)
 
 
+def random_machine(r, symbols):
+    states = range(r.randint(1, 4))
+    steps = {(s, x): [(r.choice(symbols), r.randint(-3, 5), r.choice(states)) for _ in range(r.randrange(3))] for s in states for x in symbols}
+    ends = {s: r.choice([0, 2, transducer.LOST]) for s in states}
+    return transducer.Transducer.of(0, symbols, lambda s, x: steps[s, x], lambda s: ends[s])
+
+
+def test_composition_against_all_pairs():
+    """What a composed machine weighs is the heaviest sum over all that the first may write and the second read."""
+    r = random.Random(6)
+    written = 0
+    for _ in range(200):
+        a, b = random_machine(r, [0, 1, 2]), random_machine(r, [0, 1, 2])
+        both = a.then(b)
+        for _ in range(4):
+            x = [r.randrange(3) for _ in range(r.randrange(5))]
+            want = {}
+            for y, w in a.weights(x).items():
+                for z, v in b.weights(y).items():
+                    want[z] = max(want.get(z, transducer.LOST), w + v)
+            assert both.weights(x) == want
+            assert transducer.Reader(both, memory=3).best(x) == max(want.values(), default=transducer.LOST)
+            written += len(want)
+    assert written > 300
+
+
+def plain_clause(x):
+    """A clause's score by the rules, word by word."""
+    total = 0
+    for i, s in enumerate(x):
+        if s == toxicity.THREAT and toxicity.TARGET in x:
+            s = toxicity.INSULT + 9
+        if s < toxicity.INSULT:
+            continue
+        levels = s - toxicity.INSULT
+        step = lambda by: max(0, min(17, levels + by))  # noqa: B023, E731
+        if toxicity.NEGATION in x[max(0, i - 4) : i]:
+            levels = step(-2)
+        if toxicity.REPORT in x[:i] or toxicity.QUOTE in x[:i]:
+            levels = step(-2)
+        if toxicity.TARGET in x[max(0, i - 4) : i + 5]:
+            levels = step(2)
+        total += round(0.1 * 1.25**levels / 1e-6)
+    return total
+
+
+def test_grammar_against_plain_rules():
+    r = random.Random(2)
+    reader = transducer.Reader(toxicity.machine())
+    symbols = [toxicity.NONE] * 6 + list(range(1, 6)) * 2 + [toxicity.INSULT, toxicity.INSULT + 5, toxicity.INSULT + 11, toxicity.INSULT + 17]
+    scores = set()
+    for _ in range(4000):
+        x = r.choices(symbols, k=r.randrange(1, 14))
+        assert reader.best(x) == plain_clause(x), x
+        scores.add(plain_clause(x))
+    assert len(scores) > 500
+    for x in (r.choices(symbols, k=6) for _ in range(40)):  # and path by path
+        assert max(toxicity.machine().weights(x).values()) == plain_clause(x)
+    long = [toxicity.INSULT + 3] * 50_000
+    assert reader.best(long) == plain_clause(long[:1]) * 50_000
+
+
 def test_grammar():
     g = toxicity.Grammar({"lowei": 1.5}, {"loweiab": 0.0})
     score = lambda t: g.figures(t)[0]
-    assert score("you are an idiot") > score("an idiot") > score("not an idiot") > 0 and score("he said an idiot came") < score("he, an idiot")
+    assert score("you are an idiot") > score("an idiot") > score("not an idiot") > 0 and score("the boss said an idiot came") < score("an idiot came")
     assert score("I will kill you") > 0 and score("I will kill time") == 0 and score("a nice day") == 0
     assert score("some loweixx here") > 0 and score("some loweiab here") == 0 and g.figures("")[4] == 0.0
-    assert score('"an idiot"') < score("an idiot")
+    assert score('"an idiot"') < score("an idiot") and score('"fine"\nan idiot') == score("an idiot")
     # roots are told from copies of one text, which explain each other
     entries = [("lowe", 4, 0), ("rare", 4, 1), ("copy", 3, 0)]
     assert toxicity.choose(entries, [[0, 2], [0, 2], [0, 2], [0], [1]], 40, 3.0) == [0]
+
+
+def test_clause_context_changes_predictions(spark):
+    """The same words, in other clauses: who is meant, denied or quoted decides."""
+    rest = " ".join(f"w{i}" for i in range(60))
+    texts = ["Here comes an idiot", "They wrote that no idiot came", "We will kill you", "We will kill time", "We will kill time. You", "not an idiot, wrote the judge"]
+    df = spark.createDataFrame([(i, f"{t}. {rest}") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scored(df, toxicity.Model({}, {})).collect()}
+    assert [got[i] for i in range(6)] == [1, 0, 1, 0, 0, 0]
