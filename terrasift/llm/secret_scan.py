@@ -22,7 +22,7 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, TOKEN_LEAST = 12, 18, 16, 16
 #: A run of at least the least length is the run that the unbounded pattern finds: shorter ones would be dropped.
 ACCESS = re.compile(rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}")
 HEX = re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}")
-TOKEN = re.compile(rf"(?<![\w+/=-])[A-Za-z0-9+/_=-]{{{TOKEN_LEAST},}}(?![\w+/=-])")
+TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{TOKEN_LEAST},}}")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Where names and values within a run meet.
 EDGE = re.compile("[=/_-]")
@@ -41,44 +41,62 @@ resource response result return root rule schema scope search section select seq
 size source stack start state static status storage stream string style submit switch system table target task
 template test thread time timeout tree type update upload user utility value vector version view widget window
 work write""".split()
-SYLLABLES = "an ar be ca de di en er es et fi ga ge he in is it ka la le li lo ma me mi mo na ne no on or ou pa pe po ra re ri ro sa se si so st ta te th ti to tu un ur ve vi wa wi".split()
-
-
-def labelled_samples(n: int = 6000, seed: int = 7) -> list[tuple[str, bool]]:
+# Syllables and endings that words of English, German, French and Spanish are made of.
+SYLLABLES = """al an ar ation be ber ble ca ce ch chen cher cion co com con cy da de del der des di dis do dor ed ein el en ent er
+ere es est et eur eux ez fa fi for ful ga ge ger gh ght gra ha he heit her hin ho ia ie ier ig il in ing ion is ist it ity ja
+ka keit ki ko la le lich ling lle lo ly ma man me men ment mi mo mp na nd ne ness ng ni no nt nte o oi on or os ou oux pa pf
+ph po pre pro qu que ra re ri ro rr sa sch schaft se sh si so sp ss st sta ste str su ta te tel ter th the ti tion to tra tre
+tung tz ue un ung ur va ver vi vo von wa we wh wi wo ya z za zen zu""".split()
+
+
+def _identifier(r: random.Random) -> str:
+    words = r.choices(PARTS, k=r.randint(2, 6))
+    caps = [w.capitalize() for w in words]
+    number = str(r.randint(0, 2030))
+    long = "".join(r.choices(SYLLABLES, k=r.randint(5, 14)))
+    date = f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}"
+    return r.choice(
+        [
+            "_".join(words),
+            "-".join(words),
+            words[0] + "".join(caps[1:]),
+            "_".join(words).upper(),
+            "/".join(words),
+            "".join(caps) + number,
+            "_".join(words) + "_" + number,
+            r.choice([long, long.capitalize(), long.upper()]),
+            "/".join([*words, "-".join(words[:2]) + "-" + "-".join(str(r.randint(0, 30)) for _ in range(3))]),
+            words[0].upper()[:4] + "".join(caps) + r.choice(["ID", "URL", "API", "HTTP", "UTF-8", "SHA256", "V2"]),
+            f"{date}/{'-'.join(words)}",
+            f"{words[0]}={words[1]}/{long}",
+            r.choice("-=_/+") * r.randint(16, 60),
+            r.choice("-=_/+") * r.randint(3, 20) + "_".join(words) + r.choice("-=_/+") * r.randint(3, 20),
+            f"{date}-{r.randint(0, 23):02d}-{r.randint(0, 59):02d}-{r.randint(0, 59):02d}",
+            "-".join("".join(r.choices(SYLLABLES, k=r.randint(2, 5))) for _ in range(r.randint(2, 4))),
+        ]
+    )
+
+
+def labelled_samples(n: int = 8000, seed: int = 7) -> list[tuple[str, bool]]:
     """n random strings (True) and n ordinary identifiers (False), from a seeded generator.
 
-    Random ones: hexadecimal, base 32, base 62 and base 64, of 16 to 64 characters. Identifiers: words in snake, kebab,
-    camel and constant case, paths, words with a number, and long words of syllables.
+    Random ones: hexadecimal, base 32, base 62 and base 64, letters of one and of both cases, of 16 to 64 characters.
+    Identifiers: words in snake, kebab, camel and constant case, with numbers, dates, versions and acronyms, paths, names
+    with values, long words of syllables of four languages, and rules drawn with one character.
     """
     r = random.Random(seed)
-    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", ALPHABET[:62], ALPHABET[:64]]
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", ALPHABET[:62], ALPHABET[:64], ALPHABET[:52], ALPHABET[:26], ALPHABET[26:52]]
     out = [("".join(r.choices(r.choice(alphabets), k=r.randint(16, 64))), True) for _ in range(n)]
-    for _ in range(n):
-        words = r.choices(PARTS, k=r.randint(2, 6))
-        shape = r.randrange(8)
-        if shape == 0:
-            text = "_".join(words)
-        elif shape == 1:
-            text = "-".join(words)
-        elif shape == 2:
-            text = words[0] + "".join(w.capitalize() for w in words[1:])
-        elif shape == 3:
-            text = "_".join(words).upper()
-        elif shape == 4:
-            text = "/".join(words)
-        elif shape == 5:
-            text = "".join(w.capitalize() for w in words) + str(r.randint(0, 2030))
-        elif shape == 6:
-            text = "_".join(words) + "_" + str(r.randint(0, 2030))
-        else:
-            text = "".join(r.choices(SYLLABLES, k=r.randint(6, 14)))
-            text = r.choice([text, text.capitalize(), text.upper()])
-        out.append((text, False))
-    return out
+    return out + [(_identifier(r), False) for _ in range(n)]
 
 
 class Chains:
-    """Two first-order character chains; a text's score is its log-likelihood ratio per transition."""
+    """Two first-order character chains; a text's score is its log-likelihood ratio, random strings over identifiers.
+
+    A text is random if the ratio exceeds prior, what all but one in a thousand of the identifiers stay below; a stretch of
+    a longer run if it exceeds least_sum, the same for the best stretches of two joined identifiers. Longer texts give
+    more evidence, whichever characters they have.
+    """
 
     def __init__(self, samples: list[tuple[str, bool]], smoothing: float = 0.5):
         self.state = np.full(256, len(ALPHABET) + 1, np.int64)
@@ -90,30 +108,26 @@ class Chains:
             np.add.at(seen[int(is_random)], (s[:-1], s[1:]), 1)
         chains = np.log(seen / seen.sum(axis=2, keepdims=True))
         self.ratio = chains[1] - chains[0]
-        # The cut lies where as large a share of random strings falls below it as of identifiers above it.
-        scores = [np.sort([self.score(t) for t, y in samples if y == want and len(t) >= TOKEN_LEAST]) for want in (False, True)]
-        grid = np.linspace(min(x[0] for x in scores), max(x[-1] for x in scores), 2001)
-        wrong = [1 - np.searchsorted(scores[0], grid) / len(scores[0]), np.searchsorted(scores[1], grid) / len(scores[1])]
-        self.cut = max(0.0, float(grid[np.argmin(np.maximum(*wrong))]))
-        # A stretch within a run must exceed what one in a thousand of two joined identifiers reach.
         names = [t for t, y in samples if not y]
         pairs = [f"{a}{'=/-_'[k % 4]}{b}" for k, (a, b) in enumerate(zip(names, names[1:], strict=False))]
-        self.least_sum = float(np.quantile([self.best(t)[2] for t in pairs], 0.999)) if pairs else 0.0
+        rare = lambda x: max(0.0, float(np.quantile(x, 0.999))) if x else 0.0
+        self.prior = rare([self.score(t) for t in names])
+        self.least_sum = rare([self.best(t)[2] for t in pairs])
 
     def _states(self, text: str) -> np.ndarray:
         return np.append(0, self.state[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)])
 
     def score(self, text: str) -> float:
         s = self._states(text)
-        return float(self.ratio[s[:-1], s[1:]].sum() / max(1, len(s) - 1))
+        return float(self.ratio[s[:-1], s[1:]].sum())
 
     def is_random(self, text: str) -> bool:
-        return self.score(text) > self.cut
+        return self.score(text) > self.prior
 
     def best(self, text: str) -> tuple[int, int, float]:
-        """Start, end and sum of the stretch whose ratios exceed the cut by the largest sum."""
+        """Start, end and sum of the stretch with the largest sum of ratios."""
         s = self._states(text)
-        total = np.append(0.0, np.cumsum(self.ratio[s[:-1], s[1:]] - self.cut))
+        total = np.append(0.0, np.cumsum(self.ratio[s[:-1], s[1:]]))
         rise = total - np.minimum.accumulate(total)
         end = int(np.argmax(rise))
         return int(np.argmin(total[: end + 1])), end, float(rise[end])
@@ -142,26 +156,23 @@ def base_spans(text: str, hexes: bool = True) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _mixed(s: str) -> bool:
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-
-
 def _stretches(s: str, model: Chains) -> Iterator[tuple[int, int]]:
     """Spans within a run that model takes for random: all of it, or stretches between names, up to the next edges if that is random too."""
-    if len(s) < TOKEN_LEAST or not _mixed(s):
-        return
-    if model.is_random(s):
-        yield 0, len(s)
+    if len(s) < TOKEN_LEAST:
         return
     a, b, total = model.best(s)
     if total <= model.least_sum:
+        if model.is_random(s):
+            yield 0, len(s)
         return
     edge = EDGE.search(s, b)
     wide = max((m.end() for m in EDGE.finditer(s, 0, a)), default=0), edge.start() if edge else len(s)
+    if model.is_random(s):
+        wide = 0, len(s)
     if model.is_random(s[slice(*wide)]):
         a, b = wide
     yield from _stretches(s[:a], model)
-    if b - a >= TOKEN_LEAST and _mixed(s[a:b]):
+    if b - a >= TOKEN_LEAST:
         yield a, b
     for x, y in _stretches(s[b:], model):
         yield b + x, b + y
@@ -170,7 +181,7 @@ def _stretches(s: str, model: Chains) -> Iterator[tuple[int, int]]:
 def markov_spans(text: str, taken: list[tuple[int, int, int]], model: Chains) -> list[tuple[int, int, int]]:
     """Long tokens, or stretches of them, that model takes for random and that touch no span of taken.
 
-    A random string has letters and digits; an UUID is an identifier. Both cut a run, and what lies around them counts.
+    An UUID is an identifier. Both cut a run, and what lies around them counts. Characters outside ASCII end a run.
     """
     out = []
     for m in TOKEN.finditer(text):

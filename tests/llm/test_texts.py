@@ -140,6 +140,39 @@ def test_markov_model_within_runs():
     assert sum(bool(secret_scan.markov_spans(f"{a}/{b}={c}", [], model)) for a, b, c in zip(names, names[1:], names[2:], strict=False)) <= 5
 
 
+def test_markov_scores_against_plain_sums():
+    """The ratio as the sum over transitions, the best stretch as the best of all; states counted one by one."""
+    samples = [("ab-ab", False), ("abab", False), ("zq9z", True), ("q9zq", True)]
+    model = secret_scan.Chains(samples)
+    states, size = {c: k + 1 for k, c in enumerate(secret_scan.ALPHABET)}, len(secret_scan.ALPHABET) + 2
+    seen = {y: collections.Counter() for y in (False, True)}
+    for text, y in samples:
+        path = [0, *(states.get(c, size - 1) for c in text)]
+        seen[y].update(zip(path, path[1:], strict=False))
+
+    def chance(y, a, b):
+        return (seen[y][a, b] + 0.5) / (sum(n for (x, _), n in seen[y].items() if x == a) + 0.5 * size)
+
+    for text in ("ab", "q9zq", "ab-zq9z-ab", "x.z"):
+        path = [0, *(states.get(c, size - 1) for c in text)]
+        steps = [np.log(chance(True, a, b) / chance(False, a, b)) for a, b in zip(path, path[1:], strict=False)]
+        assert np.isclose(model.score(text), sum(steps))
+        best = max([0.0, *(sum(steps[i:j]) for i in range(len(steps)) for j in range(i + 1, len(steps) + 1))])
+        a, b, total = model.best(text)
+        assert np.isclose(total, best) and np.isclose(sum(steps[a:b]), best)
+
+
+@pytest.mark.parametrize("before", ["", "\u00e4", "\u00df ", "\u65e5", "key:", "("])
+def test_markov_model_by_ratio_alone(before):
+    """Keys of letters alone, and after any character; long words and rules of one character are none."""
+    model, r = secret_scan.chains(), random.Random(8)
+    for chars in (secret_scan.ALPHABET[:52], secret_scan.ALPHABET[26:52], secret_scan.ALPHABET[:64]):
+        keys = ["".join(r.choices(chars, k=r.randint(18, 48))) for _ in range(300)]
+        assert sum(any(b - a >= 0.9 * len(k) for a, _, b in secret_scan.markov_spans(f"{before}{k} end", [], model)) for k in keys) >= 297
+    for text in ("Rindfleischetikettierungs\u00fcberwachungsaufgaben\u00fcbertragungsgesetz", "-" * 70, "=" * 30 + "title" + "=" * 30, "internationalization/counterrevolutionaries", "2024-01-31-23-59-59"):
+        assert not secret_scan.markov_spans(before + text, [], model)
+
+
 def test_secret_query(spark, edges):
     rows = same_rows(secret_scan.scan(edges))
     for r, (_, text, *_) in zip(rows, EDGES, strict=True):
