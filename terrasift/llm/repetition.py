@@ -14,9 +14,10 @@ from .common import WORD, map_rows, octets
 WORDS = re.compile(WORD)
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
-#: Words of an n-gram, and the largest share of a kept text's characters that later copies of n-grams may hold. One
-#: repeated line in a text of the least length (a heading or licence line) stays below these limits.
-LIMITS = {5: 0.32, 7: 0.31, 10: 0.30}
+#: Words of an n-gram, and the largest share of a kept text's characters that may lie in n-grams found twice or more, the
+#: first copies included. They lie below the half that the base rule allows to repeated triples, so a passage that comes
+#: twice and is over a fifth of a text fails; a line of eight words that comes twice in a text of the least length does not.
+LIMITS = {5: 0.45, 7: 0.42, 10: 0.40}
 LINE_LIMIT = 0.30
 #: Odd multiplier of the rolling hash, modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -44,21 +45,14 @@ def rolling(ids: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
     return out
 
 
-def covered(grams: np.ndarray, n: int, size: int, first: bool = True) -> np.ndarray | None:
-    """Which of size words lie in an n-gram that occurs twice or more (without first: in a later copy of one).
-
-    None if no n-gram does.
-    """
+def covered(grams: np.ndarray, n: int, size: int) -> np.ndarray | None:
+    """Which of size words lie in an n-gram that occurs twice or more; None if no n-gram does."""
     s = np.sort(grams)
     twice = s[1:][s[1:] == s[:-1]]
     if not len(twice):
         return None
-    if first:
-        at = np.searchsorted(twice, grams)
-        hit = twice[np.minimum(at, len(twice) - 1)] == grams
-    else:
-        hit = np.ones(len(grams), bool)
-        hit[np.unique(grams, return_index=True)[1]] = False
+    at = np.searchsorted(twice, grams)
+    hit = twice[np.minimum(at, len(twice) - 1)] == grams
     step = np.zeros(size + 1, np.int64)
     starts = np.flatnonzero(hit)
     np.add.at(step, starts, 1)
@@ -67,15 +61,17 @@ def covered(grams: np.ndarray, n: int, size: int, first: bool = True) -> np.ndar
 
 
 def trigrams(ids: np.ndarray) -> np.ndarray:
-    """A number per three words, equal for equal ones: exact up to two million different words, a hash beyond."""
-    if len(ids) and ids.max() >= 1 << 21:
-        return rolling(ids, [3])[3]
-    return (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
+    """A number per three words, equal for equal ones and for no others."""
+    first, second, third = ids[:-2], ids[1:-1], ids[2:]
+    if len(ids) and ids.max() >= 1 << 21:  # three numbers would not fit one; pairs get numbers of their own
+        pair = np.unique((first << 31) | second, return_inverse=True)[1]
+        return (pair << 31) | third
+    return (first << 42) | (second << 21) | third
 
 
 def measure(data: bytes) -> tuple:
     """Of a text in UTF-8: words, their characters, symbols, repeated lines, words in repeated trigrams, base verdict,
-    verdict, share of characters in repeated lines and in later copies of n-grams of each length."""
+    verdict, share of characters in repeated lines and in repeated n-grams of each length."""
     words = data.split()
     n = len(words)
     ascii_only = data.isascii()
@@ -100,7 +96,7 @@ def measure(data: bytes) -> tuple:
     if repeated:  # a longer n-gram repeats only if its trigrams do
         lengths = None
         for k, grams in rolling(ids, list(LIMITS)).items():
-            mask = covered(grams, k, n, first=False)
+            mask = covered(grams, k, n)
             if mask is None:
                 break
             if lengths is None:
