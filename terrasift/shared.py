@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -61,6 +62,12 @@ def remove(spark: SparkSession, *paths: str) -> None:
             _given.remove(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the session delete the shuffle files of finished queries now, not when the driver next runs out of memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def tables_of_run(spark: SparkSession) -> Iterator[list[str]]:
     """Removes, at the end, the tables that operators wrote to the shared folder in between.
