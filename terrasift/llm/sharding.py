@@ -3,8 +3,8 @@
 Keys (hash of the text, then id) are sampled with a chance in proportion to their rows' sizes; quantiles of the sample
 split the keys into ranges of about equal bytes; a range that turns out overfull is sampled again and subdivided. Within
 its range each row learns how many bytes lie before it, and with the ranges' totals its place on the line of all bytes,
-which the shards cut. Equal texts share a key and so a shard. Groups too large for that (over a thousandth of a shard, so
-few enough to list) are packed first, whole if a shard has room; a group that fits no shard is cut by id.
+which the shards cut. Equal texts share a key and so a shard. Groups too large for that (over a thousandth of a shard's bytes
+or rows, so few enough to list) are packed first, whole if a shard has room; a group that fits no shard is cut by id.
 
 Texts are read once and never shuffled: ranges, windows and sums work on narrow rows.
 """
@@ -12,6 +12,7 @@ Texts are read once and never shuffled: ranges, windows and sums work on narrow
 from __future__ import annotations
 
 import bisect
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, map_rows, written
+from ..shared import remove
+from .common import free_name, map_rows, write_table, written
 
-#: Rows of a range at most in the mean, sampled keys per range, ranges at least; how often overfull ranges are cut again.
-RANGE_ROWS, KEYS_PER_RANGE, LEAST_RANGES, CUTS = 400_000, 48, 64, 3
-#: Groups with more than this share of a shard's bytes are packed one by one: at most shards / HEAVY of them exist.
+#: Rows of a range at most in the mean, sampled keys per range, ranges at least.
+RANGE_ROWS, KEYS_PER_RANGE, LEAST_RANGES = 400_000, 48, 64
+#: Ranges of more than so many times the mean bytes, their largest row not counted, are cut again.
+OVERFULL = 2.5
+#: Groups with more than this share of a shard's bytes or rows are packed one by one: at most 2 * shards / HEAVY exist.
 HEAVY = 1e-3
 
 
@@ -72,6 +76,38 @@ def _pack(groups: list[tuple[int, int, int]], shards: int, total: int) -> tuple[
     return placed, room
 
 
+def _ranged(lined: DataFrame, parts: int, total: int) -> tuple[DataFrame, dict[int, int]]:
+    """lined as a table with column part, the range of each row, and each range's bytes; parts is how many to start from.
+
+    Overfull ranges are sampled again and cut until none is left that a splitter can cut.
+    """
+    splitters = _quantiles(_weighted_keys(lined, parts * KEYS_PER_RANGE, total, 0), parts)
+    mean = max(1.0, total / parts)
+    for seed in itertools.count(1):
+        ranged, path = write_table(_ranges(lined, splitters), "shard-ranges")
+        found = ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.max("size").alias("most")).collect()  # a row a range
+        over = {r["part"]: r["bytes"] for r in found if r["bytes"] - r["most"] > OVERFULL * mean}
+        finer = splitters
+        if over:
+            wanted = sum(over.values()) / mean
+            within = ranged.filter(F.col("part").isin(*over))
+            more = _weighted_keys(within, KEYS_PER_RANGE * int(wanted + len(over)), sum(over.values()), seed)
+            finer = sorted({*splitters, *_quantiles(more, 2 * int(wanted) + 2)})
+        if finer == splitters:
+            return ranged, {r["part"]: r["bytes"] for r in found}
+        remove(lined.sparkSession, path)
+        splitters = finer
+    raise AssertionError
+
+
+def _heavy(narrow: DataFrame, shards: int, total: int, rows: int) -> list[tuple[int, int, int, int]]:
+    """Heavy groups (h, crc, bytes, rows), at most 2 * shards / HEAVY."""
+    groups = narrow.groupBy("h", "crc").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    share = HEAVY / shards
+    found = groups.filter((F.col("n") > 1) & ((F.col("bytes") > share * total) | (F.col("n") > share * rows)))
+    return [(r["h"], r["crc"], r["bytes"], r["n"]) for r in found.collect()]
+
+
 def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, size, text_crc32, shard, slot): each row's bytes (UTF-8, plus one), shard and place in it from 0.
 
@@ -80,35 +116,28 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
+    size = (F.octet_length(text) + 1).cast("long").alias("size")
     # row tells repeated keys apart in samples
-    narrow = written(df.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row")), "shard-rows")
+    row = F.monotonically_increasing_id().alias("row")
+    narrow = df.select(F.col(id_col).alias("id"), size, F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("h"), row)
+    narrow = written(narrow, "shard-rows")
     total, n = (int(x or 0) for x in narrow.agg(F.sum("size"), F.count(F.lit(1))).first())
-    heavy = narrow.groupBy("h", "crc").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).filter(F.col("bytes") > HEAVY * total / shards)
-    groups = [(r["h"], r["crc"], r["bytes"], r["n"]) for r in heavy.collect()]
+    groups = _heavy(narrow, shards, total, n)
     placed, room = _pack([g[:3] for g in groups], shards, total)
     # A heavy group's fate: its shard, or -1 for being cut by id; and the chunks that its rows are numbered in.
     parts = max(LEAST_RANGES, -(-n // RANGE_ROWS))
     chunk = max(1, n // (2 * parts))
-    listed = spark.createDataFrame([(h, crc, placed.get((h, crc), -1), 1 + c // chunk) for h, crc, _, c in groups], "h long, crc long, whole int, chunks long")
-    marked = narrow.join(F.broadcast(listed), ["h", "crc"], "left")  # at most shards / HEAVY rows
-    number = F.coalesce(F.xxhash64("id") if not isinstance(df.schema[id_col].dataType, T.IntegralType) else F.col("id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    fates = [(h, crc, placed.get((h, crc), -1), 1 + c // chunk) for h, crc, _, c in groups]
+    listed = spark.createDataFrame(fates, "h long, crc long, whole int, chunks long")
+    marked = narrow.join(F.broadcast(listed), ["h", "crc"], "left")  # at most 2 * shards / HEAVY rows
+    number = F.col("id").cast("long") if isinstance(df.schema[id_col].dataType, T.IntegralType) else F.xxhash64("id")
+    number = F.coalesce(number, F.lit(-(1 << 63)).cast("long"))
     marked = marked.withColumn("k", F.when(F.col("whole") == -1, number).otherwise(F.lit(0).cast("long")))
     lined = marked.filter("whole is null or whole = -1").select("id", "size", "crc", "h", "k", "row")
-    splitters = _quantiles(_weighted_keys(lined, parts * KEYS_PER_RANGE, total, 0), parts)
-    for cut in range(1, CUTS + 1):
-        ranged = written(_ranges(lined, splitters), "shard-ranges")
-        sums = {r["part"]: (r["bytes"], r["n"]) for r in ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
-        over = {p: b for p, (b, c) in sums.items() if b > 2.5 * total / parts and c > 1}
-        if not over or cut == CUTS:
-            break
-        more = _weighted_keys(ranged.filter(F.col("part").isin(*over)), KEYS_PER_RANGE * int(sum(over.values()) / (total / parts) + len(over)), sum(over.values()), cut)
-        finer = sorted({*splitters, *_quantiles(more, 2 * int(sum(over.values()) / (total / parts)) + 2)})
-        if finer == splitters:
-            break
-        splitters = finer
+    ranged, sums = _ranged(lined, parts, total)
     before, at = {}, 0
     for p in sorted(sums):
-        before[p], at = at, at + sums[p][0]
+        before[p], at = at, at + sums[p]
     # The shards cut the line of all rows that aren't placed, each as much as it has room for.
     ends = np.cumsum(room)
     ends[-1] = max(ends[-1], at)
@@ -119,8 +148,10 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
     cuts = F.array(*[F.lit(float(e)) for e in ends[:-1]])
     own = ranged.withColumn("number", numbered).withColumn("through", through).join(F.broadcast(line), "part")  # a row a range
     own = own.withColumn("shard", F.size(F.filter(cuts, lambda e: e < F.col("before") + F.col("through"))))
-    whole = marked.filter("whole >= 0").withColumn("part", (-1 - F.pmod(F.xxhash64("h", "crc", F.pmod(F.xxhash64("id", "row"), F.col("chunks"))), F.lit(1 << 30))).cast("int"))
-    whole = whole.withColumn("number", F.row_number().over(Window.partitionBy("part", "whole").orderBy("id", "row"))).withColumn("shard", F.col("whole"))
+    piece = F.xxhash64("h", "crc", F.pmod(F.xxhash64("id", "row"), F.col("chunks")))
+    whole = marked.filter("whole >= 0").withColumn("part", (-1 - F.pmod(piece, F.lit(1 << 30))).cast("int"))
+    numbered = F.row_number().over(Window.partitionBy("part", "whole").orderBy("id", "row"))
+    whole = whole.withColumn("number", numbered).withColumn("shard", F.col("whole"))
     columns = ["id", "size", "crc", "h", "part", "shard", "number"]
     assigned = written(own.select(*columns).unionByName(whole.select(*columns)), "shard-assigned")
     # Slots: a shard's rows of one range are consecutive in it; ranges follow one another.
