@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import ensure_workers
-from .common import components, free_name, map_rows, octets, written
+from ..shared import ensure_workers, release, remove
+from .common import components, free_name, map_rows, octets, write_table, written
 from .simhash import LOWER, SEED, fingerprint_of, links
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -124,32 +124,41 @@ def common_shingles(df: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.array(sorted(r["s"] for r in often.collect()), np.int64)
 
 
-def sets_of(df: DataFrame, id_col: str, text_col: str) -> Callable[[DataFrame], DataFrame]:
-    """A function from nodes (node, id) to their rows (node, shingles), made anew of the texts of df.
+def sets_of(df: DataFrame, text_col: str) -> Callable[[DataFrame], DataFrame]:
+    """A function from nodes (node, h) to rows (node, shingles), each node once, made anew of the texts of df.
 
-    A bitmap of hashed ids says which texts are read again, so no texts are shuffled and no other sets are kept.
+    A bitmap of the texts' hashes says which are read again, so no texts are shuffled and no other sets are kept; other
+    nodes may come too.
     """
 
     def of(nodes: DataFrame) -> DataFrame:
-        place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
-        flags = nodes.select(place("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+        place = lambda h: F.pmod(h, F.lit(PLACES))
+        flags = nodes.select(place(F.col("h")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
         maps = {r["k"]: bytes(r["m"]) for r in flags.collect()}  # PLACES bits
         shared = df.sparkSession.sparkContext.broadcast(maps)
         schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", _LONGS)])
-        first = F.bitmap_bucket_number(place(F.col(id_col))), F.bitmap_bit_position(place(F.col(id_col)))
+        h = F.xxhash64(text_col)
 
         def start():
-            got = shared.value
+            got, seen = shared.value, set()
+
+            def wanted(h: int, k: int, p: int) -> bool:
+                if h in seen or k not in got or not got[k][p >> 3] >> (p & 7) & 1:
+                    return False
+                if len(seen) > MEMORY:
+                    seen.clear()
+                seen.add(h)
+                return True
 
             def f(batch: pa.RecordBatch) -> list:
-                want = [k in got and bool(got[k][p >> 3] >> (p & 7) & 1) for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-                made = [sketch(x) for x in octets(batch.column(2).filter(pa.array(want, pa.bool_())))]
+                want = [wanted(*x) for x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
+                made = [sketch(x) for x in octets(batch.column(3).filter(pa.array(want, pa.bool_())))]
                 return [pa.array(np.array([m[1] for m in made], np.uint64).view(np.int64)), [m[3] for m in made]]
 
             return f
 
-        again = map_rows(df.select(first[0].alias("k"), first[1].alias("p"), text_col), schema, start)
-        return again.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+        rows = df.select(h.alias("h"), F.bitmap_bucket_number(place(h)).alias("k"), F.bitmap_bit_position(place(h)).alias("p"), text_col)
+        return map_rows(rows, schema, start).dropDuplicates(["node"])
 
     return of
 
@@ -359,12 +368,14 @@ def near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, similarity: float, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Those of a written table of pairs (a, b) whose sets have the similarity."""
+    """Those of a written table of pairs (a, b) whose sets have the similarity.
+
+    A set is shuffled to its node once, for both sides of the pairs, and from there to its partner.
+    """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = written(nodes.select("node", "id").join(ends, "node", "left_semi"), "similar-wanted")
-    held = written(sets(wanted), "similar-held")
+    held = sets(nodes.select("node", "h").join(ends, "node", "left_semi"))
     side = lambda n: held.select(F.col("node").alias(n), F.col("shingles").alias(f"s_{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
     both = both.select("a", "b", F.size("s_a").alias("x"), F.size("s_b").alias("y"), F.size(F.array_intersect("s_a", "s_b")).alias("both"))
     return both.filter(F.col("both") / (F.col("x") + F.col("y") - F.col("both")) >= similarity).select("a", "b")
 
@@ -385,28 +396,37 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges (a, b) between nodes (node, id, n, bits) of sketches; both tables are written. All link similar ones, and they
-    connect all that are similar."""
-    ensure_workers(nodes.sparkSession)
+    """Edges (a, b) between nodes (node, h, n, bits) of sketches; both tables are written. All link similar ones, and they
+    connect all that are similar. Shuffle files and tables of a step are let go after the next."""
+    spark = nodes.sparkSession
+    ensure_workers(spark)
     hot = hot_keys(rows)
-    found = written(met(prefixes(rows, hot), similarity, hot), "similar-met")
+    found, found_path = write_table(met(prefixes(rows, hot), similarity, hot), "similar-met")
+    release(spark)
     pairs = found.filter(F.col("kind") == PAIR).select("a", "b")
     if hot:
         again = found.filter(F.col("kind") == PIVOT).select("key", F.col("a").alias("node"), "n")
         pairs = pairs.unionByName(met(again, similarity).filter(F.col("kind") == PAIR).select("a", "b"))
-    close = written(near(pairs, nodes, similarity), "similar-close")
+    close, close_path = write_table(near(pairs, nodes, similarity), "similar-close")
     first = written(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "similar-first")
+    release(spark)
     edges = written(similar(first, nodes, similarity, sets), "similar-edges")
+    release(spark)
     rest = written(apart(close, components(edges, "similar-roots")), "similar-rest")
+    remove(spark, close_path)
     if not rest.isEmpty():
         edges = written(edges.unionByName(similar(rest, nodes, similarity, sets)), "similar-edges")
+        release(spark)
     members = found.filter(F.col("kind") == MEMBER)
     if members.isEmpty():
         return edges
     roots = components(edges, "similar-roots")
     members = written(_rooted(members.select("key", F.col("a").alias("node"), "n"), roots, "node", "root"), "similar-members")
+    remove(spark, found_path)
+    release(spark)
     late = written(unmet(cells(members, nodes), similarity).distinct(), "similar-late")
-    return edges if late.isEmpty() else edges.unionByName(similar(late, nodes, similarity, sets))
+    release(spark)
+    return edges if late.isEmpty() else edges.unionByName(written(similar(late, nodes, similarity, sets), "similar-edges"))
 
 
 def groups(rows: DataFrame, similarity: float = SIMILARITY, sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -415,14 +435,15 @@ def groups(rows: DataFrame, similarity: float = SIMILARITY, sets: Callable[[Data
     Texts are linked if their shingles are similar, and if their 64-bit fingerprints are within simhash.RADIUS. Without
     sets, rows have the column shingles.
     """
-    sets = sets or (lambda n: rows.select("node", "shingles").join(n.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    nodes = written(rows.select("node", "id", "fp", "n", "bits").dropDuplicates(["node"]), "similar-nodes")
+    sets = sets or (lambda n: rows.select("node", "shingles").dropDuplicates(["node"]))
+    nodes = written(rows.select("node", "h", "fp", "n", "bits").dropDuplicates(["node"]), "similar-nodes")
     first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     same = nodes.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
     close = links(first.select("fp")).select(F.col("a").alias("fp"), F.col("b").alias("other"))
     close = close.join(first, "fp").select(F.col("other").alias("fp"), F.col("first").alias("a")).join(first, "fp").select("a", F.col("first").alias("b"))
     edges = similar_links(rows, nodes, similarity, sets).unionByName(close).unionByName(same.filter("a <> b"))
     roots = components(edges, "similar-groups")
+    release(nodes.sparkSession)
     return _rooted(nodes.select("node"), roots, "node", "root")
 
 
@@ -438,7 +459,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = docs.groupBy("node", "id", "h").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h", "n")
     first = named.groupBy("node").agg(F.min(order).alias("r"))  # copies combine before they meet
-    grouped = first.join(groups(docs, similarity, sets_of(df, id_col, text_col)), "node").groupBy("root").agg(F.min("r").alias("r"))
+    grouped = first.join(groups(docs, similarity, sets_of(df, text_col)), "node").groupBy("root").agg(F.min("r").alias("r"))
     stay = written(grouped.select(F.col("r.id").alias(own_id), F.col("r.h").alias(own_h), F.col("r.n").alias("n")), "similar-stay")
     rows = df.withColumn(name, F.xxhash64(text_col))
     if not stay.filter("n > 1").isEmpty():

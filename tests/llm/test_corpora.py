@@ -272,10 +272,27 @@ def test_shards_of_hot_groups(spark, tmp_path):
 
 def test_shards_subdivide(spark, monkeypatch):
     monkeypatch.setattr(sharding, "KEYS_PER_RANGE", 1)  # poor samples leave overfull ranges
-    docs = [(i, "t" * (i % 50)) for i in range(2000)]
+    docs = [(i, f"{i} " + "t" * (i % 50)) for i in range(2000)]
     check_shards(sharding.shard(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
 
 
+def test_shards_of_many_light_rows(spark, monkeypatch):
+    """A fifth of the rows are empty: few bytes, but no task gets them all."""
+    r = random.Random(4)
+    docs = [(i, "") for i in range(2000)] + [(10_000 + i, "x" * 30 + "".join(r.choices("abcdef ", k=r.randrange(200)))) for i in range(8000)]
+    seen = []
+    monkeypatch.setattr(sharding, "_pack", lambda groups, *a, own=sharding._pack: seen.append(groups) or own(groups, *a))
+    by = check_shards(sharding.shard(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
+    assert any(size == 2000 for _, _, size in seen[0])  # listed as heavy
+    assert sum(any(x["size"] == 1 for x in by[s]) for s in by) == 1
+
+
+def test_shards_of_one_giant_text(spark):
+    docs = [(i, f"{i}") for i in range(3000)] + [(9999, "x" * 100_000)]
+    rows = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(rows) == 3001 and sorted(r["doc_id"] for r in rows) == sorted(d for d, _ in docs)
+
+
 def test_shards_edges(spark):
     docs = [(i, t) for i, t, _ in EDGES]
     check_shards(sharding.shard(edges(spark, "size")).collect(), docs)
@@ -488,7 +505,7 @@ def test_hot_buckets_are_dealt(spark, monkeypatch):
     rows = written(similar.sketches(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), "similar-test")
     assert max(similar.hot_keys(rows).values()) > 3
     nodes = {x["id"]: x["node"] for x in rows.collect()}
-    edges = similar.similar_links(rows, rows.select("node", "id", "n", "bits").dropDuplicates(["node"]), 0.8, lambda n: rows.select("node", "shingles").join(n.select("node"), "node", "left_semi").dropDuplicates(["node"])).collect()
+    edges = similar.similar_links(rows, rows.select("node", "h", "n", "bits").dropDuplicates(["node"]), 0.8, lambda n: rows.select("node", "shingles").join(n.select("node"), "node", "left_semi").dropDuplicates(["node"])).collect()
     got = roots_of([*((x["a"], x["b"]) for x in edges), *((n, n) for n in nodes.values())])
     near = plain_similarities(texts)
     for i, j in itertools.combinations(texts, 2):
