@@ -4,13 +4,15 @@ A seed is a fixed mask over consecutive words; only the words at its ones are ha
 not hide a copy. Hashes of the benchmark (the test side) are joined with those of every document in the tasks that read
 the documents: the benchmark comes in blocks of bounded size, each broadcast, so no document is shuffled however large the
 benchmark is. Around each hit the document and the item are aligned word by word and the longest stretch that tolerates
-substitutions is measured.
+substitutions is measured. Alignments of many items at once are counted as arrays first, and equal patterns of equal words
+are measured once, so words that many items share cost little.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -29,6 +31,8 @@ MASKS = ("1111", "11011", "10111", "11101", "110101", "1010011", "1100101", "100
 LEAST_WORDS, SIMILARITY = 13, 0.8
 #: Characters of a block of the benchmark (and one item more); its index takes some 20 bytes a character in a worker.
 BLOCK_CHARACTERS = 3_000_000
+#: Hits, and aligned words, that are looked at together.
+HITS, ALIGNED = 1 << 20, 1 << 22
 _multipliers = np.random.default_rng(5).integers(1, 2**63, 64, np.uint64) | np.uint64(1)
 
 
@@ -71,6 +75,10 @@ class Index:
         self.vocabulary: dict[str, int] = {}
         number = self.vocabulary.setdefault
         self.items = [(key, np.array([number(w, len(self.vocabulary)) for w in words(text)], np.int64)) for key, text in items]
+        self.size = np.array([len(ids) for _, ids in self.items], np.int64)
+        self.begin = np.append(0, np.cumsum(self.size))
+        self.flat = np.concatenate([ids for _, ids in self.items]) if self.items else np.empty(0, np.int64)
+        self.least = np.array([least_words(n) for n in self.size.tolist()], np.int64)
         self.seeds = []  # places, sorted hashes, item and place of each
         shorter: dict[int, list[int]] = {}
         for k, (_, ids) in enumerate(self.items):
@@ -113,7 +121,9 @@ class Index:
             found += gap  # no seed reaches across it
         ids, first = np.array(found, np.int64), np.array(begins, np.int64)
         known = ids >= 0
-        diagonals = []
+        best: list[dict[int, tuple]] = [{} for _ in texts]
+        ends = np.append(first[1:], len(ids)) - len(gap)
+        held, waiting = [], 0
         for places, hashes, item, at in self.seeds:
             n = len(ids) - int(places[-1])
             if n <= 0:
@@ -125,23 +135,72 @@ class Index:
             h = self._hash(ids, places, starts)
             low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
             hit = np.flatnonzero(high > low)
-            if len(hit):
-                many = high[hit] - low[hit]
-                entry = np.repeat(low[hit] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
-                start = np.repeat(starts[hit], many)
+            total = np.cumsum(high[hit] - low[hit])
+            done = 0
+            while done < len(hit):  # some HITS at a time
+                to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + HITS)))
+                part = hit[done:to]
+                many = high[part] - low[part]
+                entry = np.repeat(low[part] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+                start = np.repeat(starts[part], many)
                 doc = np.searchsorted(first, start, "right") - 1
-                diagonals.append(np.stack([doc, item[entry], start - first[doc] - at[entry]]))
-        best: list[dict[int, tuple]] = [{} for _ in texts]
-        if diagonals:
-            ends = np.append(first[1:], len(ids)) - len(gap)
-            for d, k, shift in np.unique(np.concatenate(diagonals, axis=1), axis=1).T.tolist():
-                wanted, own = self.items[k][1], ids[first[d] : ends[d]]
-                a, b = max(0, -shift), min(len(wanted), len(own) - shift)
-                equal = wanted[a:b] == own[a + shift : b + shift]
-                s = stretch(equal, least_words(len(wanted)))
-                if s and (k not in best[d] or s[1] - s[0] > best[d][k][2]):
-                    best[d][k] = (self.items[k][0], a + shift + s[0], s[1] - s[0], int(equal[s[0] : s[1]].sum()))
-        return [[b[k] for k in sorted(b)] for b in best]
+                held.append(np.stack([doc, item[entry], start - first[doc] - at[entry]]))
+                waiting += len(entry)
+                done = to
+                if waiting >= HITS:
+                    self._measure(np.concatenate(held, axis=1), ids, first, ends, best)
+                    held, waiting = [], 0
+        if held:
+            self._measure(np.concatenate(held, axis=1), ids, first, ends, best)
+        return [[b[k][1] for k in sorted(b)] for b in best]
+
+    def _measure(self, diagonals: np.ndarray, ids: np.ndarray, first: np.ndarray, ends: np.ndarray, best: list[dict[int, tuple]]) -> None:
+        """Puts into best the longest stretch of each document and item on diagonals (document, item, shift), of equally
+        long ones that of the smallest shift."""
+        doc, item, shift = diagonals
+        far = int(np.abs(shift).max()) + 1
+        codes = np.unique((doc * len(self.items) + item) * (2 * far) + shift + far)
+        shift = codes % (2 * far) - far
+        doc, item = np.divmod(codes // (2 * far), len(self.items))
+        a = np.maximum(0, -shift)
+        length = np.minimum(self.size[item], ends[doc] - first[doc] - shift) - a
+        need = -(-self.least[item] * round(100 * SIMILARITY) // 100)  # equal words of the shortest stretch
+        ok = length >= np.maximum(1, self.least[item])
+        doc, item, shift, a, length, need = (x[ok] for x in (doc, item, shift, a, length, need))
+        known: dict[tuple[bytes, int], tuple[int, int] | None] = {}
+        total, done = np.cumsum(length), 0
+        while done < len(doc):  # some ALIGNED words at a time
+            to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + ALIGNED)))
+            n = length[done:to]
+            begin = np.append(0, np.cumsum(n)[:-1])
+            place = np.arange(n.sum()) - np.repeat(begin, n)
+            own = np.repeat(first[doc[done:to]] + a[done:to] + shift[done:to], n) + place
+            equal = self.flat[np.repeat(self.begin[item[done:to]] + a[done:to], n) + place] == ids[own]
+            for i in np.flatnonzero(np.add.reduceat(equal, begin, dtype=np.int64) >= need[done:to]).tolist():
+                k, d, least = int(item[done + i]), int(doc[done + i]), int(self.least[item[done + i]])
+                same = equal[begin[i] : begin[i] + n[i]]
+                pattern = same.tobytes(), least
+                if pattern not in known:
+                    known[pattern] = stretch(same, least)
+                if found := known[pattern]:
+                    x, y = found
+                    start = int(a[done + i] + shift[done + i])
+                    order = (x - y, int(shift[done + i]))
+                    if k not in best[d] or order < best[d][k][0]:
+                        best[d][k] = (order, (self.items[k][0], start + x, y - x, int(same[x:y].sum())))
+            done = to
+
+
+#: The index that a worker used last: tasks of a pass over the documents share it.
+_indexes: dict[str, Index] = {}
+
+
+def index_of(name: str, items: Callable[[], list[tuple]]) -> Index:
+    """The index of items(), made once a worker for consecutive tasks of the same name."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = Index(items())
+    return _indexes[name]
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[Callable[[], list[tuple]]]:
@@ -162,15 +221,14 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType), *(T.StructField(c, T.LongType()) for c in ("start_word", "n_aligned", "n_equal")), T.StructField("similarity", T.DoubleType())])
 
     def found(items: list[tuple]) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast(items)
-        index: list[Index] = []
+        shared, name = df.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
         def start():
-            if not index:
-                index.append(Index(shared.value))
+            index = index_of(name, lambda: shared.value)
 
             def f(batch: pa.RecordBatch) -> list:
-                rows = [(d, *m) for d, found in zip(batch.column(0).to_pylist(), index[0].search_many(strings(batch.column(1))), strict=True) for m in found]
+                found = index.search_many(strings(batch.column(1)))
+                rows = [(d, *m) for d, of in zip(batch.column(0).to_pylist(), found, strict=True) for m in of]
                 return [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], [r[4] / r[3] for r in rows]]
 
             return f
@@ -188,15 +246,13 @@ def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFr
     at = df.columns.index(text_col)
 
     def kept(d: DataFrame, items: list[tuple]) -> DataFrame:
-        shared = d.sparkSession.sparkContext.broadcast(items)
-        index: list[Index] = []
+        shared, name = d.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
         def start():
-            if not index:
-                index.append(Index(shared.value))
+            index = index_of(name, lambda: shared.value)
 
             def f(batch: pa.RecordBatch) -> list:
-                stay = pa.array([not found for found in index[0].search_many(strings(batch.column(at)))], pa.bool_())
+                stay = pa.array([not found for found in index.search_many(strings(batch.column(at)))], pa.bool_())
                 return batch.filter(stay).columns
 
             return f

@@ -7,6 +7,7 @@ import itertools
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -197,6 +198,29 @@ def test_decontamination_against_all_alignments():
     assert missed <= 0.03 * (found + missed)
 
 
+@pytest.mark.parametrize("hits", [1 << 20, 7])
+def test_decontamination_of_items_of_one_template(monkeypatch, hits):
+    """Items that share a template, and texts that hold it often: each item's best copy, as by all alignments."""
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    monkeypatch.setattr(decontaminate, "ALIGNED", 50 * hits)
+    r = random.Random(3)
+    template = [f"t{i}" for i in range(9)]
+    items = [(k, " ".join([*template, *(f"i{r.randrange(60)}" for _ in range(6))])) for k in range(60)]
+    index = decontaminate.Index(items)
+    texts = [" ".join([*template, "x", *template, *(f"i{r.randrange(60)}" for _ in range(6)), items[k][1], "y", *template[:7]]) for k in (3, 40)] + ["", " ".join(template)]
+    for text, got in zip(texts, index.search_many(texts), strict=True):
+        assert {m[0]: m[2] for m in got} == plain_matches(text, items)
+
+
+def test_decontamination_of_many_items_of_one_template():
+    template = "what is the right answer to the following question about"
+    index = decontaminate.Index([(k, f"{template} subject{k} case{k % 97} part{k % 89} year{k}") for k in range(20_000)])
+    text = " ".join([template, "none of them", template, "subject77 case77 part77 year77", *(f"w{i}" for i in range(150))])
+    began = time.perf_counter()
+    got = index.search(text)
+    assert time.perf_counter() - began < 3 and 77 in {m[0] for m in got}
+
+
 def test_stretch():
     same = np.array([1, 1, 1, 1, 0, 1, 1, 1, 1, 1, 0, 0, 0, 0, 1], bool)
     assert decontaminate.stretch(same, 5) == (0, 10) and decontaminate.stretch(same, 11) is None and decontaminate.stretch(same[:0], 1) is None
