@@ -1,18 +1,20 @@
 """SimHash near-duplicates: fingerprints, and links by tables of distances to reference fingerprints (pivots).
 
-The 64 bits form eight groups of eight. Each group has eight pivots: the Walsh code words of eight bits in that group, the
-base fingerprint elsewhere. A fingerprint's distance table holds its Hamming distance to each pivot, counted within the
-pivot's group (that is the distance to the pivot less the distance, common to the group, of the bits outside it). By the
-triangle inequality two fingerprints at distance r differ by at most r in every coordinate. And r <= 2 flipped bits fall
-into two groups at most: for one of the 28 choices of two groups, every coordinate outside them differs by 0. So
-
-1. candidates share, for some choice of two groups, the 48 coordinates of the other six: an equi-join on 28 keys;
+The 64 bits form eight groups of eight. The pivots are the base fingerprint (all zeros) and, for each group, the seven other
+Walsh code words of eight bits in that group with the base elsewhere. A fingerprint's distance table holds its Hamming
+distance to each pivot. By the triangle inequality two fingerprints at distance r differ by at most r in every coordinate.
+And r <= 2 flipped bits fall into two groups at most: for one of the 28 choices of two groups the coordinates of all other
+groups, less that of the base, are equal. So
+
+1. candidates share, for some choice of two groups, the coordinates of the other six: an equi-join on 28 keys; within a key
+   of many fingerprints, those with one or two bits of the two groups flipped;
 2. pairs whose largest coordinate difference exceeds 2 are discarded;
 3. the Hamming distance of the rest is computed.
 
-The code words of a group are a basis, so equal coordinates of six groups mean 48 equal bits: a key has 2**16 distinct
-fingerprints at most however many documents share it. Copies are merged before, and a key's fingerprints emit a spanning
-forest of their links, never all pairs.
+The code words of a group are a basis, so equal coordinates of six groups mean 48 equal bits: as keys these pivots are another
+name for bands of bits. Pivots drawn at random would discard as well, but offer no key to join on short of all pairs. A key
+has 2**16 distinct fingerprints at most however many documents share it. Copies are merged before, and a key's fingerprints
+emit a spanning forest of their links, never all pairs.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The Walsh functions on eight points, a byte each.
 WALSH = [sum((bin(i & j).count("1") & 1) << j for j in range(8)) for i in range(8)]
 GROUPS = 8
-#: Distance of each byte to each pivot of its group.
+#: Distance of each byte to each pivot of its group, within the group; the first pivot is the base.
 DISTANCES = np.array([[bin(b ^ w).count("1") for w in WALSH] for b in range(256)], np.int8)
 #: Odd multipliers that turn a group's coordinates into its share of a key.
 _weights = np.random.default_rng(11).integers(1, 2**63, (GROUPS, len(WALSH)), np.uint64) | np.uint64(1)
@@ -81,8 +83,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def table(fps: np.ndarray) -> np.ndarray:
-    """Distances of fingerprints (uint64) to all pivots, a row each."""
-    return DISTANCES[fps.astype("<u8").view(np.uint8).reshape(-1, GROUPS)].reshape(len(fps), -1)
+    """Hamming distances of fingerprints (uint64) to all pivots, a row each; the base stands in every group."""
+    parts = fps.astype("<u8").view(np.uint8).reshape(-1, GROUPS)
+    outside = np.bitwise_count(fps)[:, None] - np.bitwise_count(parts)  # what the other groups add
+    return (DISTANCES[parts] + outside[:, :, None].astype(np.int8)).reshape(len(fps), -1)
 
 
 def keys(fps: np.ndarray) -> np.ndarray:
@@ -97,6 +101,14 @@ def keys(fps: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _near(fps: np.ndarray, t: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) that the distance table leaves and that are linked."""
+    left = np.abs(t[i] - t[j]).max(axis=1, initial=0) <= RADIUS
+    i, j = i[left], j[left]
+    close = np.bitwise_count(fps[i] ^ fps[j]) <= RADIUS
+    return i[close], j[close]
+
+
 def linked(fps: np.ndarray, left_out: tuple[int, int]) -> list[tuple[int, int]]:
     """Indices of a spanning forest of the links (distance 1 to RADIUS) between distinct fingerprints of one key."""
     n = len(fps)
@@ -109,12 +121,7 @@ def linked(fps: np.ndarray, left_out: tuple[int, int]) -> list[tuple[int, int]]:
         return x
 
     if n <= PAIRWISE:
-        t = table(fps)
-        i, j = np.triu_indices(n, 1)
-        near = np.abs(t[i] - t[j]).max(axis=1) <= RADIUS
-        i, j = i[near], j[near]
-        near = np.bitwise_count(fps[i] ^ fps[j]) <= RADIUS
-        pairs = [(i[near], j[near])]
+        pairs = [np.triu_indices(n, 1)]
     else:
         order = np.argsort(fps)
         ranked = fps[order]
@@ -125,6 +132,8 @@ def linked(fps: np.ndarray, left_out: tuple[int, int]) -> list[tuple[int, int]]:
             at = np.minimum(np.searchsorted(ranked, other), n - 1)
             hit = (ranked[at] == other) & (other > ranked)
             pairs.append((order[hit], order[at[hit]]))
+    t = table(fps)
+    pairs = [near for i, j in pairs if len((near := _near(fps, t, i, j))[0])]
     out = []
     for a, b in pairs:
         for x, y in zip(a.tolist(), b.tolist(), strict=True):

@@ -77,6 +77,8 @@ def test_pivot_tables():
     x = r.integers(0, 1 << 63, 400, np.uint64)
     y = x ^ np.uint64(1 << 17) ^ np.uint64(1 << 50)
     assert len({tuple(t) for t in simhash.DISTANCES.tolist()}) == 256  # the pivots of a group tell all its patterns apart
+    pivots = [w << 8 * g for g in range(8) for w in simhash.WALSH]
+    assert simhash.table(x).tolist() == [[bin(int(v) ^ p).count("1") for p in pivots] for v in x]
     assert np.abs(simhash.table(x) - simhash.table(y)).max() <= 2
     assert all(set(a) & set(b) for a, b in zip(simhash.keys(x).tolist(), simhash.keys(y).tolist(), strict=True))
     assert not set(simhash.keys(x[:1])[0].tolist()) & set(simhash.keys(x[1:2])[0].tolist())
