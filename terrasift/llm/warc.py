@@ -19,14 +19,17 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..shared import ensure_workers
+from .common import written
 
 
 # Fixed values of the format.
 VERSION, END, CLOSE = "WARC/1.1", "\r\n", "\r\n\r\n"
 BASE32, RADIX32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Payloads of at least so many bytes are written once and revisited; records of a file at most.
-REVISIT_BYTES, FILE_RECORDS = 0, 20_000
+#: Bytes of a file's payloads, before compression, in the mean; captures of a file at most.
+FILE_BYTES, FILE_CAPTURES = 64 << 20, 20_000
+#: Bits that say which payloads may be repeated.
+PLACES = 1 << 25
 #: Records, and bytes of their payloads, that a batch of the reader holds at most (one record more).
 BATCH_RECORDS, BATCH_BYTES = 1_000, 16 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -66,35 +69,78 @@ def _record(kind: str, rid: Column, headers: list[tuple[str, Column]], block: Co
     return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CLOSE), block)
 
 
-def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Writes a capture per row of df under folder (must not exist).
+def _flagged(base: DataFrame, repeated: DataFrame) -> DataFrame:
+    """base with column flagged: false only if no row of repeated has the row's digest. A bitmap of hashed digests, of PLACES
+    bits, is broadcast; no page is shuffled."""
+    place = F.pmod(F.xxhash64("digest"), F.lit(PLACES))
+    bucket, position = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    maps = repeated.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(position).alias("_bits"))
+    marked = base.withColumn("_bucket", bucket).withColumn("_at", position).join(F.broadcast(maps), "_bucket", "left")
+    octet = F.conv(F.hex(F.expr("substring(_bits, CAST(_at DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("CAST(_at % 8 AS INT)")
+    found = marked.withColumn("_octet", octet).withColumn("_bit", bit)
+    flagged = F.coalesce(F.expr("(shiftright(_octet, _bit) & 1) = 1"), F.lit(False))
+    return found.withColumn("flagged", flagged).drop("_bucket", "_at", "_bits", "_octet", "_bit")
 
-    Of rows with equal payloads of at least REVISIT_BYTES bytes the one with the smallest id (nulls last; of repeated
-    rows any one) is the response, the others revisit it. A null payload is empty, a null url has no target header. Line
-    ends within a url are blanked. Other columns are ignored.
-    """
-    # The scan's own row number tells repeated rows apart; it is the same each time the rows are read.
-    url = F.regexp_replace(F.col(url_col), r"[\r\n]+", " ")
-    base = df.select(F.col(id_col).alias("id"), url.alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row")).withColumn("digest", digest(F.col("html")))
-    first = base.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
-    rows = base.join(first, "digest")
-    size = F.octet_length("html")
-    own = record_id(F.lit("main"), F.col("id"), F.col("row"))
-    is_main = (size < REVISIT_BYTES) | (F.col("row") == F.col("first.row"))
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """The text of each capture's three records: rows (own, id, url, digest, size, html), html null for a revisit."""
+    own, size, url = F.col("own"), F.col("size"), F.col("url")
     sha = F.concat(F.lit("sha1:"), F.col("digest"))
     host = F.coalesce(F.regexp_extract("url", r"^\w+://([^/?#]*)", 1), F.lit(""))
     path = F.coalesce(F.regexp_extract("url", r"^\w+://[^/?#]*([^#]*)", 1), F.lit(""))
-    target = ("WARC-Target-URI", F.col("url"))
-    request = _record("request", record_id(F.lit("request"), F.col("id"), F.col("row")), [target, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), F.when(path == "", "/").otherwise(path), F.lit(f" HTTP/1.1{END}Host: "), host, F.lit(CLOSE)))
+    target, together = ("WARC-Target-URI", url), ("WARC-Concurrent-To", own)
+    asked = F.concat(F.lit("GET "), F.when(path == "", "/").otherwise(path), F.lit(f" HTTP/1.1{END}Host: "), host, F.lit(CLOSE))
+    asking = ("Content-Type", F.lit("application/http; msgtype=request"))
+    request = _record("request", record_id(F.lit("request"), own), [target, together, asking], asked)
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), size.cast("string"), F.lit(CLOSE))
-    http = ("Content-Type", F.lit("application/http; msgtype=response"))
-    response = _record("response", own, [target, http, ("WARC-Payload-Digest", sha)], F.concat(head, "html"))
-    refers = record_id(F.lit("main"), F.col("first.id"), F.col("first.row"))
-    revisit = _record("revisit", own, [target, http, ("WARC-Payload-Digest", sha), ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", refers)], head)
-    note = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("id").cast("string"), F.lit(END)), F.lit("")), F.lit("payload-bytes: "), size.cast("string"), F.lit(END))
-    metadata = _record("metadata", record_id(F.lit("metadata"), F.col("id"), F.col("row")), [target, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))], note)
-    lines = rows.select(F.concat(request, F.lit(CLOSE), F.when(is_main, response).otherwise(revisit), F.lit(CLOSE), metadata).alias("value"))
-    lines.write.option("compression", "gzip").option("lineSep", CLOSE).option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    http, checked = ("Content-Type", F.lit("application/http; msgtype=response")), ("WARC-Payload-Digest", sha)
+    response = _record("response", own, [target, http, checked], F.concat(head, "html"))
+    before = [("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", record_id(F.lit("main"), F.col("digest")))]
+    revisit = _record("revisit", own, [target, http, checked, *before], head)
+    page = F.coalesce(F.concat(F.lit("page-id: "), F.col("id").cast("string"), F.lit(END)), F.lit(""))
+    fields = ("Content-Type", F.lit("application/warc-fields"))
+    noted = F.concat(page, F.lit("payload-bytes: "), size.cast("string"), F.lit(END))
+    metadata = _record("metadata", record_id(F.lit("metadata"), own), [target, together, fields], noted)
+    main = F.when(F.col("html").isNotNull(), response).otherwise(revisit)
+    return rows.select(F.concat(request, F.lit(CLOSE), main, F.lit(CLOSE), metadata).alias("value"))
+
+
+def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+    """Writes a capture per row of df under folder (must not exist).
+
+    Of rows with equal payloads the one with the smallest id (nulls last; of those the smallest url, nulls last; of rows
+    equal in all any one) is the response, the others revisit it. A null payload is empty, a null url has no target header.
+    Line ends within a url are blanked. Other columns are ignored.
+
+    Records are named by their content, so df may come in any order each time it is read. Only pages whose payload may be
+    repeated are shuffled, of each task one for a payload; a file has some FILE_BYTES.
+    """
+    url = F.regexp_replace(F.col(url_col), r"[\r\n]+", " ")
+    base = df.select(F.col(id_col).alias("id"), url.alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    base = base.withColumn("digest", digest(F.col("html"))).withColumn("size", F.octet_length("html").cast("long"))
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", F.col("url").isNull().alias("no_url"), "url")
+    counted = base.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    counted = written(counted, "warc-digests")
+    total = counted.agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).first()
+    repeated = counted.filter("n > 1").select("digest", "first")
+    marked = _flagged(base, repeated)
+    main = record_id(F.lit("main"), F.col("digest"))
+    columns = ["own", "id", "url", "digest", "size", "html"]
+    single = marked.filter("not flagged").withColumn("own", main).select(*columns)
+    maybe = written(marked.filter("flagged").drop("flagged"), "warc-repeated")
+    kept = maybe.groupBy("digest", "size").agg(F.min(order).alias("first"), F.any_value("html").alias("html"))
+    kept = kept.withColumn("own", main).withColumn("id", F.col("first.id")).withColumn("url", F.col("first.url")).select(*columns)
+    # Rows equal in all are told apart by their number.
+    again = maybe.groupBy("digest", "id", "url", "size").agg(F.count(F.lit(1)).alias("n")).join(repeated, "digest")
+    again = again.withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    is_main = F.col("id").eqNullSafe(F.col("first.id")) & F.col("url").eqNullSafe(F.col("first.url")) & (F.col("number") == 1)
+    named = record_id(F.lit("again"), F.col("id").isNull(), F.col("id"), F.col("url").isNull(), F.col("url"), F.col("digest"), F.col("number"))
+    again = again.filter(~is_main).withColumn("own", named).withColumn("html", F.lit(None).cast("string")).select(*columns)
+    mean = int(total["bytes"] or 0) // max(1, int(total["n"] or 0)) + 1000
+    lines = _lines(single.unionByName(kept).unionByName(again))
+    captures_a_file = min(FILE_CAPTURES, max(1, FILE_BYTES // mean))
+    lines.write.option("compression", "gzip").option("lineSep", CLOSE).option("maxRecordsPerFile", captures_a_file).text(folder)
 
 
 def _header(stream: io.BufferedIOBase) -> list[tuple[str, str]]:
@@ -129,7 +175,9 @@ def records(content: bytes) -> Iterator[tuple[dict, bytes | None]]:
         if len(block) < size:
             raise ValueError("the archive ends within a record")
         kind = get("warc-type")
-        row = {"record_id": get("warc-record-id"), "record_type": kind, "concurrent_to": [v for n, v in fields if n == "warc-concurrent-to"], "target_uri": get("warc-target-uri"), "refers_to": get("warc-refers-to"), "payload_digest": None, "payload_bytes": None, "fields": None}
+        row = {"record_id": get("warc-record-id"), "record_type": kind, "target_uri": get("warc-target-uri")}
+        row |= {"concurrent_to": [v for n, v in fields if n == "warc-concurrent-to"], "refers_to": get("warc-refers-to")}
+        row |= {"payload_digest": None, "payload_bytes": None, "fields": None}
         payload = None
         if kind in ("response", "resource"):
             payload = block.partition(b"\r\n\r\n")[2] if (get("content-type") or "").startswith("application/http") else block

@@ -342,7 +342,7 @@ def b32(text):
 
 def test_warc_edges(spark):
     tricky = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n\n\r\n\r\n"
-    pages = [(3, "http://h/a", tricky, 0), (2, None, tricky, 1), (5, "http://h/é?x#y", None, 2), (6, "bad\r\nWARC-X: 1", "", 3), (None, "u", tricky, 4), (7, "http://h", "é日本" * 9000, 5), (7, "http://h", "é日本" * 9000, 5)]
+    pages = [(3, "http://h/a", tricky, 0), (2, None, tricky, 1), (5, "http://h/é?x#y", None, 2), (6, "bad\r\nWARC-X: 1", "", 3), (None, "u", tricky, 4), (7, "http://h", "é日本" * 9000, 5), (7, "http://h", "é日本" * 9000, 5), (8, "http://only", "x" * 200_000, 6), (9, None, "same", 7), (9, "", "same", 8), (9, None, "same", 9), (1, "z", "same", 9)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, digest int")
     folder = shared_folder(spark, "warc-test")
     warc.write(df, folder)
@@ -351,7 +351,7 @@ def test_warc_edges(spark):
     nested = written(warc.assemble(found), "warc-test-captures")
     assert nested.count() == len(pages) and nested.filter("n_requests = 1 and n_metadata = 1").count() == len(pages)
     payloads = {bytes(r["main"]["payload"]).decode() for r in nested.collect() if r["main"]["record_type"] == "response"}
-    assert payloads == {tricky, "", "é日本" * 9000}
+    assert payloads == {tricky, "", "é日本" * 9000, "x" * 200_000, "same"}
     got = sorted((tuple(r) for r in warc.captures(nested, df.schema["page_id"].dataType).collect()), key=str)
     want = []
     for i, _, html, _ in pages:
