@@ -20,6 +20,9 @@ TOPICS = ["SRID alignment", "geometry vs geography", "distance units"]
 NEAR_TOPICS = ["ST_Distance", "nearest-neighbor ordering", "anchor geometry resolution"]
 OTHER_TOPICS = ["ST_DWithin", "ST_Transform"]
 CUT_NOTE = "\n...[stream truncated]"
+#: What the evidence step is told to probe, by what a question names.
+ENTITY_HINTS = ["Look the entities up in name columns with small read-only queries.", "Say for each the table, the name and geometry columns, and how sure the match is."]
+CATEGORY_HINT = "Confirm the categories' values in the likely filter columns by their most frequent values."
 CHUNK, MOST_CHARACTERS, MOST_CHUNKS = 200, 12_000, 200
 
 
@@ -71,7 +74,7 @@ def categories(question: Column) -> Column:
 def entities(question: Column) -> Column:
     """Entity candidates: quoted spans, then capitalised runs that no question word begins; at most five."""
     q = F.trim(F.coalesce(question, F.lit("")))
-    quoted = F.transform(F.regexp_extract_all(q, F.lit(QUOTED), F.lit(1)), F.trim)
+    quoted = F.transform(F.regexp_extract_all(q, F.lit(QUOTED), F.lit(1)), lambda v: F.trim(v))
     runs = F.regexp_extract_all(q, F.lit(CAPITALISED), F.lit(1))
     named = F.filter(runs, lambda r: ~F.regexp_extract(r, r"^(\S+)", 1).isin(QUESTION_WORDS))
     return F.slice(distinct_words(F.concat(quoted, named)), 1, MOST_ENTITIES)
@@ -95,9 +98,22 @@ def default_evidence(question: Column, schema: Column | None = None, tables: Col
         F.array(F.coalesce(F.nullif(F.trim(schema), F.lit("")), F.lit("public")) if schema is not None else F.lit("public")).alias("schema_whitelist"),
         F.lit(MOST_TABLES).alias("max_tables"),
         F.lit(MOST_COLUMNS).alias("max_columns_per_table"),
+        F.concat(F.when(F.size(entities(q)) > 0, F.array(*map(F.lit, ENTITY_HINTS))).otherwise(none), F.when(some, F.array(F.lit(CATEGORY_HINT))).otherwise(none)).alias("probe_hints"),
+        F.struct(
+            (F.nullif(F.trim(schema), F.lit("")) if schema is not None else F.lit(None).cast("string")).alias("schema_name"),
+            (string_list(tables) if tables is not None else none).alias("table_list"),
+            (string_list(views) if views is not None else none).alias("view_list"),
+        ).alias("runtime_context"),
     )
 
 
+def default_knowledge(question: Column, error_text: Column | None = None) -> Column:
+    """The knowledge request for a question, as a struct; a web search is wanted if there is an error to explain."""
+    error = error_text if error_text is not None else F.lit(None).cast("string")
+    wanted = F.coalesce(error, F.lit("")) != ""
+    return F.struct(question.alias("question"), default_topics(question).alias("topics"), wanted.alias("need_websearch"), error.alias("error_text"))
+
+
 def default_topics(question: Column) -> Column:
     """Topics of the knowledge request."""
     return F.when(asks_nearest(question), F.array(*map(F.lit, TOPICS + NEAR_TOPICS))).otherwise(F.array(*map(F.lit, TOPICS + OTHER_TOPICS)))

@@ -123,7 +123,14 @@ class Store:
         data = [tuple((r | {"_version": version, "_deleted": deleted}).get(f.name) for f in schema.fields) for r in rows]
         self.spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(f"{self.folder}/{name}")
 
-    def _checked(self, name: str, values: dict) -> dict:
+    def _append_frame(self, name: str, rows: DataFrame, deleted: bool) -> None:
+        """New versions of rows, written where they are; nothing without any."""
+        version = (self._log(name).agg(F.max("_version")).first()[0] or 0) + 1
+        made = rows.withColumn("_version", F.lit(version).cast("long")).withColumn("_deleted", F.lit(deleted))
+        if not rows.isEmpty():
+            made.write.mode("append").parquet(f"{self.folder}/{name}")
+
+    def _checked(self, name: str, values: dict, refer: bool = True) -> dict:
         entity, out = ENTITIES[name], {}
         known = set(T.StructType.fromDDL(entity.columns).names)
         if unknown := set(values) - known:
@@ -133,34 +140,61 @@ class Store:
                 out[column] = None
             else:
                 out[column] = entity.checks[column](value, column) if column in entity.checks else value
-        for column, (other, _) in entity.refers.items():
+        for column, (other, _) in entity.refers.items() if refer else ():
             if out.get(column) is not None and self.get(other, out[column]) is None:
                 raise LookupError(f"{other} has no {out[column]}")
         return out
 
     def insert(self, name: str, /, **values: object) -> int:
         """Inserts a row and returns its id; every column that is not optional must be given."""
-        entity = ENTITIES[name]
-        missing = [c for c in T.StructType.fromDDL(entity.columns).names if c not in values and c not in entity.optional]
-        if missing:
-            raise ValueError(f"{name} needs {', '.join(missing)}")
-        row = self._checked(name, values)
-        if entity.unique and self.table(name).filter(F.col(entity.unique) == row[entity.unique]).limit(1).count():
-            raise ValueError(f"{name} has this {entity.unique} already")
-        key = (self._log(name).agg(F.max("id")).first()[0] or 0) + 1
+        return self.insert_many(name, [values])[0]
+
+    def insert_many(self, name: str, rows: list[dict]) -> list[int]:
+        """insert() of several rows as one write: values, references and unique keys are checked for all at once."""
+        entity, known = ENTITIES[name], T.StructType.fromDDL(ENTITIES[name].columns).names
+        needed = [c for c in known if c not in entity.optional]
+        for values in rows:
+            if missing := [c for c in needed if c not in values]:
+                raise ValueError(f"{name} needs {', '.join(missing)}")
+        made = [self._checked(name, values, refer=False) for values in rows]
+        for column, (other, _) in entity.refers.items():
+            wanted = {r[column] for r in made if r.get(column) is not None}
+            have = {r["id"] for r in self.table(other).filter(F.col("id").isin(sorted(wanted))).select("id").collect()} if wanted else set()
+            if lost := wanted - have:
+                raise LookupError(f"{other} has no {min(lost)}")
+        if entity.unique:
+            keys = [r[entity.unique] for r in made]
+            if len(set(keys)) < len(keys) or not self.table(name).filter(F.col(entity.unique).isin(keys)).isEmpty():
+                raise ValueError(f"{name} has this {entity.unique} already")
+        first = (self._log(name).agg(F.max("id")).first()[0] or 0) + 1
         now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
-        if name == "chat_history" and row["role"] == "user" and row.get("request_id") is None:
-            row["request_id"] = key  # a question is its own request
-        self._append(name, [row | {"id": key, "insert_time": now, "update_time": now}])
-        return key
+        for key, row in enumerate(made, first):
+            if name == "chat_history" and row["role"] == "user" and row.get("request_id") is None:
+                row["request_id"] = key  # a question is its own request
+            row |= {"id": key, "insert_time": now, "update_time": now}
+        if made:
+            self._append(name, made)
+        return [r["id"] for r in made]
 
     def insert_missing(self, name: str, key_column: str, rows: list[dict]) -> int:
         """Inserts the rows whose key column has no equal yet; returns how many."""
-        have = {r[0] for r in self.table(name).filter(F.col(key_column).isin([r[key_column] for r in rows])).select(key_column).collect()}
-        new = [r for r in rows if r[key_column] not in have]
-        for r in new:
-            self.insert(name, **r)
-        return len(new)
+        keys = [r[key_column] for r in rows]
+        have = {r[0] for r in self.table(name).filter(F.col(key_column).isin(keys)).select(key_column).collect()}
+        return len(self.insert_many(name, [r for r in rows if r[key_column] not in have]))
+
+    def compact(self, name: str) -> None:
+        """Rewrites a log to the latest versions of its rows, deleted ones included, as one set of files.
+
+        Ids stay taken. Call it while nobody writes: the new log takes the old one's place after it is whole.
+        """
+        schema = self._schema(name)
+        last = self._log(name).groupBy("id").agg(F.max_by(F.struct(*[f.name for f in schema.fields]), "_version").alias("r")).select("r.*")
+        path, fresh = f"{self.folder}/{name}", f"{self.folder}/_{name}_compacted"
+        last.write.mode("overwrite").parquet(fresh)
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        fs = jvm.Path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.delete(jvm.Path(path), True)
+        fs.rename(jvm.Path(fresh), jvm.Path(path))
 
     def update(self, name: str, key: int, owner: int | None = None, /, **values: object) -> dict:
         """Writes a new version with the given columns changed (at least one); LookupError if there is no such row."""
@@ -183,12 +217,14 @@ class Store:
             for column, (target, rule) in other.refers.items():
                 if target != name:
                     continue
-                found = [r.asDict() for r in self.table(other.name).filter(F.col(column) == key).collect()]  # one owner's rows
-                if rule == "cascade":
-                    for r in found:
+                rows = self.table(other.name).filter(F.col(column) == key)
+                if rule == "null":
+                    self._append_frame(other.name, rows.withColumn(column, F.lit(None).cast("long")), False)
+                elif any(t == other.name for e in ENTITIES.values() for t, _ in e.refers.values()):
+                    for r in rows.select("id").collect():  # one owner's rows, each with rows of its own
                         self.delete(other.name, r["id"])
-                elif found:
-                    self._append(other.name, [r | {column: None} for r in found])
+                else:
+                    self._append_frame(other.name, rows, True)
 
     def login(self, username: str, password: str) -> dict | None:
         """The public row of an active user with this password, whose last login is set; else None."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,22 +11,7 @@ from ..operators import catalog, execute, history, joins, logs, migrate, store
 from ..streaming import events
 from ..tables import load, register
 from . import search
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 # The data has no geometry: keys give points.
 def lon(key: str) -> Column:
@@ -76,12 +59,6 @@ def keyword_postings_df(spark: SparkSession, d: str) -> DataFrame:
     return search.postings(load(spark, d, "documents"), text_col="text").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-@query(f"WITH p AS ({_postings}) SELECT token, count(*) AS df, array_to_string(list_sort(list(doc_id)), ',') AS doc_ids FROM p GROUP BY token HAVING count(*) <= 50")
-def keyword_postings_lists(spark: SparkSession, d: str) -> DataFrame:
-    lists = search.posting_lists(load(spark, d, "documents"), 50, text_col="text")
-    return lists.select("token", "df", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"))
-
-
 @query(f"WITH p AS ({_postings}) SELECT token, doc_id // 65536 AS segment, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high FROM p GROUP BY 1, 2")
 def keyword_posting_segments(spark: SparkSession, d: str) -> DataFrame:
     s = search.posting_segments(load(spark, d, "documents"), text_col="text")
@@ -89,7 +66,7 @@ def keyword_posting_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH p AS ({_postings}) SELECT token, doc_id // 65536 AS segment, count(*) AS n, array_to_string(list_sort(list(doc_id)), ',') AS doc_ids FROM p GROUP BY 1, 2")
-def keyword_posting_ids(spark: SparkSession, d: str) -> DataFrame:
+def keyword_postings_lists(spark: SparkSession, d: str) -> DataFrame:
     """The documents of every token, however common, by bounded segments."""
     s = search.posting_segments(load(spark, d, "documents"), text_col="text")
     return s.select("token", "segment", F.size("doc_ids").cast("bigint").alias("n"), F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"))
@@ -114,11 +91,16 @@ def vector_knn(spark: SparkSession, d: str) -> DataFrame:
     return search.neighbours(vectors, list(asked), 5, "vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("SELECT vec_id AS query_id, vec_id AS neighbour_id, 1 AS rank FROM embeddings WHERE vec_id % 20 = 0")
-def vector_self_neighbour(spark: SparkSession, d: str) -> DataFrame:
-    """The query set of every 20th vector against all vectors: each is its own nearest."""
+@query(f"""
+WITH d AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id, {_sq.format(a='v.embedding', b='q.embedding')} AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM d)
+SELECT query_id, neighbour_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
+""")
+def vector_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The query set of every 20th vector against all vectors: the nearest five of each."""
     vectors = load(spark, d, "embeddings")
-    return search.neighbours_of(vectors.filter("vec_id % 20 = 0"), vectors, 1, "vec_id", "vec_id", "embedding", "embedding").select("query_id", "neighbour_id", "rank")
+    found = search.neighbours_of(vectors.filter("vec_id % 20 = 0"), vectors, 5, "vec_id", "vec_id", "embedding", "embedding")
+    return found.withColumn("distance", F.round("distance", 6))
 
 
 @query(f"""
@@ -373,25 +355,14 @@ def chunk_reassembly(spark: SparkSession, d: str) -> DataFrame:
     return history.joined(pieces, ["conv_id", "turn"], "chunk_index", "delta").select("conv_id", "turn", F.sha2("text", 256).alias("digest"))
 
 
-@query("""
-WITH s AS (SELECT conv_id, turn, unnest([1, 2, 3]) AS seq, text FROM conversations), c AS (SELECT conv_id, turn, seq, substr(text, 1, seq * 40) AS t FROM s),
-l AS (SELECT *, lag(t) OVER (PARTITION BY conv_id, turn ORDER BY seq) AS p FROM c)
-SELECT conv_id, turn, seq, CASE WHEN p IS NULL THEN t WHEN starts_with(t, p) THEN substr(t, CAST(length(p) + 1 AS BIGINT)) ELSE t END AS delta FROM l
-""")
-def delta_from_cumulative(spark: SparkSession, d: str) -> DataFrame:
-    grown = load(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("seq"), "text")
-    grown = grown.withColumn("t", F.substring(F.col("text"), F.lit(1), F.col("seq") * 40)).withColumn("stream", F.struct("conv_id", "turn"))
-    return history.deltas(grown, "stream", "seq", "t").select("conv_id", "turn", "seq", "delta")
-
-
 @query("""
 WITH s AS (SELECT conv_id, turn, unnest(range(1, greatest(1, CAST(ceil(length(text) / 40.0) AS BIGINT)) + 1)) AS seq, text FROM conversations),
 c AS (SELECT conv_id, turn, CAST(seq AS INTEGER) AS seq, substr(text, 1, seq * 40) AS t FROM s),
 l AS (SELECT *, lag(t) OVER (PARTITION BY conv_id, turn ORDER BY seq) AS p FROM c)
 SELECT conv_id, turn, seq, CASE WHEN p IS NULL THEN t WHEN starts_with(t, p) THEN substr(t, CAST(length(p) + 1 AS BIGINT)) ELSE t END AS delta FROM l
 """)
-def delta_from_cumulative_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As delta_from_cumulative, with snapshots up to the whole text."""
+def delta_from_cumulative(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots that grow by 40 characters, up to the whole text, and what each adds."""
     last = F.greatest(F.lit(1), F.ceil(F.char_length("text") / 40).cast("int"))
     grown = load(spark, d, "conversations").select("conv_id", "turn", F.explode(F.sequence(F.lit(1), last)).alias("seq"), "text")
     grown = grown.withColumn("t", F.substring(F.col("text"), F.lit(1), F.col("seq") * 40)).withColumn("stream", F.struct("conv_id", "turn"))
@@ -575,3 +546,7 @@ def tpch_q10(spark: SparkSession, d: str) -> DataFrame:
     per = li.join(load(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.sum(_revenue()).cast("decimal(28,4)").alias("revenue"))
     named = per.join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(load(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return named.select("c_custkey", "c_name", "n_name", "revenue").orderBy(F.desc("revenue"), "c_custkey").limit(20)
+
+
+# The other registered queries.
+from . import queries_catalog, queries_flow, queries_space, queries_store, queries_text  # noqa: E402, F401

@@ -51,14 +51,14 @@ def test_entry(spark):
 
 def test_deltas_hold_whole_texts(spark):
     pieces = {}
-    for r in sorted(QUERIES["delta_from_cumulative_whole"](spark, SMALL).collect()):
+    for r in sorted(QUERIES["delta_from_cumulative"](spark, SMALL).collect()):
         pieces[r["conv_id"], r["turn"]] = pieces.get((r["conv_id"], r["turn"]), "") + r["delta"]
     texts = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{SMALL}/conversations.parquet").collect()}
     assert pieces == texts and max(map(len, texts.values())) > 120
 
 
 def test_posting_ids_of_common_tokens(spark):
-    rows = QUERIES["keyword_posting_ids"](spark, SMALL).collect()
+    rows = QUERIES["keyword_postings_lists"](spark, SMALL).collect()
     held = {}
     for r in rows:
         held.setdefault(r["token"], []).extend(map(int, r["doc_ids"].split(",")))
