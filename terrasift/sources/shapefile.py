@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import struct
 from collections.abc import Iterator
 from pathlib import Path
@@ -128,16 +129,36 @@ def shapes_of(shp: Path) -> Iterator[bytes | None]:
 
 
 def srid_of(shp: Path) -> int:
-    """4326 or 3857 by the projection file, 4326 without one; another projection raises."""
+    """The system that the projection file names: 4326 (also without a file), 3857 or a UTM zone; another raises."""
     prj = _beside(shp, ".prj")
     text = prj.read_text().upper() if prj else ""
-    if not text.strip() or text.lstrip().startswith("GEOGCS") and "WGS" in text:
+    if not text.strip() or text.lstrip().startswith("GEOGCS") and ("WGS" in text or "ETRS" in text):
         return 4326
     if "PSEUDO" in text or "MERCATOR_AUXILIARY" in text or "3857" in text:
         return 3857
+    if m := re.search(r"UTM[ _]ZONE[ _](\d{1,2})([NS])", text):
+        return {"N": 32600, "S": 32700}[m[2]] + int(m[1])
     raise ValueError(f"no reprojection for {shp.name}")
 
 
+def write_points(rows: list[tuple], names: list[str], path: str, srid: int = 4326) -> None:
+    """Writes a shapefile of points with text attributes: rows of (x, y, values); a shapefile is one file, so rows are few."""
+    shp = Path(path)
+    width = [max([1, *(len(str(r[2 + k]).encode()) for r in rows)]) for k in range(len(names))]
+    body = b"".join(struct.pack(">ii", n, 10) + struct.pack("<idd", 1, float(r[0]), float(r[1])) for n, r in enumerate(rows, 1))
+    xs, ys = [r[0] for r in rows] or [0.0], [r[1] for r in rows] or [0.0]
+    head = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<ii8d", 1000, 1, min(xs), min(ys), max(xs), max(ys), 0, 0, 0, 0)
+    shp.write_bytes(head + body)
+    fields = b"".join(struct.pack("<11sc4xBB14x", n.encode()[:10], b"C", w, 0) for n, w in zip(names, width, strict=True))
+    size = 1 + sum(width)
+    table = struct.pack("<B3BIHH20x", 3, 124, 1, 1, len(rows), 33 + len(fields), size) + fields + b"\r"
+    cells = (b" " + b"".join(str(v).encode().ljust(w) for v, w in zip(r[2:], width, strict=True)) for r in rows)
+    shp.with_suffix(".dbf").write_bytes(table + b"".join(cells) + b"\x1a")
+    zone, half = srid % 100, "N" if srid // 100 == 326 else "S"
+    known = {4326: 'GEOGCS["WGS 84"]', 3857: 'PROJCS["WGS 84 / Pseudo-Mercator"]'}
+    shp.with_suffix(".prj").write_text(known.get(srid) or f'PROJCS["WGS 84 / UTM zone {zone}{half}"]')
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
