@@ -8,9 +8,11 @@ by the shingles themselves (their 64-bit hashes):
    their first n - ceil(s n) + 1 shingles. Any order is exact; common ones are only last to keep buckets small.
 2. Texts that share such a shingle form a bucket. Of a small bucket all pairs are candidates. In a large one all meet a few
    pivots first; hot buckets are dealt over many tasks, whose pivots then meet one another.
-3. Pairs are ruled out by size and by a parity sketch: sketches differ in no more bits than the sets in shingles.
+3. Pairs are ruled out by size and by a parity sketch of about a bit a shingle: sketches differ in no more bits than the
+   sets in shingles, and a sketch of twice the length folds to the shorter one.
 4. The rest are linked if the Jaccard similarity of their sets is s or more. Each text is first compared with one
-   candidate; pairs that these links connect need no comparison of their own, so copies make no square of pairs.
+   candidate; pairs that these links, or those of the 64-bit fingerprints, connect need no comparison of their own, so
+   copies make no square of pairs.
 5. In large buckets whose members are still unconnected the pairs across groups are candidates in turn, in cells of
    bounded size.
 """
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,6 @@ from .common import components, free_name, map_rows, octets, write_table, writte
 from .simhash import LOWER, SEED, fingerprint_of, links
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Words of 64 bits of a parity sketch.
-LANES = 12
 #: Texts that common shingles are counted in, how many hold one, and how many are kept.
 SAMPLE, OFTEN, COMMON = 10_000, 6, 20_000
 #: Up to so many nodes of a bucket are compared as pairs at once; more meet so many pivots first.
@@ -66,13 +67,19 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """A bit for the parity of each of a power of two of classes of hashes, some one a hash, as signed longs."""
+    places = 64 << max(0, (len(hashes) - 1).bit_length() - 6)
+    odd = np.bincount((hashes.view(np.uint64) >> np.uint64(20)).astype(np.int64) & (places - 1), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def sketch(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
     """Fingerprint of 64 bits, node, parity sketch, and the sorted hashes of distinct shingles."""
     words = data.translate(LOWER).split()
     hashes, fp = shingles(words), fingerprint_of(words)
-    odd = np.bincount((hashes.view(np.uint64) >> np.uint64(20)).astype(np.int64) % (64 * LANES), minlength=64 * LANES) & 1
     node = xxhash.xxh64_intdigest(fp.to_bytes(8, "little") + hashes.tobytes(), SEED)
-    return fp, node, np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"), hashes
+    return fp, node, parities(hashes), hashes
 
 
 def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
@@ -300,13 +307,29 @@ def met(keyed: DataFrame, similarity: float, hot: dict[int, int] | None = None)
     return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "kind int, a long, b long, key long, n long")
 
 
+def _matrices(column: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Words of each sketch; and for each number of words the sketches of that and of twice the length, these folded, with
+    the place of each row in them."""
+    lanes, flat = column.value_lengths().to_numpy(), column.flatten().to_numpy().view(np.uint64)  # numpy counts bits of absolute values
+    begin = np.append(0, np.cumsum(lanes))[:-1]
+    out = {}
+    for width in np.unique(lanes).tolist():
+        own, longer = np.flatnonzero(lanes == width), np.flatnonzero(lanes == 2 * width)
+        take = lambda rows, size: flat[begin[rows][:, None] + np.arange(size)]
+        twice = take(longer, 2 * width)
+        place = np.full(len(lanes), -1)
+        place[own], place[longer] = np.arange(len(own)), len(own) + np.arange(len(longer))
+        out[width] = place, np.concatenate([take(own, width), twice[:, :width] ^ twice[:, width:]])
+    return lanes, out
+
+
 def unmet(cells: DataFrame, similarity: float) -> DataFrame:
     """Rows (a, b) of cells (key, node, n, bits, root): pairs of a cell with different roots that size and bits allow."""
     allowed = (1 - similarity) / (1 + similarity)
 
     def found(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         node, n, root = (rows.column(k).to_numpy() for k in (1, 2, 4))
-        bits = rows.column(3).flatten().to_numpy().reshape(-1, LANES)
+        lanes, bits = _matrices(rows.column(3))
         for at in range(0, len(n), 64):
             i = slice(at, at + 64)
             last = int(np.searchsorted(n, n[i].max() / similarity + 1e-6, side="right"))
@@ -314,13 +337,17 @@ def unmet(cells: DataFrame, similarity: float) -> DataFrame:
                 j = slice(to, min(to + 2048, last))
                 x, y = n[i, None], n[None, j]
                 p, q = np.nonzero((root[i, None] != root[None, j]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9))
-                if not len(p):
-                    continue
                 p, q = p + at, q + to
-                differing = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
-                ok = differing <= allowed * (n[p] + n[q]) + 1e-9
-                a, b = node[p[ok]], node[q[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                shorter = np.minimum(lanes[p], lanes[q])
+                for width, (place, matrix) in bits.items():
+                    of = np.flatnonzero(shorter == width)
+                    for k in range(0, len(of), 1 << 14):
+                        u, v = p[of[k : k + (1 << 14)]], q[of[k : k + (1 << 14)]]
+                        differing = np.bitwise_count(matrix[place[u]] ^ matrix[place[v]]).sum(axis=1, dtype=np.int64)
+                        ok = differing <= allowed * (n[u] + n[v]) + 1e-9
+                        a, b = node[u[ok]], node[v[ok]]
+                        if len(a):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []  # of the cell that goes on
@@ -363,6 +390,7 @@ def near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs (a, b), each once, that sizes and bits allow."""
     side = lambda n: nodes.select(F.col("node").alias(n), F.col("n").alias(f"n_{n}"), F.col("bits").alias(f"s_{n}"))
     close = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    close = close.filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
     most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-9
     return close.filter(_differing(F.col("s_a"), F.col("s_b")) <= most).select("a", "b")
 
@@ -381,7 +409,11 @@ def similar(pairs: DataFrame, nodes: DataFrame, similarity: float, sets: Callabl
 
 
 def _differing(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    """Differing bits of two sketches, one of them at most twice as long as the other."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    half = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), xor)
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)
+    return F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda s, x: s + x)
 
 
 def _rooted(df: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
@@ -395,9 +427,12 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return _rooted(_rooted(pairs, roots, "a", "x"), roots, "b", "y").filter("x <> y").select("a", "b")
 
 
-def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges (a, b) between nodes (node, h, n, bits) of sketches; both tables are written. All link similar ones, and they
-    connect all that are similar. Shuffle files and tables of a step are let go after the next."""
+def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float, sets: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) between nodes (node, h, n, bits) of sketches; both tables are written. With the edges known, a written
+    table, they connect all nodes that are similar; all others than known link similar ones.
+
+    Shuffle files and tables of a step are let go after the next.
+    """
     spark = nodes.sparkSession
     ensure_workers(spark)
     hot = hot_keys(rows)
@@ -407,26 +442,29 @@ def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float, sets: Ca
     if hot:
         again = found.filter(F.col("kind") == PIVOT).select("key", F.col("a").alias("node"), "n")
         pairs = pairs.unionByName(met(again, similarity).filter(F.col("kind") == PAIR).select("a", "b"))
-    close, close_path = write_table(near(pairs, nodes, similarity), "similar-close")
-    first = written(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "similar-first")
+    edges = known if known is not None else spark.createDataFrame([], "a long, b long")
+    rest = written(apart(near(pairs, nodes, similarity), components(edges, "similar-roots")), "similar-close")
     release(spark)
-    edges = written(similar(first, nodes, similarity, sets), "similar-edges")
+    first = written(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "similar-first")
+    made = [written(similar(first, nodes, similarity, sets), "similar-edges")]
     release(spark)
-    rest = written(apart(close, components(edges, "similar-roots")), "similar-rest")
-    remove(spark, close_path)
+    every = lambda: reduce(DataFrame.unionByName, [edges, *made])
+    rest = written(apart(rest, components(every(), "similar-roots")), "similar-rest")
     if not rest.isEmpty():
-        edges = written(edges.unionByName(similar(rest, nodes, similarity, sets)), "similar-edges")
+        made.append(written(similar(rest, nodes, similarity, sets), "similar-edges"))
         release(spark)
     members = found.filter(F.col("kind") == MEMBER)
-    if members.isEmpty():
-        return edges
-    roots = components(edges, "similar-roots")
-    members = written(_rooted(members.select("key", F.col("a").alias("node"), "n"), roots, "node", "root"), "similar-members")
-    remove(spark, found_path)
-    release(spark)
-    late = written(unmet(cells(members, nodes), similarity).distinct(), "similar-late")
-    release(spark)
-    return edges if late.isEmpty() else edges.unionByName(written(similar(late, nodes, similarity, sets), "similar-edges"))
+    if not members.isEmpty():
+        roots = components(every(), "similar-roots")
+        members = written(_rooted(members.select("key", F.col("a").alias("node"), "n"), roots, "node", "root"), "similar-members")
+        remove(spark, found_path)
+        release(spark)
+        late = written(unmet(cells(members, nodes), similarity).distinct(), "similar-late")
+        release(spark)
+        if not late.isEmpty():
+            made.append(written(similar(late, nodes, similarity, sets), "similar-edges"))
+            release(spark)
+    return reduce(DataFrame.unionByName, made)
 
 
 def groups(rows: DataFrame, similarity: float = SIMILARITY, sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -438,12 +476,14 @@ def groups(rows: DataFrame, similarity: float = SIMILARITY, sets: Callable[[Data
     sets = sets or (lambda n: rows.select("node", "shingles").dropDuplicates(["node"]))
     nodes = written(rows.select("node", "h", "fp", "n", "bits").dropDuplicates(["node"]), "similar-nodes")
     first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    same = nodes.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    same = nodes.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b")).filter("a <> b")
     close = links(first.select("fp")).select(F.col("a").alias("fp"), F.col("b").alias("other"))
-    close = close.join(first, "fp").select(F.col("other").alias("fp"), F.col("first").alias("a")).join(first, "fp").select("a", F.col("first").alias("b"))
-    edges = similar_links(rows, nodes, similarity, sets).unionByName(close).unionByName(same.filter("a <> b"))
-    roots = components(edges, "similar-groups")
+    close = close.join(first, "fp").select(F.col("other").alias("fp"), F.col("first").alias("a"))
+    close = close.join(first, "fp").select("a", F.col("first").alias("b"))
+    known = written(close.unionByName(same), "similar-known")
     release(nodes.sparkSession)
+    edges = known.unionByName(similar_links(rows, nodes, similarity, sets, known))
+    roots = components(edges, "similar-groups")
     return _rooted(nodes.select("node"), roots, "node", "root")
 
 

@@ -12,6 +12,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -494,6 +495,28 @@ def test_similar_is_exact(spark):
     assert all((root[i] == root[j]) == (s >= 0.8) for (i, j), s in near.items())
 
 
+def test_parity_sketches(spark):
+    """Sketches of sets of like sizes differ in no more bits than the sets in members, folded or not, in both forms."""
+    r = np.random.default_rng(7)
+    sets = []
+    for n in (0, 1, 60, 64, 65, 120, 130, 500, 520, 1000, 1100):
+        base = r.integers(-(1 << 62), 1 << 62, n)
+        sets += [np.unique(base), np.unique(np.concatenate([base[n // 8 :], r.integers(-(1 << 62), 1 << 62, n // 6)]))]
+    lanes, bits = similar._matrices(pa.array([similar.parities(s).tolist() for s in sets], pa.list_(pa.int64())))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if max(lanes[i], lanes[j]) <= 2 * min(lanes[i], lanes[j])]
+    rows = [(i, j, similar.parities(sets[i]).tolist(), similar.parities(sets[j]).tolist()) for i, j in pairs]
+    df = spark.createDataFrame(rows, "i int, j int, a array<long>, b array<long>")
+    jvm = {(x["i"], x["j"]): x["d"] for x in df.select("i", "j", similar._differing(F.col("a"), F.col("b")).alias("d")).collect()}
+    tight = 0
+    for i, j in pairs:
+        place, matrix = bits[int(min(lanes[i], lanes[j]))]
+        d = int(np.bitwise_count(matrix[place[i]] ^ matrix[place[j]]).sum())
+        apart = len(set(sets[i].tolist()) ^ set(sets[j].tolist()))
+        assert d == jvm[i, j] <= apart
+        tight += d > apart / 3
+    assert tight > len(pairs) / 3
+
+
 def test_shingle_hashes():
     """Equal runs of five words have equal hashes, others don't."""
     r = random.Random(3)
