@@ -243,15 +243,6 @@ def table_rowcounts(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("SELECT * FROM (VALUES ('customer', 'c_custkey', 'bigint'), ('customer', 'c_name', 'string'), ('customer', 'c_nationkey', 'int'), ('customer', 'c_acctbal', 'double'), ('customer', 'c_mktsegment', 'string'), ('nation', 'n_nationkey', 'int'), ('nation', 'n_name', 'string'), ('nation', 'n_regionkey', 'int')) t(object, name, data_type)")
-def catalog_columns(spark: SparkSession, d: str) -> DataFrame:
-    own = spark.newSession()
-    register(own, d, ["customer", "nation"])
-    found = catalog.columns(own).filter(F.col("table").isin("customer", "nation"))
-    rows = [(r["table"], r["name"], r["data_type"]) for r in found.collect()]  # a row a column
-    return spark.createDataFrame(rows, "object string, name string, data_type string")
-
-
 @query("SELECT p_type AS value, count(*) AS freq FROM part WHERE p_type IS NOT NULL GROUP BY 1 ORDER BY freq DESC, value LIMIT 5")
 def topk_distinct(spark: SparkSession, d: str) -> DataFrame:
     return catalog.top_distinct(load(spark, d, "part"), "p_type", 5)
@@ -262,12 +253,12 @@ def category_profile(spark: SparkSession, d: str) -> DataFrame:
     return catalog.category_profile(load(spark, d, "part"), "p_brand", 20)
 
 
-@query("SELECT n_name, 2 AS match_rank FROM nation WHERE lower(n_name) = lower((SELECT min(n_name) FROM nation))")
+@query("SELECT c_name, 2 AS match_rank FROM customer WHERE lower(c_name) = lower((SELECT max(c_name) FROM customer)) ORDER BY c_name LIMIT 5")
 def entity_match(spark: SparkSession, d: str) -> DataFrame:
     """An entity that only differs in case."""
-    nations = load(spark, d, "nation")
-    name = nations.agg(F.min("n_name")).first()[0]
-    return catalog.matches(nations, "n_name", name.swapcase()).select("n_name", "match_rank")
+    customers = load(spark, d, "customer")
+    name = customers.agg(F.max("c_name")).first()[0]
+    return catalog.matches(customers, "c_name", name.swapcase()).select("c_name", "match_rank")
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 40")
