@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -422,14 +421,24 @@ def _rooted(df: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
     return df.join(of, node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
 
 
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) that are not connected yet."""
-    return _rooted(_rooted(pairs, roots, "a", "x"), roots, "b", "y").filter("x <> y").select("a", "b")
+def apart(pairs: DataFrame, roots: DataFrame, named: bool = False) -> DataFrame:
+    """Pairs (a, b) that are not connected yet; with named the pairs of their roots."""
+    found = _rooted(_rooted(pairs, roots, "a", "x"), roots, "b", "y").filter("x <> y")
+    return found.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct() if named else found.select("a", "b")
 
 
-def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float, sets: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
-    """Edges (a, b) between nodes (node, h, n, bits) of sketches; both tables are written. With the edges known, a written
-    table, they connect all nodes that are similar; all others than known link similar ones.
+def regrouped(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (node, root) of groups joined by more edges (a, b): only links between groups are followed. A written table."""
+    between = apart(edges, roots, named=True)
+    joined = written(components(between, "similar-between"), "similar-joined")
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left")
+    moved = moved.select("node", F.coalesce("_to", "root").alias("root"))
+    return written(moved.unionByName(joined.join(roots.select("node"), "node", "left_anti")), "similar-roots")
+
+
+def similar_roots(rows: DataFrame, nodes: DataFrame, similarity: float, sets: Callable[[DataFrame], DataFrame], known: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (node, root) of the groups that known edges (a, b) and similarity link, and the tables of similar edges found;
+    nodes (node, h, n, bits) of sketches, rows and known are written tables. Nodes without links have no row.
 
     Shuffle files and tables of a step are let go after the next.
     """
@@ -442,29 +451,26 @@ def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float, sets: Ca
     if hot:
         again = found.filter(F.col("kind") == PIVOT).select("key", F.col("a").alias("node"), "n")
         pairs = pairs.unionByName(met(again, similarity).filter(F.col("kind") == PAIR).select("a", "b"))
-    edges = known if known is not None else spark.createDataFrame([], "a long, b long")
-    rest = written(apart(near(pairs, nodes, similarity), components(edges, "similar-roots")), "similar-close")
+    roots = written(components(known, "similar-known"), "similar-roots")
+    close = written(apart(near(pairs, nodes, similarity), roots), "similar-close")
     release(spark)
-    first = written(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "similar-first")
+    first = written(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "similar-first")
     made = [written(similar(first, nodes, similarity, sets), "similar-edges")]
     release(spark)
-    every = lambda: reduce(DataFrame.unionByName, [edges, *made])
-    rest = written(apart(rest, components(every(), "similar-roots")), "similar-rest")
-    if not rest.isEmpty():
-        made.append(written(similar(rest, nodes, similarity, sets), "similar-edges"))
-        release(spark)
+    roots = regrouped(roots, made[0])
+    rest = apart(close, roots)
     members = found.filter(F.col("kind") == MEMBER)
     if not members.isEmpty():
-        roots = components(every(), "similar-roots")
         members = written(_rooted(members.select("key", F.col("a").alias("node"), "n"), roots, "node", "root"), "similar-members")
         remove(spark, found_path)
+        rest = rest.unionByName(unmet(cells(members, nodes), similarity)).distinct()
+    rest = written(rest, "similar-rest")
+    release(spark)
+    if not rest.isEmpty():
+        made.append(written(similar(rest, nodes, similarity, sets), "similar-edges"))
         release(spark)
-        late = written(unmet(cells(members, nodes), similarity).distinct(), "similar-late")
-        release(spark)
-        if not late.isEmpty():
-            made.append(written(similar(late, nodes, similarity, sets), "similar-edges"))
-            release(spark)
-    return reduce(DataFrame.unionByName, made)
+        roots = regrouped(roots, made[1])
+    return roots, made
 
 
 def groups(rows: DataFrame, similarity: float = SIMILARITY, sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -482,8 +488,7 @@ def groups(rows: DataFrame, similarity: float = SIMILARITY, sets: Callable[[Data
     close = close.join(first, "fp").select("a", F.col("first").alias("b"))
     known = written(close.unionByName(same), "similar-known")
     release(nodes.sparkSession)
-    edges = known.unionByName(similar_links(rows, nodes, similarity, sets, known))
-    roots = components(edges, "similar-groups")
+    roots, _ = similar_roots(rows, nodes, similarity, sets, known)
     return _rooted(nodes.select("node"), roots, "node", "root")
 
 

@@ -478,7 +478,9 @@ def test_similar_large_buckets(spark):
     assert len(set(want.values())) == 80 and all(root[2 * k] == root[2 * k + 1] for k in range(80))
     nodes = written(similar.sketches(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), "similar-test")
     ids = {x["node"]: x["id"] for x in nodes.collect()}
-    edges = [tuple(sorted((ids[x["a"]], ids[x["b"]]))) for x in similar.similar_links(nodes, nodes, 0.8, lambda n: nodes.select("node", "shingles")).collect()]
+    none = spark.createDataFrame([], "a long, b long")
+    _, made = similar.similar_roots(nodes, nodes, 0.8, lambda n: nodes.select("node", "shingles").dropDuplicates(["node"]), none)
+    edges = [tuple(sorted((ids[x["a"]], ids[x["b"]]))) for table in made for x in table.collect()]
     assert edges and all(near[e] >= 0.8 for e in edges)  # fingerprints of 64 bits link some more in groups()
 
 
@@ -554,11 +556,10 @@ def test_hot_buckets_are_dealt(spark, monkeypatch):
     rows = written(similar.sketches(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), "similar-test")
     assert max(similar.hot_keys(rows).values()) > 3
     nodes = {x["id"]: x["node"] for x in rows.collect()}
-    edges = similar.similar_links(rows, rows.select("node", "h", "n", "bits").dropDuplicates(["node"]), 0.8, lambda n: rows.select("node", "shingles").join(n.select("node"), "node", "left_semi").dropDuplicates(["node"])).collect()
-    got = roots_of([*((x["a"], x["b"]) for x in edges), *((n, n) for n in nodes.values())])
-    near = plain_similarities(texts)
-    for i, j in itertools.combinations(texts, 2):
-        near.setdefault((i, j), 0.0)
+    sets = lambda n: rows.select("node", "shingles").join(n.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    distinct = rows.select("node", "h", "n", "bits").dropDuplicates(["node"])
+    roots, _ = similar.similar_roots(rows, distinct, 0.8, sets, spark.createDataFrame([], "a long, b long"))
+    got = {n: n for n in nodes.values()} | {x["node"]: x["root"] for x in roots.collect()}
     sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts.items() for w in [t.split()]}
     want = roots_of([*((i, j) for i, j in itertools.combinations(texts, 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])), *((i, i) for i in texts)])
     assert all((got[nodes[i]] == got[nodes[j]]) == (want[i] == want[j]) for i, j in itertools.combinations(texts, 2)) and len(set(want.values())) == 4
