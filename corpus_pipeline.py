@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasift.llm import bpe, decontaminate, quality, secret_scan, similar
-from terrasift.llm.common import shared_folder
+from terrasift.llm.common import write_table
+from terrasift.shared import remove, tables_of_run
 
 #: No SQL expresses a trained machine, SimHash or BPE; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
@@ -39,7 +40,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by the name of the kind; n_chars follows the text."""
     clean = secret_scan.redact(docs)
-    return clean.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,13 +60,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is a table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        made = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return made
-        path = shared_folder(spark, f"pipeline-{name}")
-        made.write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    """All stages over documents; each stage's result is a table in the shared folder.
+
+    What a stage wrote for itself is removed once its result is written, and so is the result of the stage before it. The
+    last stage's result reads the one table that is left.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        with tables_of_run(spark) as kept:
+            docs, path = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(path)
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
