@@ -1,6 +1,7 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
-Its score of a document with features x is w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j. The pairs are summed in
+Metadata is the length that a document's row declares (n_chars), and whether its text has it: of the columns of documents all
+others are kept from scores. Its score of a document with features x is w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j. The pairs are summed in
 linear time as half of (sum v_i x_i)^2 - sum (v_i x_i)^2 in each factor.
 """
 
@@ -13,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, octets, train_row
+from .common import free_name, map_rows, octets, train_row
 from .learning import sample
 
 #: Labelled rows that the model is fitted on at most (hash order of their ids).
@@ -26,7 +27,9 @@ TRAIN_ROWS = 4000
 BUCKETS, BINS, FACTORS = 1 << 14, 12, 6
 ACCEPT = 0.7
 STATISTICS = 14
-SIZE = BUCKETS + STATISTICS * BINS
+#: Metadata: a bin of the declared length, and whether it is missing, that of the text, or another.
+DECLARED, AGREED = BUCKETS + STATISTICS * BINS, BUCKETS + (STATISTICS + 1) * BINS
+SIZE = AGREED + 3
 UPPER, DIGITS, SYMBOLS, STOPS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>@^~_=+{}[]\\/", b".,;:!?"
 LETTERS = UPPER + UPPER.lower()
 
@@ -55,16 +58,30 @@ def statistics(data: bytes, words: list[bytes], counts: Counter) -> list[float]:
     ]
 
 
-def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values, SIZE at most. Words: the root of each bucket's count, of length 1 together; statistics: a bin each."""
+def features(data: bytes, declared: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values, SIZE at most. Words: the root of each bucket's count, of length 1 together; statistics and
+    metadata: a bin each. declared is the length in the document's row, in code points."""
     words = data.split()
     counts = Counter(words)
     stats = statistics(data, words, counts)
     bins = BUCKETS + np.arange(STATISTICS) * BINS + np.minimum((np.array(stats) * (BINS - 1) + 0.999).astype(np.int64), BINS - 1)
+    if declared is None:
+        about = [AGREED]
+    else:
+        own = len(data) if data.isascii() else len(data.decode("utf-8", "replace"))
+        about = [DECLARED + min(BINS - 1, int(math.log1p(max(0, declared)))), AGREED + (1 if own == declared else 2)]
     crc = zlib.crc32
     hashed, place = np.unique(np.fromiter((crc(w) & (BUCKETS - 1) for w in counts), np.int64, len(counts)), return_inverse=True)
     values = np.sqrt(np.bincount(place, np.fromiter(counts.values(), np.float64, len(counts)), len(hashed)))
-    return np.concatenate([hashed, bins]), np.concatenate([values / max(1e-9, math.sqrt(float((values**2).sum()))), np.full(STATISTICS, 0.5)])
+    index = np.concatenate([hashed, bins, about])
+    length = max(1e-9, math.sqrt(float((values**2).sum())))
+    return index.astype(np.int64), np.concatenate([values / length, np.full(STATISTICS + len(about), 0.5)])
+
+
+def declared_length(df: DataFrame, column: str = "n_chars") -> Column:
+    """The metadata column as a number; null where a table has none."""
+    known = next((f for f in df.schema.fields if f.name == column and isinstance(f.dataType, T.NumericType)), None)
+    return (F.col(column) if known else F.lit(None)).cast("long")
 
 
 @dataclass
@@ -78,8 +95,8 @@ class Machine:
         s = vx.sum(axis=0)
         return float(self.bias + self.weights[index] @ value + 0.5 * (s @ s - np.einsum("ij,ij->", vx, vx)))
 
-    def score(self, data: bytes) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.margin(*features(data))))))
+    def score(self, data: bytes, declared: int | None = None) -> float:
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.margin(*features(data, declared))))))
 
 
 def fit(rows: list[tuple[list[int], list[float], int]], updates: int = 800, batch: int = 64, rate: float = 0.1, decay: float = 1e-4, seed: int = 3) -> Machine | None:
@@ -122,13 +139,13 @@ def fit(rows: list[tuple[list[int], list[float], int]], updates: int = 800, batc
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Machine | None:
     """The machine for labels.quality, from training rows alone; executors send features of the bounded sample only."""
-    few = sample(df, labels, "quality", rows, id_col, text_col)
+    few = sample(df, labels, "quality", rows, id_col, text_col, {"declared": declared_length(df)})
     schema = T.StructType([T.StructField("i", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()), T.StructField("h", T.LongType())])
 
     def start():
         def f(batch: pa.RecordBatch) -> list:
             data = octets(batch.column(0))
-            made = [features(x) for x in data]
+            made = [features(x, n) for x, n in zip(data, batch.column(2).to_pylist(), strict=True)]
             return [[i.astype(np.int32) for i, _ in made], [x.astype(np.float32) for _, x in made], batch.column(1), [zlib.crc32(x) for x in data]]
 
         return f
@@ -138,7 +155,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scored(df: DataFrame, model: Machine | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, held_out, score, predicted). Null and empty texts are scored by the bins of their zero statistics.
+    """Rows (id, held_out, score, predicted). Null and empty texts are scored by the bins of their zero statistics, tables
+    without a number column n_chars as documents that declare no length.
 
     Without a model (no labelled rows) every score is 0.5. Every row of df gives one row; other columns are ignored. A
     null id is not held out.
@@ -148,10 +166,16 @@ def scored(df: DataFrame, model: Machine | None, id_col: str = "doc_id", text_co
 
     def start():
         m = shared.value
-        return lambda batch: [batch.column(0), batch.column(1), [m.score(x) if m else 0.5 for x in octets(batch.column(2))]]
+
+        def f(batch: pa.RecordBatch) -> list:
+            rows = zip(octets(batch.column(2)), batch.column(3).to_pylist(), strict=True)
+            return [batch.column(0), batch.column(1), [m.score(x, n) if m else 0.5 for x, n in rows]]
+
+        return f
 
     held = F.coalesce(~train_row(F.col(id_col)), F.lit(False)).alias("held_out")
-    return map_rows(df.select(id_col, held, text_col), schema, start).withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+    made = map_rows(df.select(F.col(id_col), held, F.col(text_col), declared_length(df).alias("_declared")), schema, start)
+    return made.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
 
 
 def accepted(df: DataFrame, model: Machine | None, text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
@@ -159,10 +183,16 @@ def accepted(df: DataFrame, model: Machine | None, text_col: str = "text", accep
     if model is None:
         return df
     at = df.columns.index(text_col)
+    name = free_name(df, "_declared")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def start():
         m = shared.value
-        return lambda batch: batch.filter(pa.array([m.score(x) >= accept for x in octets(batch.column(at))], pa.bool_())).columns
 
-    return map_rows(df, df.schema, start)
+        def f(batch: pa.RecordBatch) -> list:
+            rows = zip(octets(batch.column(at)), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
+            return batch.filter(pa.array([m.score(x, n) >= accept for x, n in rows], pa.bool_())).columns[:-1]
+
+        return f
+
+    return map_rows(df.withColumn(name, declared_length(df)), df.schema, start)
