@@ -64,35 +64,37 @@ def nearest_to(targets: DataFrame, anchor: tuple[float, float], xy: tuple[str, s
     return targets.withColumn("distance", d).orderBy("distance", *(keys or [])).limit(max(1, n))
 
 
-#: Rows of the smaller side of a nearest-neighbour join that may be broadcast.
-BROADCAST_ROWS = 50_000
+#: Targets that a cell of the first ring holds in the mean, for each one that is wanted; and how much wider rings get.
+DENSITY, GROWTH = 2.0, 4.0
 
 
-def nearest_join(anchors: DataFrame, targets: DataFrame, axy: tuple[str, str], txy: tuple[str, str], akey: str, tkey: str, n: int = 1, cell: float = 1.0, rings: int = 8) -> DataFrame:
+def nearest_join(anchors: DataFrame, targets: DataFrame, axy: tuple[str, str], txy: tuple[str, str], akey: str, tkey: str, n: int = 1, cell: float | None = None) -> DataFrame:
     """For each anchor its n nearest targets, with column distance and rank; ties by tkey.
 
-    Anchors look in the cells around them, in rings of growing size. One is done when its n-th distance is no larger than
-    what its ring surely covers. The few that no ring serves look at all targets: a checked, bounded number of anchors is
-    broadcast to them, block by block.
+    Anchors look in the cells around them, in rings of growing width, by equi-joins; cell is the first one's width (by the
+    targets' density if it is not given). An anchor is done once n targets lie within a ring's width, or once the ring covers
+    all places, so each round only the anchors that are far from targets go on, and no pairs are made but those of a ring.
     """
     anchors = anchors.filter(F.col(axy[0]).isNotNull() & F.col(axy[1]).isNotNull())
     targets = targets.filter(F.col(txy[0]).isNotNull() & F.col(txy[1]).isNotNull())
+    limits = lambda df, xy: df.agg(*[f(F.col(c).cast("double")) for c in xy for f in (F.min, F.max)], F.count(F.lit(1))).first()
+    a, t = limits(anchors, axy), limits(targets, txy)
+    widths = [max(a[k + 1], t[k + 1]) - min(a[k], t[k]) for k in (0, 2)] if a[4] and t[4] else [0.0, 0.0]
+    across = math.hypot(*widths) + 1e-9
+    if cell is None:
+        own = [max(t[k + 1] - t[k], across / 1e6) for k in (0, 2)] if t[4] else [1.0, 1.0]
+        cell = math.sqrt(own[0] * own[1] * DENSITY * n / max(1, t[4]))
     rank = Window.partitionBy(akey).orderBy("distance", tkey)
-    d = planar_distance(*map(F.col, (*axy, *txy)))
     done, left, size = None, anchors, cell
-    for _ in range(rings):
+    while True:
         found = within_distance(left, targets, axy, txy, size)
         ranked = checkpointed(found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= n))
-        full = ranked.groupBy(F.col(akey).alias("_full")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n)
+        if size >= across:
+            return ranked if done is None else done.unionByName(ranked)
+        full = ranked.filter(F.col("rank") == n).select(F.col(akey).alias("_full"))
         ready = ranked.join(full, ranked[akey] == full["_full"], "left_semi")
         done = ready if done is None else done.unionByName(ready)
         left = checkpointed(left.join(full, left[akey] == full["_full"], "left_anti"))
         if left.isEmpty():
             return done
-        size *= 4
-    blocks = -(-left.count() // BROADCAST_ROWS)
-    for k in range(blocks):
-        part = left.filter(F.pmod(F.xxhash64(akey), F.lit(blocks)) == k) if blocks > 1 else left
-        best = targets.crossJoin(F.broadcast(part)).withColumn("distance", d)  # about BROADCAST_ROWS anchors
-        done = done.unionByName(best.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= n).select(done.columns))
-    return done
+        size = min(size * GROWTH, across) if size * GROWTH < across / 2 else across

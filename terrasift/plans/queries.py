@@ -154,7 +154,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY distance, s_s
 SELECT c_custkey, s_suppkey, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 2
 """)
 def nearest_join(spark: SparkSession, d: str) -> DataFrame:
-    out = joins.nearest_join(customers(spark, d), suppliers(spark, d), ("cx", "cy"), ("sx", "sy"), "c_custkey", "s_suppkey", 2, cell=8.0)
+    out = joins.nearest_join(customers(spark, d), suppliers(spark, d), ("cx", "cy"), ("sx", "sy"), "c_custkey", "s_suppkey", 2)
     return out.select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance"), "rank")
 
 
