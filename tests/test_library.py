@@ -167,3 +167,44 @@ def test_events(spark):
     df = spark.createDataFrame([("r", 1, "start"), ("r", 2, "end"), ("r", 3, "end"), ("q", 1, "start")], "request_id string, seq long, kind string")
     assert events.until_end(df).count() == 3
     assert history.last_turns(df, "request_id", "seq", 1).count() == 2
+
+
+def test_nearest_plan_keeps_few_rows(spark, small):
+    """Neighbours of many queries against a plain sort, ties by id, vectors of another length and null ones left out."""
+    rows = [(i, [float(i % 7), float(i % 3)]) for i in range(60)] + [(100, [1.0]), (101, None)]
+    v = spark.createDataFrame(rows, "i long, v array<double>").repartition(5)
+    got = {(r["query_id"], r["neighbour_id"], r["rank"]) for r in search.neighbours_of(v.filter("i % 11 = 0"), v, 4, "i", "i", "v", "v").collect()}
+    whole = dict(rows[:60])
+    want = set()
+    for q in range(0, 60, 11):
+        order = sorted(whole, key=lambda i: (sum((a - b) ** 2 for a, b in zip(whole[i], whole[q], strict=True)), i))
+        want |= {(q, i, k) for k, i in enumerate(order[:4], 1)}
+    assert got == want
+    assert search.neighbours_of(v.filter("false"), v, 4, "i", "i", "v", "v").count() == 0
+
+
+def test_store_in_batches(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    user = {"password": "x", "role": "user", "status": "active"}
+    assert s.insert_many("users", [user | {"username": f"u{i}"} for i in range(5)]) == [1, 2, 3, 4, 5]
+    with pytest.raises(ValueError):
+        s.insert_many("users", [user | {"username": "a"}, user | {"username": "a"}])
+    assert s.insert_many("users", []) == [] and s.table("users").count() == 5
+    s.delete("users", 5)
+    s.compact("users")
+    assert s.insert("users", **user, username="later") == 6  # deleted ids stay taken
+    assert sorted(r["id"] for r in s.table("users").collect()) == [1, 2, 3, 4, 6]
+
+
+def test_shared_tables_are_removed(spark):
+    import os
+
+    from terrasift import shared
+
+    with shared.tables_of_run(spark) as kept:
+        paths = [shared.fresh_path(spark, "t") for _ in range(2)]
+        for p in paths:
+            spark.range(3).write.parquet(p)
+        kept.append(paths[0])
+    assert [os.path.exists(p.removeprefix("file://").removeprefix("file:")) for p in paths] == [True, False]
+    shared.remove(spark, paths[0], paths[0])
