@@ -130,8 +130,10 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         if now[0] == 0 or now == before:
             break
         before, old = now, path
-        e, path = write_table(_starred(_ordered(_starred(e, now[0], small=False)), 2 * now[0], small=True), name)
-        remove(spark, old)
+        # Each step is a table of its own: a plan of both would read the edges sixteen times.
+        large, middle = write_table(_starred(e, now[0], small=False), name)
+        e, path = write_table(_starred(large, 2 * now[0], small=True), name)
+        remove(spark, old, middle)
     else:
         raise RuntimeError(f"components: no fixed point after {rounds} rounds")
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -8,13 +8,13 @@ by the shingles themselves (their 64-bit hashes):
    their first n - ceil(s n) + 1 shingles. Any order is exact; common ones are only last to keep buckets small.
 2. Texts that share such a shingle form a bucket. Of a small bucket all pairs are candidates. In a large one all meet a few
    pivots first; hot buckets are dealt over many tasks, whose pivots then meet one another.
-3. Pairs are ruled out by size and by a parity sketch of about a bit a shingle: sketches differ in no more bits than the
-   sets in shingles, and a sketch of twice the length folds to the shorter one.
+3. Pairs are ruled out by size and by a parity sketch of some bits a shingle: sketches differ in no more bits than the sets in
+   shingles, and a longer sketch folds to a shorter one.
 4. The rest are linked if the Jaccard similarity of their sets is s or more. Each text is first compared with one
    candidate; pairs that these links, or those of the 64-bit fingerprints, connect need no comparison of their own, so
    copies make no square of pairs.
-5. In large buckets whose members are still unconnected the pairs across groups are candidates in turn, in cells of
-   bounded size.
+5. In large buckets whose members are still unconnected the pairs across groups are candidates, in cells of bounded size:
+   first each text with those nearest to it by the sketches, which connect most, then all that are left.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ SAMPLE, OFTEN, COMMON = 10_000, 6, 20_000
 PAIRWISE, PIVOTS = 16, 3
 #: Nodes of a cell, in the mean; buckets of more than this share of all entries, and of more nodes than a cell, are dealt.
 CELL, SHARE = 4096, 1 / 4000
+#: Times that a sketch is folded for pairs that are joined, and partners of a text in a cell that come first.
+FOLDS, NEAREST = 2, 2
 #: Bits that say which texts are read again.
 PLACES = 1 << 25
 #: Nodes that a task remembers to have passed on.
@@ -67,8 +69,8 @@ def shingles(words: list[bytes]) -> np.ndarray:
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
-    """A bit for the parity of each of a power of two of classes of hashes, some one a hash, as signed longs."""
-    places = 64 << max(0, (len(hashes) - 1).bit_length() - 6)
+    """A bit for the parity of each of a power of two of classes of hashes, as signed longs; 2**FOLDS to twice that a hash."""
+    places = 64 << (max(0, (len(hashes) - 1).bit_length() - 6) + FOLDS)
     odd = np.bincount((hashes.view(np.uint64) >> np.uint64(20)).astype(np.int64) & (places - 1), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
@@ -322,17 +324,20 @@ def _matrices(column: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray,
     return lanes, out
 
 
-def unmet(cells: DataFrame, similarity: float) -> DataFrame:
-    """Rows (a, b) of cells (key, node, n, bits, root): pairs of a cell with different roots that size and bits allow."""
+def unmet(cells: DataFrame, similarity: float, nearest: int | None = None) -> DataFrame:
+    """Rows (a, b) of cells (key, node, n, bits, root): pairs of a cell with different roots that size and bits allow; with
+    nearest only so many of each node, those whose bits differ least."""
     allowed = (1 - similarity) / (1 + similarity)
 
     def found(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         node, n, root = (rows.column(k).to_numpy() for k in (1, 2, 4))
         lanes, bits = _matrices(rows.column(3))
         for at in range(0, len(n), 64):
+            near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             i = slice(at, at + 64)
             last = int(np.searchsorted(n, n[i].max() / similarity + 1e-6, side="right"))
-            for to in range(at, last, 2048):
+            first = int(np.searchsorted(n, n[i].min() * similarity - 1e-6)) if nearest else at
+            for to in range(first, last, 2048):
                 j = slice(to, min(to + 2048, last))
                 x, y = n[i, None], n[None, j]
                 p, q = np.nonzero((root[i, None] != root[None, j]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9))
@@ -344,9 +349,18 @@ def unmet(cells: DataFrame, similarity: float) -> DataFrame:
                         u, v = p[of[k : k + (1 << 14)]], q[of[k : k + (1 << 14)]]
                         differing = np.bitwise_count(matrix[place[u]] ^ matrix[place[v]]).sum(axis=1, dtype=np.int64)
                         ok = differing <= allowed * (n[u] + n[v]) + 1e-9
-                        a, b = node[u[ok]], node[v[ok]]
-                        if len(a):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                        if ok.any():
+                            near.append((u[ok], v[ok], differing[ok] / (n[u[ok]] + n[v[ok]])))
+            if near:
+                u, v, far = map(np.concatenate, zip(*near, strict=True))
+                if nearest:  # the first of each row in order of distance
+                    order = np.lexsort((v, far, u))
+                    u, v = u[order], v[order]
+                    starts = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+                    rank = np.arange(len(u)) - np.repeat(starts, np.diff(np.append(starts, len(u))))
+                    u, v = u[rank < nearest], v[rank < nearest]
+                a, b = node[u], node[v]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []  # of the cell that goes on
@@ -387,7 +401,11 @@ def cells(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs (a, b), each once, that sizes and bits allow."""
-    side = lambda n: nodes.select(F.col("node").alias(n), F.col("n").alias(f"n_{n}"), F.col("bits").alias(f"s_{n}"))
+    bits = F.col("bits")
+    for _ in range(FOLDS):  # fewer bits are shuffled, and rule out nearly as much
+        bits = _half(bits)
+    short = nodes.select("node", "n", bits.alias("bits"))
+    side = lambda n: short.select(F.col("node").alias(n), F.col("n").alias(f"n_{n}"), F.col("bits").alias(f"s_{n}"))
     close = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
     close = close.filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
     most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-9
@@ -407,12 +425,16 @@ def similar(pairs: DataFrame, nodes: DataFrame, similarity: float, sets: Callabl
     return both.filter(F.col("both") / (F.col("x") + F.col("y") - F.col("both")) >= similarity).select("a", "b")
 
 
+def _half(x: Column) -> Column:
+    """A sketch folded to half its length."""
+    n = (F.size(x) / 2).cast("int")
+    return F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, n), lambda a, b: a.bitwiseXOR(b))
+
+
 def _differing(a: Column, b: Column) -> Column:
     """Differing bits of two sketches, one of them at most twice as long as the other."""
-    xor = lambda x, y: x.bitwiseXOR(y)
-    half = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), xor)
-    fold = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)
-    return F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda s, x: s + x)
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), _half(x)).otherwise(x)
+    return F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
 def _rooted(df: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
@@ -458,18 +480,20 @@ def similar_roots(rows: DataFrame, nodes: DataFrame, similarity: float, sets: Ca
     made = [written(similar(first, nodes, similarity, sets), "similar-edges")]
     release(spark)
     roots = regrouped(roots, made[0])
-    rest = apart(close, roots)
-    members = found.filter(F.col("kind") == MEMBER)
-    if not members.isEmpty():
-        members = written(_rooted(members.select("key", F.col("a").alias("node"), "n"), roots, "node", "root"), "similar-members")
-        remove(spark, found_path)
-        rest = rest.unionByName(unmet(cells(members, nodes), similarity)).distinct()
-    rest = written(rest, "similar-rest")
-    release(spark)
-    if not rest.isEmpty():
-        made.append(written(similar(rest, nodes, similarity, sets), "similar-edges"))
+    rest, members = apart(close, roots), found.filter(F.col("kind") == MEMBER).select("key", F.col("a").alias("node"), "n")
+    large = not members.isEmpty()
+    for nearest in [NEAREST, None] if large else [None]:
+        if large:
+            rooted = written(_rooted(members, roots, "node", "root"), "similar-members")
+            late = unmet(cells(rooted, nodes), similarity, nearest).distinct()
+            rest = late if nearest is None else rest.unionByName(late).distinct()
+        rest = written(rest, "similar-rest")
         release(spark)
-        roots = regrouped(roots, made[1])
+        if not rest.isEmpty():
+            made.append(written(similar(rest, nodes, similarity, sets), "similar-edges"))
+            release(spark)
+            roots = regrouped(roots, made[-1])
+    remove(spark, found_path)
     return roots, made
 
 
