@@ -70,16 +70,44 @@ class Entity:
     private: tuple[str, ...] = ()
 
 
-ENTITIES = {
-    e.name: e
-    for e in (
-        Entity("users", "username string, password string, role string, status string, last_login timestamp_ntz", {"username": _text, "password": _text, "role": lambda v, n: _one_of(v, n, ROLES), "status": lambda v, n: _one_of(v, n, STATES)}, frozenset(("last_login",)), unique="username", private=("password",)),
-        Entity("database_links", "user_id long, name string, type string, url string, db_username string, db_password string, schemas array<string>", {"name": _text, "type": lambda v, n: _one_of(v, n, DATABASES), "url": _jdbc}, frozenset(("db_username", "db_password", "schemas")), {"user_id": ("users", "cascade")}, private=("db_username", "db_password")),
-        Entity("chat_sessions", "user_id long", {}, frozenset(), {"user_id": ("users", "cascade")}),
-        Entity("chat_history", "chat_id long, request_id long, role string, agent_name string, content string, context_json string, feedback string", {"role": lambda v, n: _one_of(v, n, SPEAKERS), "content": _text, "feedback": lambda v, n: _one_of(v, n, MARKS)}, frozenset(("request_id", "agent_name", "context_json", "feedback")), {"chat_id": ("chat_sessions", "cascade")}),
-        Entity("sql_execution_logs", "user_id long, chat_id long, database_id long, execute_status string, sql_text string, execution_time_ms long, row_count long", {"execute_status": lambda v, n: _one_of(v, n, OUTCOMES), "sql_text": _text, "execution_time_ms": _count, "row_count": _count}, frozenset(("chat_id", "database_id")), {"user_id": ("users", "cascade"), "chat_id": ("chat_sessions", "null"), "database_id": ("database_links", "null")}),
-    )
-}
+def _among(options: tuple[str, ...]) -> Callable[[object, str], object]:
+    return lambda value, name: _one_of(value, name, options)
+
+
+_ALL = (
+    Entity(
+        "users",
+        "username string, password string, role string, status string, last_login timestamp_ntz",
+        checks={"username": _text, "password": _text, "role": _among(ROLES), "status": _among(STATES)},
+        optional=frozenset(("last_login",)),
+        unique="username",
+        private=("password",),
+    ),
+    Entity(
+        "database_links",
+        "user_id long, name string, type string, url string, db_username string, db_password string, schemas array<string>",
+        checks={"name": _text, "type": _among(DATABASES), "url": _jdbc},
+        optional=frozenset(("db_username", "db_password", "schemas")),
+        refers={"user_id": ("users", "cascade")},
+        private=("db_username", "db_password"),
+    ),
+    Entity("chat_sessions", "user_id long", refers={"user_id": ("users", "cascade")}),
+    Entity(
+        "chat_history",
+        "chat_id long, request_id long, role string, agent_name string, content string, context_json string, feedback string",
+        checks={"role": _among(SPEAKERS), "content": _text, "feedback": _among(MARKS)},
+        optional=frozenset(("request_id", "agent_name", "context_json", "feedback")),
+        refers={"chat_id": ("chat_sessions", "cascade")},
+    ),
+    Entity(
+        "sql_execution_logs",
+        "user_id long, chat_id long, database_id long, execute_status string, sql_text string, execution_time_ms long, row_count long",
+        checks={"execute_status": _among(OUTCOMES), "sql_text": _text, "execution_time_ms": _count, "row_count": _count},
+        optional=frozenset(("chat_id", "database_id")),
+        refers={"user_id": ("users", "cascade"), "chat_id": ("chat_sessions", "null"), "database_id": ("database_links", "null")},
+    ),
+)
+ENTITIES = {e.name: e for e in _ALL}
 
 
 class Store:

@@ -56,7 +56,9 @@ class KeywordIndex:
 
     def save(self, folder: str) -> None:
         bucket = F.pmod(F.xxhash64("token"), F.lit(self.buckets)).cast("int")
-        self.postings.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "token", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+        dealt = self.postings.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+        ordered = dealt.sortWithinPartitions("bucket", "token", "doc_id")
+        ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
         self.docs.write.mode("overwrite").parquet(f"{folder}/docs")
 
     @classmethod
@@ -83,9 +85,17 @@ class KeywordIndex:
 
     def to_json(self, folder: str, source: str = "") -> None:
         """The export: one JSON object (for indexes that fit a task)."""
-        lists = self.postings.groupBy("token").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).agg(F.map_from_entries(F.collect_list(F.struct("token", "ids"))).alias("token_to_docs"))
+        lists = self.postings.groupBy("token").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+        lists = lists.agg(F.map_from_entries(F.collect_list(F.struct("token", "ids"))).alias("token_to_docs"))
         docs = self.docs.agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id"), F.col("document")))).alias("d"))
-        one = lists.crossJoin(docs).select(F.lit(source).alias("doc_source"), F.size("d").alias("doc_count"), F.size("token_to_docs").alias("token_count"), "token_to_docs", F.transform("d", lambda x: F.create_map(F.lit("doc_id"), x["doc_id"].cast("string"))).alias("docs"), F.transform("d", lambda x: x["document"]).alias("documents"))
+        one = lists.crossJoin(docs).select(  # one row a side
+            F.lit(source).alias("doc_source"),
+            F.size("d").alias("doc_count"),
+            F.size("token_to_docs").alias("token_count"),
+            "token_to_docs",
+            F.transform("d", lambda x: F.create_map(F.lit("doc_id"), x["doc_id"].cast("string"))).alias("docs"),
+            F.transform("d", lambda x: x["document"]).alias("documents"),
+        )
         one.coalesce(1).write.mode("overwrite").json(folder)
 
     def counts(self) -> DataFrame:
