@@ -65,7 +65,11 @@ def keyword_posting_segments(spark: SparkSession, d: str) -> DataFrame:
     return s.select("token", "segment", F.size("doc_ids").cast("bigint").alias("n"), F.element_at("doc_ids", 1).alias("low"), F.element_at("doc_ids", -1).alias("high"))
 
 
-@query(f"WITH p AS ({_postings}) SELECT token, doc_id // 65536 AS segment, count(*) AS n, array_to_string(list_sort(list(doc_id)), ',') AS doc_ids FROM p GROUP BY 1, 2")
+@query(f"""
+WITH p AS ({_postings}) SELECT token, doc_id // 65536 AS segment, count(*) AS n, array_to_string(list_sort(list(doc_id)), ',') AS doc_ids
+FROM p
+GROUP BY 1, 2
+""")
 def keyword_postings_lists(spark: SparkSession, d: str) -> DataFrame:
     """The documents of every token, however common, by bounded segments."""
     s = search.posting_segments(load(spark, d, "documents"), text_col="text")
@@ -140,7 +144,13 @@ def text_sha256(spark: SparkSession, d: str) -> DataFrame:
 # Space.
 
 
-@query(f"SELECT s_suppkey, s_name, round(sqrt((sx - a.cx) * (sx - a.cx) + (sy - a.cy) * (sy - a.cy)), 6) AS distance FROM {SUPPLIERS} s, (SELECT cx, cy FROM {CUSTOMERS} WHERE c_custkey = 42) a ORDER BY distance, s_suppkey LIMIT 5")
+@query(f"""
+SELECT s_suppkey, s_name, round(sqrt((sx - a.cx) * (sx - a.cx) + (sy - a.cy) * (sy - a.cy)), 6) AS distance
+FROM {SUPPLIERS} s, (SELECT cx, cy
+FROM {CUSTOMERS}
+WHERE c_custkey = 42) a
+ORDER BY distance, s_suppkey LIMIT 5
+""")
 def nearest_supplier(spark: SparkSession, d: str) -> DataFrame:
     """An anchor by key, then the nearest of the other table."""
     a = customers(spark, d).filter("c_custkey = 42").select("cx", "cy").first()
@@ -158,7 +168,11 @@ def nearest_join(spark: SparkSession, d: str) -> DataFrame:
     return out.select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query(f"SELECT c_custkey, s_suppkey, round(sqrt((sx - cx) * (sx - cx) + (sy - cy) * (sy - cy)), 6) AS distance FROM {CUSTOMERS} c, {SUPPLIERS} s WHERE sqrt((sx - cx) * (sx - cx) + (sy - cy) * (sy - cy)) <= 5.0")
+@query(f"""
+SELECT c_custkey, s_suppkey, round(sqrt((sx - cx) * (sx - cx) + (sy - cy) * (sy - cy)), 6) AS distance
+FROM {CUSTOMERS} c, {SUPPLIERS} s
+WHERE sqrt((sx - cx) * (sx - cx) + (sy - cy) * (sy - cy)) <= 5.0
+""")
 def distance_join_grid(spark: SparkSession, d: str) -> DataFrame:
     out = joins.within_distance(suppliers(spark, d), customers(spark, d), ("sx", "sy"), ("cx", "cy"), 5.0)
     return out.select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance"))
@@ -173,7 +187,11 @@ def distance_join_sphere(spark: SparkSession, d: str) -> DataFrame:
     return out.select("c_custkey", "s_suppkey", F.round("distance", 2).alias("metres"))
 
 
-@query(f"SELECT c_custkey, round(sqrt((cx - 10.0) * (cx - 10.0) + (cy + 20.0) * (cy + 20.0)), 6) AS planar, round(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin((radians(-20.0) - radians(cy)) / 2), 2) + cos(radians(cy)) * cos(radians(-20.0)) * pow(sin((radians(10.0) - radians(cx)) / 2), 2)))), 2) AS sphere FROM {CUSTOMERS}")
+@query(f"""
+SELECT c_custkey, round(sqrt((cx - 10.0) * (cx - 10.0) + (cy + 20.0) * (cy + 20.0)), 6) AS planar, round(2 * 6371008.8 * asin(least(1.0,
+  sqrt(pow(sin((radians(-20.0) - radians(cy)) / 2), 2) + cos(radians(cy)) * cos(radians(-20.0)) * pow(sin((radians(10.0) - radians(cx)) / 2), 2)))), 2) AS sphere
+FROM {CUSTOMERS}
+""")
 def distances_to_point(spark: SparkSession, d: str) -> DataFrame:
     x, y, ax, ay = F.col("cx"), F.col("cy"), F.lit(10.0), F.lit(-20.0)
     return customers(spark, d).select("c_custkey", F.round(G.planar_distance(x, y, ax, ay), 6).alias("planar"), F.round(G.sphere_distance(x, y, ax, ay), 2).alias("sphere"))
@@ -223,7 +241,10 @@ def mercator_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return m.select("s_suppkey", F.round("mx", 3).alias("mx"), F.round("my", 3).alias("my"), F.round(x, 6).alias("lon"), F.round(y, 6).alias("lat"))
 
 
-@query("SELECT s_suppkey, 'POINT (' || CAST((s_suppkey * 7919) % 36000 AS VARCHAR) || ' ' || CAST((s_suppkey * 104729) % 18000 AS VARCHAR) || ')' AS wkt, 'POINT' AS kind FROM supplier")
+@query("""
+SELECT s_suppkey, 'POINT (' || CAST((s_suppkey * 7919) % 36000 AS VARCHAR) || ' ' || CAST((s_suppkey * 104729) % 18000 AS VARCHAR) || ')' AS wkt, 'POINT' AS kind
+FROM supplier
+""")
 def wkt_points(spark: SparkSession, d: str) -> DataFrame:
     """Whole coordinates, through WKB and back."""
     x, y = F.pmod(F.col("s_suppkey") * 7919, F.lit(36000)).cast("double"), F.pmod(F.col("s_suppkey") * 104729, F.lit(18000)).cast("double")
@@ -234,7 +255,25 @@ def wkt_points(spark: SparkSession, d: str) -> DataFrame:
 # Execution, catalog, pages.
 
 
-@query("SELECT * FROM (SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier)")
+@query("""
+SELECT *
+FROM (SELECT 'customer' AS name, count(*) AS n
+FROM customer
+UNION ALL SELECT 'events', count(*)
+FROM events
+UNION ALL SELECT 'lineitem', count(*)
+FROM lineitem
+UNION ALL SELECT 'nation', count(*)
+FROM nation
+UNION ALL SELECT 'orders', count(*)
+FROM orders
+UNION ALL SELECT 'part', count(*)
+FROM part
+UNION ALL SELECT 'region', count(*)
+FROM region
+UNION ALL SELECT 'supplier', count(*)
+FROM supplier)
+""")
 def table_rowcounts(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for name in ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"):
@@ -268,7 +307,13 @@ def sample_page(spark: SparkSession, d: str) -> DataFrame:
     return execute.page_rows(orders, 3, 20, ["o_orderkey"]).crossJoin(F.broadcast(total))  # one row
 
 
-@query("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent FROM orders WHERE o_totalprice > 1000 GROUP BY o_custkey ORDER BY o_custkey LIMIT 25 OFFSET 25")
+@query("""
+SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent
+FROM orders
+WHERE o_totalprice > 1000
+GROUP BY o_custkey
+ORDER BY o_custkey LIMIT 25 OFFSET 25
+""")
 def sql_page(spark: SparkSession, d: str) -> DataFrame:
     """A guarded statement with binds, paged."""
     own = spark.newSession()
@@ -288,20 +333,37 @@ def truncated_fetch(spark: SparkSession, d: str) -> DataFrame:
 # Logs and history.
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (event_type <> 'error') AS succeeded, CAST(count(*) FILTER (event_type <> 'error') AS DOUBLE) / count(*) AS success_rate, round(avg(value), 6) AS avg_latency FROM events")
+@query("""
+SELECT count(*) AS total, count(*) FILTER (event_type <> 'error') AS succeeded,
+  CAST(count(*) FILTER (event_type <> 'error') AS DOUBLE) / count(*) AS success_rate, round(avg(value), 6) AS avg_latency
+FROM events
+""")
 def exec_log_summary(spark: SparkSession, d: str) -> DataFrame:
     s = logs.summary(load(spark, d, "events"), F.col("event_type") != "error", F.col("value"))
     return s.withColumn("avg_latency", F.round("avg_latency", 6))
 
 
-@query("SELECT event_id, ts, user_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND event_type ILIKE 'c%' AND value >= 1.5 ORDER BY ts DESC, event_id DESC")
+@query("""
+SELECT event_id, ts, user_id, value
+FROM events
+WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND event_type ILIKE 'c%' AND value >= 1.5
+ORDER BY ts DESC, event_id DESC
+""")
 def exec_log_filter(spark: SparkSession, d: str) -> DataFrame:
     names = {"insert_time": "ts", "sql_text": "event_type", "execution_time_ms": "value", "id": "event_id"}
     since = F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")
     return logs.filtered(load(spark, d, "events"), since=since, like="C%", least_ms=1.5, columns=names).select("event_id", "ts", "user_id", "value")
 
 
-@query("SELECT (SELECT count(*) FROM customer) AS users, (SELECT count(*) FROM events) AS executions, (SELECT count(DISTINCT conv_id) FROM conversations) AS sessions, (SELECT count(*) FROM conversations) AS messages, (SELECT count(*) FROM conversations WHERE role = 'user') AS questions")
+@query("""
+SELECT (SELECT count(*)
+FROM customer) AS users, (SELECT count(*)
+FROM events) AS executions, (SELECT count(DISTINCT conv_id)
+FROM conversations) AS sessions, (SELECT count(*)
+FROM conversations) AS messages, (SELECT count(*)
+FROM conversations
+WHERE role = 'user') AS questions
+""")
 def overview_counts(spark: SparkSession, d: str) -> DataFrame:
     c = load(spark, d, "conversations")
     return logs.overview({"users": load(spark, d, "customer"), "executions": load(spark, d, "events"), "sessions": c.select("conv_id").distinct(), "messages": c, "questions": c.filter("role = 'user'")})
@@ -317,12 +379,23 @@ def latest_per_conversation(spark: SparkSession, d: str) -> DataFrame:
     return history.latest(load(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
-@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role <> 'system') WHERE r <= 3")
+@query("""
+SELECT conv_id, turn, role
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id
+ORDER BY turn DESC) AS r
+FROM conversations
+WHERE role <> 'system')
+WHERE r <= 3
+""")
 def last_n_turns(spark: SparkSession, d: str) -> DataFrame:
     return history.last_turns(load(spark, d, "conversations"), "conv_id", "turn", 3, F.col("role") != "system").select("conv_id", "turn", "role")
 
 
-@query("SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS request_id FROM conversations")
+@query("""
+SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id
+ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS request_id
+FROM conversations
+""")
 def request_id_inherit(spark: SparkSession, d: str) -> DataFrame:
     return history.request_ids(load(spark, d, "conversations"), "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn", "request_id")
 
@@ -363,7 +436,12 @@ def delta_from_cumulative(spark: SparkSession, d: str) -> DataFrame:
 # Joins and sets.
 
 
-@query("SELECT count(*) FILTER (c.c_custkey IS NOT NULL) AS found, count(*) FILTER (c.c_custkey IS NULL) AS orphans FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey")
+@query("""
+SELECT count(*) FILTER (c.c_custkey IS NOT NULL) AS found, count(*) FILTER (c.c_custkey IS NULL) AS orphans
+FROM orders o
+LEFT
+JOIN customer c ON o.o_custkey = c.c_custkey
+""")
 def orphan_fk_check(spark: SparkSession, d: str) -> DataFrame:
     o, c = load(spark, d, "orders"), load(spark, d, "customer")
     semi = o.join(c, o.o_custkey == c.c_custkey, "left_semi").agg(F.count(F.lit(1)).alias("found"))
@@ -377,7 +455,12 @@ def null_aware_not_in(spark: SparkSession, d: str) -> DataFrame:
     return execute.query(own, "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")
 
 
-@query("SELECT r_regionkey, r_name, array_to_string(list_sort(list(n_name)), ',') AS nations FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1, 2")
+@query("""
+SELECT r_regionkey, r_name, array_to_string(list_sort(list(n_name)), ',') AS nations
+FROM region
+JOIN nation ON r_regionkey = n_regionkey
+GROUP BY 1, 2
+""")
 def one_to_many_collect(spark: SparkSession, d: str) -> DataFrame:
     r, n = load(spark, d, "region"), load(spark, d, "nation")
     per = n.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("nations"))
@@ -397,13 +480,29 @@ def union_sorted_objects(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "nation").select(F.col("n_name").alias("name")).union(load(spark, d, "region").select("r_name")).distinct().orderBy("name")
 
 
-@query("SELECT 'both' AS kind, c_nationkey AS nationkey FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'customers', c_nationkey FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)")
+@query("""
+SELECT 'both' AS kind, c_nationkey AS nationkey
+FROM (SELECT c_nationkey
+FROM customer INTERSECT SELECT s_nationkey
+FROM supplier)
+UNION ALL SELECT 'customers', c_nationkey
+FROM (SELECT c_nationkey
+FROM customer EXCEPT SELECT s_nationkey
+FROM supplier)
+""")
 def intersect_except(spark: SparkSession, d: str) -> DataFrame:
     c, s = load(spark, d, "customer").select(F.col("c_nationkey").alias("nationkey")), load(spark, d, "supplier").select("s_nationkey")
     return c.intersect(s).select(F.lit("both").alias("kind"), "nationkey").unionByName(c.subtract(s).select(F.lit("customers").alias("kind"), "nationkey"))
 
 
-@query("SELECT e.event_id, l.event_id AS before_id FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') l ON e.user_id = l.user_id AND e.ts > l.ts")
+@query("""
+SELECT e.event_id, l.event_id AS before_id
+FROM events e ASOF
+LEFT
+JOIN (SELECT *
+FROM events
+WHERE event_type = 'purchase') l ON e.user_id = l.user_id AND e.ts > l.ts
+""")
 def asof_purchase(spark: SparkSession, d: str) -> DataFrame:
     """For each event the user's last purchase before it: one window, no join."""
     e = load(spark, d, "events").withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
@@ -441,12 +540,20 @@ def _price() -> Column:
     return F.col("l_extendedprice").cast("decimal(18,2)")
 
 
-@query(f"SELECT l_returnflag, l_linestatus, CAST(sum({_disc}) AS DECIMAL(28,2)) AS total, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+@query(f"""
+SELECT l_returnflag, l_linestatus, CAST(sum({_disc}) AS DECIMAL(28,2)) AS total, count(*) AS n
+FROM lineitem
+GROUP BY ROLLUP (l_returnflag, l_linestatus)
+""")
 def rollup_pricing(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.sum(_price()).cast("decimal(28,2)").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT l_returnflag, l_linestatus, CAST(sum({_disc}) AS DECIMAL(28,2)) AS total, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+@query(f"""
+SELECT l_returnflag, l_linestatus, CAST(sum({_disc}) AS DECIMAL(28,2)) AS total, count(*) AS n
+FROM lineitem
+GROUP BY CUBE (l_returnflag, l_linestatus)
+""")
 def cube_pricing(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.sum(_price()).cast("decimal(28,2)").alias("total"), F.count(F.lit(1)).alias("n"))
 
@@ -495,13 +602,27 @@ def _revenue() -> Column:
     return F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
 
 
-@query(f"SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, CAST(sum({_rev}) AS DECIMAL(28,4)) AS revenue, round(avg(l_discount), 6) AS discount, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
+@query(f"""
+SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, CAST(sum({_rev}) AS DECIMAL(28,4)) AS revenue,
+  round(avg(l_discount), 6) AS discount, count(*) AS n
+FROM lineitem
+WHERE l_shipdate <= TIMESTAMP '1998-09-02'
+GROUP BY 1, 2
+""")
 def tpch_q1(spark: SparkSession, d: str) -> DataFrame:
     kept = load(spark, d, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     return kept.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.sum(_revenue()).cast("decimal(28,4)").alias("revenue"), F.round(F.avg("l_discount"), 6).alias("discount"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT l_orderkey, CAST(sum({_rev}) AS DECIMAL(28,4)) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1996-03-15' AND l_shipdate > TIMESTAMP '1996-03-15' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10")
+@query(f"""
+SELECT l_orderkey, CAST(sum({_rev}) AS DECIMAL(28,4)) AS revenue, o_orderdate
+FROM customer
+JOIN orders ON c_custkey = o_custkey
+JOIN lineitem ON l_orderkey = o_orderkey
+WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1996-03-15' AND l_shipdate > TIMESTAMP '1996-03-15'
+GROUP BY l_orderkey, o_orderdate
+ORDER BY revenue DESC, l_orderkey LIMIT 10
+""")
 def tpch_q3(spark: SparkSession, d: str) -> DataFrame:
     day = F.lit("1996-03-15").cast("timestamp_ntz")
     c = load(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
@@ -511,7 +632,18 @@ def tpch_q3(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("l_orderkey", "o_orderdate").agg(F.sum(_revenue()).cast("decimal(28,4)").alias("revenue")).orderBy(F.desc("revenue"), "l_orderkey").limit(10)
 
 
-@query(f"SELECT n_name, CAST(sum({_rev}) AS DECIMAL(28,4)) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = (SELECT min(r_name) FROM region) GROUP BY n_name")
+@query(f"""
+SELECT n_name, CAST(sum({_rev}) AS DECIMAL(28,4)) AS revenue
+FROM customer
+JOIN orders ON c_custkey = o_custkey
+JOIN lineitem ON l_orderkey = o_orderkey
+JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey
+JOIN nation ON s_nationkey = n_nationkey
+JOIN region ON n_regionkey = r_regionkey
+WHERE r_name = (SELECT min(r_name)
+FROM region)
+GROUP BY n_name
+""")
 def tpch_q5(spark: SparkSession, d: str) -> DataFrame:
     r = load(spark, d, "region")
     first = r.agg(F.min("r_name").alias("m"))
@@ -524,14 +656,27 @@ def tpch_q5(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("n_name").agg(F.sum(_revenue()).cast("decimal(28,4)").alias("revenue"))
 
 
-@query("SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(28,4)) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+@query("""
+SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(28,4)) AS revenue
+FROM lineitem
+WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24
+""")
 def tpch_q6(spark: SparkSession, d: str) -> DataFrame:
     t = lambda s: F.lit(s).cast("timestamp_ntz")
     kept = load(spark, d, "lineitem").filter((F.col("l_shipdate") >= t("1996-01-01")) & (F.col("l_shipdate") < t("1997-01-01")) & F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24))
     return kept.agg(F.sum(F.col("l_extendedprice").cast("decimal(12,2)") * F.col("l_discount").cast("decimal(4,2)")).cast("decimal(28,4)").alias("revenue"))
 
 
-@query(f"SELECT c_custkey, c_name, n_name, CAST(sum({_rev}) AS DECIMAL(28,4)) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey WHERE l_returnflag = 'R' GROUP BY 1, 2, 3 ORDER BY revenue DESC, c_custkey LIMIT 20")
+@query(f"""
+SELECT c_custkey, c_name, n_name, CAST(sum({_rev}) AS DECIMAL(28,4)) AS revenue
+FROM customer
+JOIN orders ON c_custkey = o_custkey
+JOIN lineitem ON l_orderkey = o_orderkey
+JOIN nation ON c_nationkey = n_nationkey
+WHERE l_returnflag = 'R'
+GROUP BY 1, 2, 3
+ORDER BY revenue DESC, c_custkey LIMIT 20
+""")
 def tpch_q10(spark: SparkSession, d: str) -> DataFrame:
     li = load(spark, d, "lineitem").filter("l_returnflag = 'R'")
     per = li.join(load(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.sum(_revenue()).cast("decimal(28,4)").alias("revenue"))

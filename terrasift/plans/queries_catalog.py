@@ -59,7 +59,11 @@ def catalog_introspection(spark: SparkSession, d: str) -> DataFrame:
 _kinds = "SELECT name, kind FROM (VALUES " + ", ".join(f"('{t}', 'view')" for t in TABLES) + ", ('made', 'view')) v(name, kind)"
 
 
-@query(f"SELECT name, kind, CASE WHEN name = 'made' THEN 'CREATE TEMPORARY VIEW `made` (`n` int);' ELSE '' END AS ddl, CASE WHEN name = 'made' THEN 'n:int' ELSE '' END AS columns FROM ({_kinds})")
+@query(f"""
+SELECT name, kind, CASE WHEN name = 'made' THEN 'CREATE TEMPORARY VIEW `made` (`n` int);' ELSE '' END AS ddl,
+  CASE WHEN name = 'made' THEN 'n:int' ELSE '' END AS columns
+FROM ({_kinds})
+""")
 def catalog_objects(spark: SparkSession, d: str) -> DataFrame:
     """Names and types of objects, the statement that makes one, and its columns."""
     own = _session(spark, d)
@@ -127,7 +131,14 @@ def spatial_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _moved(spark, found.select(F.col("table").alias("name"), "anchor", "target"))
 
 
-@query("SELECT 'nation' AS object, 'n_regionkey' AS name, 'region' AS refers_table, 'r_regionkey' AS refers_column, 'many-to-one' AS cardinality WHERE (SELECT count(*) FROM nation LEFT JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey IS NULL) = 0")
+@query("""
+SELECT 'nation' AS object, 'n_regionkey' AS name, 'region' AS refers_table, 'r_regionkey' AS refers_column, 'many-to-one' AS cardinality
+WHERE (SELECT count(*)
+FROM nation
+LEFT
+JOIN region ON n_regionkey = r_regionkey
+WHERE r_regionkey IS NULL) = 0
+""")
 def join_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Columns that may refer to another table's key, by name and type, and how many rows a value would find."""
     frames = {t: load(spark, d, t) for t in ("nation", "region")}
@@ -135,7 +146,13 @@ def join_candidates(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("table").alias("object"), F.col("column").alias("name"), "refers_table", "refers_column", "cardinality")
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice, (SELECT count(*) FROM orders) AS total, CAST(ceil((SELECT count(*) FROM orders) / 7.0) AS INTEGER) AS pages, 7 AS on_page FROM orders ORDER BY o_orderkey LIMIT 7 OFFSET 14")
+@query("""
+SELECT o_orderkey, o_custkey, o_totalprice, (SELECT count(*)
+FROM orders) AS total, CAST(ceil((SELECT count(*)
+FROM orders) / 7.0) AS INTEGER) AS pages, 7 AS on_page
+FROM orders
+ORDER BY o_orderkey LIMIT 7 OFFSET 14
+""")
 def table_page(spark: SparkSession, d: str) -> DataFrame:
     """A page of a table in a stable order, with the counts of all rows and pages."""
     orders = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
@@ -163,7 +180,10 @@ def paged_in_schema(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "k int, n long, total int, scanned boolean, refused string")
 
 
-@query("SELECT 'OK' AS status, 'n_nationkey,n_name' AS columns, CAST((SELECT count(*) FROM nation) AS INTEGER) AS row_count, false AS truncated, 'ERROR' AS late, 'ERROR' AS wrong, 'ERROR' AS written")
+@query("""
+SELECT 'OK' AS status, 'n_nationkey,n_name' AS columns, CAST((SELECT count(*)
+FROM nation) AS INTEGER) AS row_count, false AS truncated, 'ERROR' AS late, 'ERROR' AS wrong, 'ERROR' AS written
+""")
 def executions(spark: SparkSession, d: str) -> DataFrame:
     """Results of guarded statements: rows and their columns; and errors of a time limit, of a name, and of a write."""
     own = _session(spark, d)

@@ -57,7 +57,12 @@ def streamed_buffers(spark: SparkSession, d: str) -> DataFrame:
     return found.select("stream_id", F.sha2("text", 256).alias("digest"), F.char_length("text").cast("long").alias("n"))
 
 
-@query("SELECT user_id, event_id, event_type FROM (SELECT *, min(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id) AS e FROM events) WHERE e IS NULL OR event_id <= e")
+@query("""
+SELECT user_id, event_id, event_type
+FROM (SELECT *, min(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id) AS e
+FROM events)
+WHERE e IS NULL OR event_id <= e
+""")
 def events_until_end(spark: SparkSession, d: str) -> DataFrame:
     """Each request's events up to its first end."""
     kind = F.when(F.col("event_type") == "error", F.lit("end")).otherwise(F.lit("progress"))
@@ -168,7 +173,12 @@ def _asked(spark: SparkSession, d: str, question: str, **more) -> tuple[nl.Answe
     return made, seen
 
 
-@query(f"SELECT 1 AS round_id, 'within' AS kind, 'PASS' AS verdict, id, name, round({_away}, 6) AS distance FROM ({_hotels}) WHERE {_away} <= 60 ORDER BY {_away}, id LIMIT 100")
+@query(f"""
+SELECT 1 AS round_id, 'within' AS kind, 'PASS' AS verdict, id, name, round({_away}, 6) AS distance
+FROM ({_hotels})
+WHERE {_away} <= 60
+ORDER BY {_away}, id LIMIT 100
+""")
 def question_within(spark: SparkSession, d: str) -> DataFrame:
     """A question for places within a distance of a named one: its accepted round, and the rows of the SQL it gave."""
     answer, _ = _asked(spark, d, "Show hotels within 60 of 'Blue Lake'")
@@ -186,7 +196,11 @@ def question_nearest(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "id long, name string, distance double, stages string")
 
 
-@query("SELECT (SELECT count(*) - 1 FROM supplier) AS total, 3 AS rounds, 'FAIL,FAIL,FAIL' AS verdicts, true AS asks, 'start,plan,knowledge,db_context,review,end' AS stages, 'knowledge,db_context' AS steps")
+@query("""
+SELECT (SELECT count(*) - 1
+FROM supplier) AS total, 3 AS rounds, 'FAIL,FAIL,FAIL' AS verdicts, true AS asks, 'start,plan,knowledge,db_context,review,end' AS stages,
+  'knowledge,db_context' AS steps
+""")
 def question_rounds(spark: SparkSession, d: str) -> DataFrame:
     """A count; a question without a place to start from, which is asked back after its rounds; and a plan's own order."""
     counted, _ = _asked(spark, d, "How many hotels are there")

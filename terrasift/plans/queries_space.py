@@ -78,7 +78,11 @@ def geometry_buffers(spark: SparkSession, d: str) -> DataFrame:
 _haversine = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(48.0 - y) / 2), 2) + cos(radians(y)) * cos(radians(48.0)) * pow(sin(radians(11.0 - x) / 2), 2))))"
 
 
-@query(f"SELECT c_custkey, round({_haversine}, 1) AS metres, {_haversine} <= 5000000.0 AS near_by FROM (SELECT c_custkey, {_x('c_custkey')} AS x, {_y('c_custkey')} AS y FROM customer)")
+@query(f"""
+SELECT c_custkey, round({_haversine}, 1) AS metres, {_haversine} <= 5000000.0 AS near_by
+FROM (SELECT c_custkey, {_x('c_custkey')} AS x, {_y('c_custkey')} AS y
+FROM customer)
+""")
 def geometry_metres(spark: SparkSession, d: str) -> DataFrame:
     """Great-circle distances between geometries, and whether they are within one."""
     c = _place(spark, d, "customer", "c_custkey").withColumn("g", G.point_wkb("x", "y"))
@@ -86,7 +90,12 @@ def geometry_metres(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", F.round(G.st_distance_sphere("g", place), 1).alias("metres"), G.st_dwithin_sphere("g", place, F.lit(5_000_000.0)).alias("near_by"))
 
 
-@query(f"SELECT c_custkey, round(x, 6) AS lon, round(y, 6) AS lat, true AS moved, 3857 AS srid FROM (SELECT c_custkey, {_x('c_custkey')} AS x, {_y('c_custkey')} AS y FROM customer) WHERE abs(y) < 80 AND abs(x) < 4")
+@query(f"""
+SELECT c_custkey, round(x, 6) AS lon, round(y, 6) AS lat, true AS moved, 3857 AS srid
+FROM (SELECT c_custkey, {_x('c_custkey')} AS x, {_y('c_custkey')} AS y
+FROM customer)
+WHERE abs(y) < 80 AND abs(x) < 4
+""")
 def geometry_systems(spark: SparkSession, d: str) -> DataFrame:
     """Points to UTM zone 31 of their half, from there to Mercator, and back to degrees."""
     c = _place(spark, d, "customer", "c_custkey").filter("abs(y) < 80 AND abs(x) < 4")
@@ -113,7 +122,10 @@ def geometry_repairs(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("n_nationkey", F.col("k")).select("k", F.concat(F.lit("POLYGON (("), same, F.lit("))")).alias("repaired"), G.is_valid("g").alias("valid"), G.st_area("m").alias("area"))
 
 
-@query(f"SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN 'POINT (' || CAST((c_custkey * 7919) % 36000 AS VARCHAR) || ' 7)' ELSE NULL END AS geometry, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN 'ff00' ELSE '' END AS raw FROM customer")
+@query(f"""
+SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN 'POINT (' || CAST((c_custkey * 7919) % 36000 AS VARCHAR) || ' 7)' ELSE NULL END AS geometry, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN 'ff00' ELSE '' END AS raw
+FROM customer
+""")
 def readable_cells(spark: SparkSession, d: str) -> DataFrame:
     """Geometry columns as WKT; other binary cells as text, as hexadecimal digits, or empty."""
     k = F.col("c_custkey")
@@ -123,7 +135,12 @@ def readable_cells(spark: SparkSession, d: str) -> DataFrame:
     return execute.with_text_geometry(cells).withColumn("raw", G.readable("raw"))
 
 
-@query(f"SELECT c_custkey, true AS geojson FROM (SELECT c_custkey, {_x('c_custkey')} AS x, {_y('c_custkey')} AS y FROM customer) WHERE x > -50 AND x < 60 AND y > -20 AND y < 40 AND x <> 60 AND y <> 40")
+@query(f"""
+SELECT c_custkey, true AS geojson
+FROM (SELECT c_custkey, {_x('c_custkey')} AS x, {_y('c_custkey')} AS y
+FROM customer)
+WHERE x > -50 AND x < 60 AND y > -20 AND y < 40 AND x <> 60 AND y <> 40
+""")
 def user_constraint(spark: SparkSession, d: str) -> DataFrame:
     """Places within a geometry that a user gives as GeoJSON, and as WKT."""
     ring = [[-50, -20], [60, -20], [60, 40], [-50, 40], [-50, -20]]
@@ -133,7 +150,12 @@ def user_constraint(spark: SparkSession, d: str) -> DataFrame:
     return c.filter(G.st_within("g", text)).select("c_custkey", G.st_contains(given, "g").alias("geojson"))
 
 
-@query(f"SELECT s_suppkey, s_name, round(x, 6) AS lon, round(y, 6) AS lat, 4326 AS srid, 'written,skipped,written' AS became FROM (SELECT *, {_x('s_suppkey')} AS x, {_y('s_suppkey')} AS y FROM supplier) WHERE true")
+@query(f"""
+SELECT s_suppkey, s_name, round(x, 6) AS lon, round(y, 6) AS lat, 4326 AS srid, 'written,skipped,written' AS became
+FROM (SELECT *, {_x('s_suppkey')} AS x, {_y('s_suppkey')} AS y
+FROM supplier)
+WHERE true
+""")
 def shapefile_import(spark: SparkSession, d: str) -> DataFrame:
     """A shapefile, read, and imported as a table under the policies for one that is there."""
     folder = fresh_path(spark, "shapes")
@@ -169,7 +191,12 @@ def spatialite_layers(spark: SparkSession, d: str) -> DataFrame:
     return found.select("s_suppkey", "s_name", F.round("s_acctbal", 2).alias("s_acctbal"), F.lit(",".join(became)).alias("became"), F.lit(layer).alias("layer"), F.lit(listed).alias("tables"))
 
 
-@query(f"SELECT c_custkey, 'POINT' AS kind, round(x * x + y * y, 4) AS squared FROM (SELECT c_custkey, {_x('c_custkey')} AS x, {_y('c_custkey')} AS y FROM customer) WHERE sqrt(x * x + y * y) <= 30.0")
+@query(f"""
+SELECT c_custkey, 'POINT' AS kind, round(x * x + y * y, 4) AS squared
+FROM (SELECT c_custkey, {_x('c_custkey')} AS x, {_y('c_custkey')} AS y
+FROM customer)
+WHERE sqrt(x * x + y * y) <= 30.0
+""")
 def spatial_sql(spark: SparkSession, d: str) -> DataFrame:
     """The functions under their SQL names, in a guarded statement."""
     own = spark.newSession()

@@ -177,7 +177,13 @@ def scripts_compared(spark: SparkSession, d: str) -> DataFrame:
 _tokens = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zA-Z_][a-zA-Z0-9_]*'), lambda t: length(t) >= 2))"
 
 
-@query(f"SELECT doc_id, CAST(2 * list_contains(w, 'the')::INT + list_contains(w, 'and')::INT AS BIGINT) AS score, sha256(text) AS digest FROM (SELECT doc_id, text, {_tokens} AS w FROM documents) WHERE list_contains(w, 'the') OR list_contains(w, 'and') ORDER BY score DESC, doc_id LIMIT 15")
+@query(f"""
+SELECT doc_id, CAST(2 * list_contains(w, 'the')::INT + list_contains(w, 'and')::INT AS BIGINT) AS score, sha256(text) AS digest
+FROM (SELECT doc_id, text, {_tokens} AS w
+FROM documents)
+WHERE list_contains(w, 'the') OR list_contains(w, 'and')
+ORDER BY score DESC, doc_id LIMIT 15
+""")
 def keyword_index_saved(spark: SparkSession, d: str) -> DataFrame:
     """A keyword index saved as Parquet by buckets of tokens, loaded and searched; a step with content is not done again."""
     folder = fresh_path(spark, "index")
@@ -188,7 +194,12 @@ def keyword_index_saved(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "score", F.sha2("document", 256).alias("digest"))
 
 
-@query("SELECT n_nationkey AS doc_id, CAST(1 AS BIGINT) AS score, n_name || chr(10) || 'nation of ' || n_regionkey AS document FROM nation WHERE n_regionkey = 2 ORDER BY doc_id LIMIT 3")
+@query("""
+SELECT n_nationkey AS doc_id, CAST(1 AS BIGINT) AS score, n_name || chr(10) || 'nation of ' || n_regionkey AS document
+FROM nation
+WHERE n_regionkey = 2
+ORDER BY doc_id LIMIT 3
+""")
 def keyword_index_recovered(spark: SparkSession, d: str) -> DataFrame:
     """A JSON index without texts takes them from the documents that it was made of."""
     source, folder = fresh_path(spark, "docs"), fresh_path(spark, "index")
