@@ -32,27 +32,29 @@ def within_distance(left: DataFrame, right: DataFrame, lxy: tuple[str, str], rxy
 def within_sphere(left: DataFrame, right: DataFrame, lxy: tuple[str, str], rxy: tuple[str, str], metres: float) -> DataFrame:
     """Pairs at most metres apart on the sphere (haversine), with column distance.
 
-    Cells are bands of latitude and, within a band, slices of longitude as wide as the distance at the band's edge nearest
-    to its pole; a band that touches a pole is one slice. Longitudes wrap at 180 degrees.
+    Cells are bands of latitude as high as the distance and, within a band, slices of longitude that are as wide as two
+    places within the distance can lie apart there, which is more than the distance towards the poles, and all longitudes
+    where the distance reaches over a pole: such bands are one slice. Longitudes wrap at 180 degrees.
     """
-    step = math.degrees(metres / EARTH)
+    reach = min(metres / EARTH, math.pi / 2)
+    step = max(math.degrees(metres / EARTH) * (1 + 1e-9), 1e-9)
     bands = math.floor(90 / step)
 
     def slices(band):
-        """Slices of a band: as many as fit if each is at least as wide as the distance."""
+        """Slices of a band: as many as fit, of the width at its edge nearest to the pole."""
         edge = F.greatest(F.abs(band * step), F.abs((band + 1) * step))
-        narrow = F.cos(F.radians(F.least(edge, F.lit(90.0))))
-        return F.greatest(F.lit(1), F.floor(360 * narrow / (step * 1.01)).cast("int"))
+        sine = F.lit(math.sin(reach) * 1.01 + 1e-11) / F.cos(F.radians(F.least(edge, F.lit(90.0))))
+        return F.when(sine < 1, F.floor(360 / F.degrees(F.asin(sine)))).otherwise(1).cast("long")
 
     def place(band, lon):
         n = slices(band)
-        return F.pmod(F.floor((lon + 180) / (F.lit(360.0) / n)).cast("long"), n.cast("long"))
+        return F.pmod(F.floor((lon + 180) / (F.lit(360.0) / n)).cast("long"), n)
 
     r = right.withColumn("_b", F.floor(F.col(rxy[1]) / step).cast("long"))
     r = r.withColumn("_s", place(F.col("_b"), F.col(rxy[0])))
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     lft = left.withColumn("_d", F.explode(around)).withColumn("_b", F.floor(F.col(lxy[1]) / step).cast("long") + F.col("_d")).drop("_d").filter(F.col("_b").between(-bands - 1, bands + 1))
-    n = slices(F.col("_b")).cast("long")
+    n = slices(F.col("_b"))
     near = F.array_distinct(F.transform(around, lambda d: F.pmod(place(F.col("_b"), F.col(lxy[0])) + d, n)))
     joined = lft.withColumn("_s", F.explode(near)).join(r, ["_b", "_s"])
     return joined.withColumn("distance", sphere_distance(*map(F.col, (*lxy, *rxy)))).filter(F.col("distance") <= metres).drop("_b", "_s")
