@@ -64,3 +64,11 @@ def test_posting_ids_of_common_tokens(spark):
         held.setdefault(r["token"], []).extend(map(int, r["doc_ids"].split(",")))
     df = {r["token"]: r["df"] for r in QUERIES["keyword_postings_df"](spark, SMALL).collect()}
     assert {t: len(set(ids)) for t, ids in held.items()} == df and max(df.values()) > 50
+
+
+def test_systems_move_places_near_the_equator(spark, tmp_path):
+    """Places whose coordinates in the zone are small, as eastings and northings are there."""
+    keys = [k for k in range(200_000) if abs(k * 7919 % 36000 / 100 - 180) < 4 and 0 <= k * 104729 % 18000 / 100 - 90 < 4]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    rows = QUERIES["geometry_systems"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(keys) > 50 and all(r["moved"] for r in rows)
