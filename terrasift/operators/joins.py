@@ -60,10 +60,14 @@ def within_sphere(left: DataFrame, right: DataFrame, lxy: tuple[str, str], rxy:
     return joined.withColumn("distance", sphere_distance(*map(F.col, (*lxy, *rxy)))).filter(F.col("distance") <= metres).drop("_b", "_s")
 
 
-def nearest_to(targets: DataFrame, anchor: tuple[float, float], xy: tuple[str, str], n: int = 1, keys: list[str] | None = None) -> DataFrame:
-    """The n targets nearest to one point, with column distance; ties by keys. One pass, a top-n and no shuffle of rows."""
+def nearest_to(targets: DataFrame, anchor: tuple[float, float], xy: tuple[str, str], n: int = 1, keys: list[str] | None = None, digits: int | None = None) -> DataFrame:
+    """The n targets nearest to one point, with column distance; ties by keys. One pass, a top-n and no shuffle of rows.
+
+    With digits, distances are rounded first, so those that are equal then are ties. Targets without a place come last.
+    """
     d = planar_distance(F.col(xy[0]), F.col(xy[1]), F.lit(float(anchor[0])), F.lit(float(anchor[1])))
-    return targets.withColumn("distance", d).orderBy("distance", *(keys or [])).limit(max(1, n))
+    d = d if digits is None else F.round(d, digits)
+    return targets.withColumn("distance", d).orderBy(*[F.col(c).asc_nulls_last() for c in ("distance", *(keys or []))]).limit(max(1, n))
 
 
 #: Targets that a cell of the first ring holds in the mean, for each one that is wanted; and how much wider rings get.

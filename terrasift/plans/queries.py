@@ -152,10 +152,10 @@ WHERE c_custkey = 42) a
 ORDER BY distance, s_suppkey LIMIT 5
 """)
 def nearest_supplier(spark: SparkSession, d: str) -> DataFrame:
-    """An anchor by key, then the nearest of the other table."""
+    """An anchor by key, then the nearest of the other table by the distance that is shown."""
     a = customers(spark, d).filter("c_custkey = 42").select("cx", "cy").first()
-    near = joins.nearest_to(suppliers(spark, d), (a["cx"], a["cy"]), ("sx", "sy"), 5, ["s_suppkey"])
-    return near.select("s_suppkey", "s_name", F.round("distance", 6).alias("distance"))
+    near = joins.nearest_to(suppliers(spark, d), (a["cx"], a["cy"]), ("sx", "sy"), 5, ["s_suppkey"], digits=6)
+    return near.select("s_suppkey", "s_name", "distance")
 
 
 @query(f"""

@@ -72,3 +72,16 @@ def test_systems_move_places_near_the_equator(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
     rows = QUERIES["geometry_systems"](spark, str(tmp_path)).collect()
     assert len(rows) == len(keys) > 50 and all(r["moved"] for r in rows)
+
+
+@pytest.mark.parametrize("keys", [[51153, 56931, 7, 8, 9], [51153, 56931, 7, 8, 9, None]])
+def test_nearest_supplier_ties_by_the_distance_shown(spark, tmp_path, keys):
+    """Distances that differ in their last bit only are ties; suppliers without a place come last."""
+    spark.createDataFrame([(42,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(k, f"s{k}") for k in keys], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = [(r["s_suppkey"], r["s_name"], r["distance"]) for r in QUERIES["nearest_supplier"](spark, str(tmp_path)).collect()]
+    ties = duckdb.connect()
+    for t in ("customer", "supplier"):
+        ties.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == ties.sql(ORACLES["nearest_supplier"]).fetchall()
+    assert got[0][0] == 51153 and got[0][2] == got[1][2]
